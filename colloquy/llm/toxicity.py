@@ -1,13 +1,14 @@
 """Toxicity categories by a classifier chain.
 
 Categories are predicted one after the other: each has a linear model over the
-presence of words, and every model after the first also sees the probabilities
+presence of words and word beginnings, and every model after the first also sees the probabilities
 that the earlier ones give. In training those are out-of-fold predictions, so
 that a later model learns from probabilities as good as it will meet.
 
 The labels mark toxic texts but no category. The first categories therefore have
-weak labels: a text marked toxic that has a term of the category's list. The last
-category of the chain is the mark itself.
+weak labels: a text marked toxic that has a term of the category's list, and, for
+``unlisted``, one that has none of any list. The last category of the chain is the
+mark itself.
 """
 
 from __future__ import annotations
@@ -36,15 +37,16 @@ CATEGORIES = {
 @dataclass
 class Chain:
     categories: list[str]
-    words: dict[bytes, int]
-    #: Row by word, column by category.
+    #: Words and beginnings; see :func:`terms_of`.
+    terms: dict[bytes, int]
+    #: Row by term, column by category.
     weights: np.ndarray
     #: Row by earlier category, column by category; 0 where not earlier.
     links: np.ndarray
     intercepts: np.ndarray
 
     def predict(self, linear: np.ndarray) -> np.ndarray:
-        """Probabilities, category after category, from the words' sums."""
+        """Probabilities, category after category, from the terms' sums."""
         out = np.zeros_like(linear)
         for k in range(len(self.categories)):
             out[:, k] = sigmoid(linear[:, k] + out[:, :k] @ self.links[:k, k] + self.intercepts[k])
@@ -55,21 +57,29 @@ def words_of(text: bytes) -> set[bytes]:
     return set(_WORD.findall(text.lower()))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, width: int = 768, folds: int = 4, l2: float = 2e-3, seed: int = 10) -> Chain:
-    """``width``: so many words at most, those whose presence differs most between toxic and other texts."""
-    found = [words_of(t) for t in texts]
+def terms_of(text: bytes) -> set[bytes]:
+    """The text's words, and with a star the first 4, 5 and 6 bytes of longer ones, so that inflected forms meet."""
+    words = words_of(text)
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in (4, 5, 6)))
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, width: int = 1024, folds: int = 4, l2: float = 1e-4, seed: int = 10) -> Chain:
+    """``width``: so many terms at most, those whose presence tells toxic from other texts best (chi-square)."""
+    found = [terms_of(t) for t in texts]
     yes, no = Counter(), Counter()
     for words, mark in zip(found, toxic):
         (yes if mark else no).update(words)
     n_yes, n_no = max(1.0, toxic.sum()), max(1.0, len(toxic) - toxic.sum())
-    apart = {w: abs(yes[w] / n_yes - no[w] / n_no) for w in {*yes, *no} if yes[w] + no[w] >= 3}
+    share = {w: (yes[w] + no[w]) / len(toxic) for w in {*yes, *no} if yes[w] + no[w] >= 3}
+    apart = {w: (yes[w] / n_yes - no[w] / n_no) ** 2 / (p * (1 - p)) for w, p in share.items() if p < 1}
     chosen = sorted(apart, key=lambda w: (-apart[w], w))[:width]
     columns = {w: i for i, w in enumerate(chosen)}
-    x = np.zeros((len(texts), len(chosen)))
+    x = np.zeros((len(texts), len(chosen)), np.float32)
     for i, words in enumerate(found):
         x[i, [columns[w] for w in words if w in columns]] = 1.0
-    names = [*CATEGORIES, "toxic"]
-    marks = [np.array([bool(m) and not words.isdisjoint(s.encode() for s in CATEGORIES[k]) for words, m in zip(found, toxic)], float) if k in CATEGORIES else toxic.astype(float) for k in names]
+    listed = {k: np.array([not terms.isdisjoint(s.encode() for s in CATEGORIES[k]) for terms in found], float) * toxic for k in CATEGORIES}
+    names = [*CATEGORIES, "unlisted", "toxic"]
+    marks = [*listed.values(), toxic * (sum(listed.values()) == 0), toxic.astype(float)]
     fold = np.random.default_rng(seed).integers(0, folds, len(texts))
     chain = Chain(names, columns, np.zeros((len(chosen), len(names))), np.zeros((len(names), len(names))), np.zeros(len(names)))
     earlier = np.zeros((len(texts), 0))
@@ -117,7 +127,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
         c = shared.value
         linear = np.zeros((batch.num_rows, len(c.categories)))
         for i, text in enumerate(binary_values(batch, "text")):
-            if on := [c.words[w] for w in c.words.keys() & words_of(text)]:
+            if on := [c.terms[w] for w in c.terms.keys() & terms_of(text)]:
                 linear[i] = c.weights[sorted(on)].sum(0)
         p = c.predict(linear)
         return {"doc_id": batch.column("doc_id"), "score": p[:, -1], "predicted": (p[:, -1] >= threshold).astype(np.int32)} | {n: p[:, k] for k, n in enumerate(names)}
