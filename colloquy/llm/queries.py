@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, quality, simhash, toxicity
+from . import decontamination, language_id, license_scan, quality, secrets, simhash, toxicity
 from .common import fold_of
 
 
@@ -40,13 +40,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).withColumn("held_out", fold_of("doc_id", 5) == 0)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs)
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE_RULES))
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op9_secrets, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
