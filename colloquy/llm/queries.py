@@ -43,7 +43,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs)
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
+    of_rule = F.transform("spans", lambda s: s["rule"])
+    counts = [F.size(F.filter(of_rule, F.lit(i).__eq__)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
     base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE_RULES))
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 

@@ -140,7 +140,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     by_rule = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
         wanted = F.array_contains("__rules", i) if query != ALWAYS else F.col("__text").rlike(rule.pattern)
-        spans = F.transform(places(F.col("__text"), rule), lambda p, i=i: F.struct(p["start"].alias("start"), F.lit(i).alias("rule"), p["stop"].alias("stop")))
+        number = F.lit(i)
+        spans = F.transform(places(F.col("__text"), rule), lambda p: F.struct(p["start"].alias("start"), number.alias("rule"), p["stop"].alias("stop")))
         by_rule.append(F.when(wanted, spans).otherwise(none))
     return keyed.withColumn(spans_col, F.array_sort(F.concat(*by_rule))).drop("__key", "__text", "__rules")
 
