@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, pieces, quality, secrets, simhash, toxicity
+from . import ann, decontamination, language_id, license_scan, pieces, quality, secrets, simhash, toxicity
 from .common import fold_of
 
 
@@ -40,6 +40,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).withColumn("held_out", fold_of("doc_id", 5) == 0)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op8_sentencepiece, op9_secrets, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op6_ann, op8_sentencepiece, op9_secrets, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
