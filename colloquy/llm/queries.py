@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_id, license_scan, pieces, quality, secrets, simhash, toxicity
+from . import ann, decontamination, language_id, license_scan, pieces, quality, secrets, simhash, substring_dedup, toxicity
 from .common import fold_of
 
 
@@ -44,6 +44,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op6_ann, op8_sentencepiece, op9_secrets, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op6_ann, op7_substring_dedup, op8_sentencepiece, op9_secrets, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
