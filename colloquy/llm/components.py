@@ -32,15 +32,18 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     that one node may hold most links.
     """
     pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialize(pairs.filter("u <> v"), "links")
+    pairs = materialize(pairs, "links")
     alone = pairs.filter("u = v").select(F.col("u").alias("node"))
+    now = pairs.filter("u <> v")
+    last = None
     for _ in range(most_rounds):
         rows, heads = now.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if rows == heads and now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
         after = materialize(_small_star(_large_star(now)), "links")
-        discard(now)
-        now = after
+        if last is not None:
+            discard(last)
+        now = last = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))

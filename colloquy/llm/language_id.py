@@ -144,8 +144,8 @@ def scores(texts: list[str], model: KernelModel) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, len(model.languages)))
 
 
-def predict(df: DataFrame, model: KernelModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of ``df`` with lang_pred and score, from column text alone.
+def predict(df: DataFrame, model: KernelModel | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``df`` with lang_pred and score (``names``), from column text alone.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every
     text without a model; one that shares no
@@ -167,7 +167,14 @@ def predict(df: DataFrame, model: KernelModel | None, keep: tuple[str, ...] = ("
                 best = int(row.argmax())
                 lang[i], score[i] = m.languages[best], float(row[best])
             columns = [batch.column(n) for n in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return df.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return df.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
+
+
+def without_unknown(df: DataFrame, model: KernelModel | None) -> DataFrame:
+    """The rows of ``df``, all columns, whose language can be told: letters, and a best score above an even share by a tenth or more."""
+    least = 1.1 / len(model.languages) if model and len(model.languages) > 1 else 0.0
+    marked = predict(df, model, tuple(df.columns), ("__lang", "__score"))
+    return marked.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")

@@ -56,14 +56,14 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long), a row per row of ``df``."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, key (a hash of id and text) and fp (the fingerprint's bits as a signed long), a row per row of ``df``."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "fp": [_signed(fingerprint(t)) for t in binary_values(batch, "text")]}
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": [_signed(fingerprint(t)) for t in binary_values(batch, "text")]}
 
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, run, "doc_id long, fp long", arrow)
+    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(picked, run, "doc_id long, key long, fp long", arrow)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -79,6 +79,12 @@ def links(fps: DataFrame) -> DataFrame:
     return hubs.join(centre, "hub").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
 
+def groups(fps: DataFrame) -> DataFrame:
+    """(fp, root): every distinct fingerprint of ``fps`` (fp) and the least one that links reach."""
+    found = connected_components(links(fps)).withColumnRenamed("node", "fp")
+    return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``df``.
 
@@ -88,11 +94,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts without words, null ones too, share fingerprint 0. Repeated rows each
     get a row; a component of null ids alone has a null component_id.
     """
-    rows = materialize(fingerprints(df, id_col, text_col), "fingerprints")
+    rows = materialize(fingerprints(df, id_col, text_col).drop("key"), "fingerprints")
     heads = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    roots = connected_components(links(heads.select("fp"))).withColumnRenamed("node", "fp")
-    linked = heads.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("head").alias("reached"))
-    reached = linked.join(least, "root").select("fp", "reached")
-    by_fp = heads.join(reached, "fp", "left").select("fp", F.coalesce("reached", "head").alias("component_id"))
+    rooted = materialize(heads.join(groups(heads.select("fp")), "fp"), "groups")
+    reached = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
+    by_fp = materialize(rooted.join(reached, "root").select("fp", "component_id"), "components")  # the last join then has a table on either side and may be split
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, less all but one row of each group of near-duplicates.
+
+    The row of the smallest id stays; among rows of one id that of the smallest
+    hash of id and text, and one of those that agree in both. Null ids come last.
+    """
+    keyed = df.withColumn("__key", F.xxhash64(id_col, text_col))
+    rows = materialize(fingerprints(df, id_col, text_col), "fingerprints")
+    rooted = materialize(groups(materialize(rows.select("fp").distinct(), "heads")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
+    return keyed.dropDuplicates(["__key"]).join(materialize(kept, "kept"), "__key", "left_semi").drop("__key")
