@@ -1,0 +1,284 @@
+"""License scans, quality, language ID, toxicity, secrets and pieces against brute force."""
+
+import functools
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from colloquy.llm import language_id, license_scan, pieces, quality, secrets, toxicity, trigrams
+
+DOCS = "doc_id long, text string, lang string, score string, spans string, __key string"
+
+
+def docs(spark, texts, first=0, lang=None):
+    return spark.createDataFrame([(first + i, t, lang, "x", "y", "z") for i, t in enumerate(texts)], DOCS)
+
+
+EDGES = [None, "", " \n\t ", "a", "!!! ???", "word " * 30_000, "é" * 50, "same text here", "same text here"]
+
+# ---- license scans
+
+
+def naive_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    phrases = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
+    hits = [(i, k) for k, p in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in hits]
+    return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({k for _, k in hits}))
+
+
+LICENSES = [
+    "Released under the MIT License. MIT, license; mit LICENSE mit license", "the GNU\nGeneral--Public   License, cc by 4.0 CC-BY", "permit license", "apache licence", "GNU Genral Public Licence v2",
+    "limit licenses", "Kelvin K mit license", "cc byte", "a" * 100 + " apache license " * 300,
+]
+
+
+def test_license_scan_matches_base_and_adds_fuzzy(spark):
+    texts = [*EDGES, *LICENSES]
+    rows = {r.doc_id: r for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == naive_base(t)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) or not r.base_labels
+        assert 0 <= r.score <= 1
+    by_text = {t: rows[i] for i, t in enumerate(texts)}
+    assert by_text["apache licence"].labels == "apache" and by_text["apache licence"].n_base == 0
+    assert by_text["GNU Genral Public Licence v2"].labels == "gpl"
+    assert by_text["permit license"].labels == by_text["limit licenses"].labels == by_text["cc byte"].labels == ""
+
+
+def test_license_spans_point_at_the_text(spark):
+    text = "É vu — This is under the Apache  Licence, fine"
+    spans = license_scan.license_scan(docs(spark, [text])).first().spans
+    assert text[spans[0].start : spans[0].end] == "Apache  Licence"
+
+
+def test_license_seeds_cover_phrases():
+    for x in license_scan.FUZZY_NOTICES:
+        assert "".join(p for _, p in license_scan.seeds(x)) == x.phrase and len(license_scan.seeds(x)) == x.edits + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_license_edits_within_bound_are_found(data):
+    scanner = license_scan.Scanner(license_scan.FUZZY_NOTICES)
+    i = data.draw(st.sampled_from([i for i, x in enumerate(license_scan.FUZZY_NOTICES) if x.edits]))
+    x = license_scan.FUZZY_NOTICES[i]
+    letters = list(x.phrase)
+    for _ in range(x.edits):
+        at = data.draw(st.integers(1, len(letters) - 2))
+        letters[at] = data.draw(st.sampled_from("abcxyz"))
+    line = "before " + "".join(letters) + " after"
+    assert any(k == i for k, *_ in scanner.matches(line))
+
+
+# ---- quality
+
+
+def test_quality_learns_and_scores_every_row(spark):
+    rng = np.random.default_rng(0)
+    good = [" ".join(rng.choice(["the", "of", "and", "river", "stone"], 40)) + "." for _ in range(120)]
+    bad = [" ".join(w + "###" for w in rng.choice(["the", "of", "and"], 40)) for _ in range(120)]
+    table = docs(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.train(table.select("doc_id", "text"), labels)
+    assert model.rules
+    rows = quality.classify(docs(spark, good + bad + EDGES), model).collect()
+    assert len(rows) == 240 + len(EDGES) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    got = {r.doc_id: r.predicted for r in rows}
+    assert np.mean([got[i] == int(i < 120) for i in range(240)]) > 0.97
+
+
+def test_quality_expression_equals_the_rules(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((400, len(quality.STATISTICS)))
+    model = quality.fit(x, (x[:, 2] > 0.5).astype(float))
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], list(quality.STATISTICS)).select(F.struct(*quality.STATISTICS).alias("stat"))
+    got = [r[0] for r in frame.select(model.score(F.col("stat"))).collect()]
+    at = {k: j for j, k in enumerate(quality.STATISTICS)}
+    want = [model.intercept + sum(r.weight for r in model.rules if all((v[at[n]] > c) == above for n, c, above in r.tests)) for v in x]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))))
+
+
+def test_quality_of_empty_tables(spark):
+    empty = docs(spark, []).select("doc_id", "text")
+    model = quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.classify(empty, model).count() == 0
+    assert quality.classify(docs(spark, ["a"]), model).first().score == 0.5
+
+
+# ---- language ID
+
+
+def test_language_id(spark):
+    words = {"aa": ["kal", "mor", "tis"], "bb": ["öze", "ürn", "ßal"], "cc": ["qui", "eau", "oix"]}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[k], 25)), k) for i, k in enumerate(sorted(words) * 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table.filter("doc_id % 5 <> 0"), per_language=30, landmarks_per_language=8)
+    got = {r.doc_id: r for r in language_id.predict(table, model).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in rows if i % 5 == 0)
+    edges = language_id.predict(docs(spark, [*EDGES, "1234 567"]), model).collect()
+    assert len(edges) == len(EDGES) + 1
+    assert [r.lang_pred for r in edges if r.doc_id in (0, 1, 2, 4, len(EDGES))] == ["und"] * 5
+    assert all(0 <= r.score <= 1 for r in edges)
+    kept = language_id.without_unknown(docs(spark, [*EDGES, rows[0][1]]), model)
+    assert kept.columns == docs(spark, []).columns and kept.filter(F.col("doc_id") == len(EDGES)).count() == 1
+    assert kept.filter(F.col("doc_id").isin(0, 1, 2, 4)).count() == 0
+
+
+def test_language_kernel_against_sets():
+    texts = ["abcab", "bca", "Xyz abc"]
+    symbols, base, columns, width = language_id.vocabulary(texts[:2])
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    known = grams("abcab") | grams("bca")
+    assert width == len(known)
+    for t in texts:
+        assert language_id.presence(t, symbols, base, columns, width).sum() == len(grams(t.lower()) & known)
+
+
+def test_language_id_without_training_rows(spark):
+    assert language_id.train(docs(spark, ["a b"])) is None
+    assert language_id.predict(docs(spark, ["a b"]), None).first().lang_pred == "und"
+
+
+# ---- toxicity
+
+
+def test_toxicity_chain(spark):
+    rng = np.random.default_rng(3)
+    plain = [" ".join(rng.choice(["sun", "tree", "road", "lake"], 30)) for _ in range(200)]
+    toxic = [t + " " + w for t, w in zip(plain[:90], ["idiot", "scum", "pathetic", *(f"zork{e}" for e in ("ling", "able", "ish", "ed", "ing", "o"))] * 10)]
+    table = docs(spark, plain + toxic)
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(290)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    chain = toxicity.train(table, labels)
+    rows = toxicity.score(docs(spark, plain + toxic + ["sun zorkest"] + EDGES), chain).collect()
+    assert len(rows) == 291 + len(EDGES)
+    got = {r.doc_id: r for r in rows}
+    assert all(got[i].predicted == int(i >= 200) for i in range(291))
+    assert got[200].p_insult > 0.5 > got[200].p_contempt
+    assert np.count_nonzero(np.tril(chain.links)) == 0 and np.count_nonzero(chain.links) > 0
+
+
+def test_toxicity_without_labels(spark):
+    chain = toxicity.train(docs(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(docs(spark, EDGES), chain).count() == len(EDGES)
+
+
+# ---- secrets
+
+HEX = hashlib.sha1(b"x").hexdigest()
+SECRETS = [
+    f'token = "{HEX}" and PassWord:abcdef', "token:token:abcdefgh", "token=secret=abcdefgh", "api_key='abc' apikey = abcdef", "AKIA" + "A1" * 10, "AKIAAKIA", "AKIA" * 5,
+    f"é{HEX}é{HEX[:23]} {HEX[:24]}", "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", f"token: {HEX} " * 700, "passwd\n=\nabcdef", "SECRET  :  +/_.=-",
+]
+
+
+def naive_secrets(text):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_secrets_against_python(spark):
+    texts = [*EDGES, *SECRETS]
+    rows = secrets.find_secrets(docs(spark, texts), spans_col="found").collect()
+    assert len(rows) == len(texts) and rows[0].spans == "y"
+    for r in rows:
+        base = [(s.start, s.rule, s.stop) for s in r.found if s.rule < 3]
+        assert base == naive_secrets(texts[r.doc_id] or "")
+    kinds = {secrets.RULES[s.rule].kind for r in rows for s in r.found}
+    assert {"github", "pem"} <= kinds
+
+
+def test_secret_plan_stays_in_the_jvm(spark):
+    plan = secrets.find_secrets(docs(spark, SECRETS))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    frame = secrets.find_secrets(docs(spark, [f"a token={HEX} b", "none", None]), spans_col="found")
+    got = {r.doc_id: r.t for r in frame.select("doc_id", secrets.redacted(F.col("text"), F.col("found")).alias("t")).collect()}
+    assert got == {0: "a [secret] b", 1: "none", 2: None}
+
+
+def test_secrets_of_an_empty_table(spark):
+    assert secrets.find_secrets(docs(spark, []), spans_col="found").count() == 0
+
+
+@pytest.mark.parametrize(("pattern", "query"), [("abcd", [{"abc", "bcd"}]), ("ab|cde", [set()]), ("abc|xyz", [{"abc"}, {"xyz"}]), ("[0-9]+abc", [{"abc"}]), ("(ab){2,}c", [set()]), ("ab?cd", [{"abc", "bcd"}, {"acd"}]), ("[a-z]{20}", [set()])])
+def test_trigram_queries(pattern, query):
+    assert set(trigrams.query_of(pattern)) == {frozenset(c) for c in query}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.from_regex(re.compile(secrets.BASE_RULES[0].pattern, re.A), fullmatch=True))
+def test_matches_satisfy_their_query(text):
+    held = {text.lower()[i : i + 3] for i in range(len(text) - 2)}
+    assert any(c <= held for c in trigrams.query_of(secrets.BASE_RULES[0].pattern))
+
+
+# ---- pieces
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+
+
+PIECES = [*EDGES, "  two  spaces \n x\t12345 é 漢字梦 \U0001f600  ", "aaaaaaaaaaaaaaaa ---- ==== !!!!", "x" * 300 + " " * 41 + "\n\n\n", "<0x0A><s>", "def f(x):\n        return x+1\n", "▁"]
+
+
+def test_pieces_equal_the_library(spark, library):
+    rows = pieces.encode(docs(spark, PIECES)).collect()
+    assert len(rows) == len(PIECES)
+    for r in rows:
+        text = PIECES[r.doc_id]
+        assert r.ids == (None if text is None else library.encode(text))
+        assert r.n_pieces == len(r.ids or []) and r.round_trip == (text is None or "▁" not in text)
+
+
+def test_relational_lattice_equals_the_fold(spark, library):
+    model = pieces.load()
+    words = {w for t in PIECES if t for w in model.split(t) if len(w) <= 64} | {"▁" + w for w in ("international", "thehea", "unbelievable", "tionnessly")}
+    frame = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    got = {r.word: tuple(i for p in r.path for i in model.ids(p)) for r in pieces.viterbi(pieces.lattice(frame, model), model).collect()}
+    assert got == model.encode_words(words)
+
+
+@functools.cache
+def loaded():
+    return pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abcdeinorst .,-\n▁é漢"), max_size=60))
+def test_any_text_equals_the_library(text):
+    model, sp = loaded()
+    words = model.encode_words(set(model.split(text)))
+    ids = [i for w in model.split(text) for i in words[w]]
+    assert ids == sp.encode(text)
+    if "▁" not in text:
+        assert model.decode(ids) == text
+
+
+def test_decode_gives_the_text_again(spark):
+    rows = pieces.decode(pieces.encode(docs(spark, PIECES[:-1])).select("doc_id", "ids")).collect()
+    assert {r.doc_id: r.text for r in rows} == dict(enumerate(PIECES[:-1]))
+
+
+def test_folds_follow_crc32(spark):
+    from colloquy.llm.common import fold_of
+
+    got = {r.i: r.f for r in spark.range(50).select(F.col("id").alias("i"), fold_of("id", 4).alias("f")).collect()}
+    assert all(f == zlib.crc32(str(i).encode()) % 4 for i, f in got.items())
