@@ -51,7 +51,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
 def _halves(nodes: np.ndarray, links: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Which of ``nodes`` fall in the second half: median of a smooth vector on the graph, then swaps that cut fewer links."""
     n = len(nodes)
-    place = np.full(int(links.max()) + 1, -1)
+    place = np.full(int(max(links.max(), nodes.max())) + 1, -1)
     place[nodes] = np.arange(n)
     source = np.repeat(np.arange(n), links.shape[1])
     target = place[links[nodes].ravel()]

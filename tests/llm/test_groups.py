@@ -1,0 +1,305 @@
+"""Near-duplicates, leaks, neighbours and repeated windows against brute force; the pipeline."""
+
+import hashlib
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from colloquy.llm import ann, components, decontamination, fm_index, simhash, substring_dedup
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string"
+
+
+def docs(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, "y") for i, t in zip(ids or range(len(texts)), texts)], DOCS)
+
+
+def prose(rng, n, vocabulary=400):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+# ---- connected components
+
+
+def union_find(links):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("links", [[], [(3, 3)], [(i, i + 1) for i in range(120)], [(0, i) for i in range(1, 200)], [(random.Random(1).randrange(90), i) for i in range(90)] + [(5, 4), (5, 4), (-7, 300)]])
+def test_components(spark, links):
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == union_find(links)
+
+
+# ---- simhash
+
+
+def naive_fingerprint(text):
+    words = text.encode().lower().split()
+    parts = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << i for i in range(64) if hashes and 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(4)
+    base = [" ".join(prose(rng, 400)) for _ in range(6)]
+    near = [b.replace(" ", "  ", 3).upper() if i % 2 else b + f" x{i}" for b in base for i in range(4)]
+    texts = [*base, *near, None, "", " \t", "one", "one two", "ONE two", "a b c d", *[" ".join(prose(rng, 30)) for _ in range(20)], base[0], base[0]]
+    ids = [i * 3 % 101 for i in range(len(texts))]
+    ids[-1] = ids[-2]
+    prints = [naive_fingerprint(t or "") for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    roots = union_find([*links, *((i, i) for i in range(len(texts)))])
+    least = {r: min(ids[i] for i in roots if roots[i] == r) for r in set(roots.values())}
+    want = Counter((ids[i], f"{prints[i]:016x}", least[roots[i]]) for i in range(len(texts)))
+    got = Counter(map(tuple, simhash.near_duplicates(docs(spark, texts, ids)).collect()))
+    assert got == want
+    kept = simhash.one_of_each(docs(spark, texts, ids))
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_simhash_of_null_ids_and_empty_tables(spark):
+    rows = simhash.near_duplicates(docs(spark, ["a b", "a b", "q"], [None, None, 4])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("4", "4"), ("None", "None"), ("None", "None")]
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0 == simhash.one_of_each(docs(spark, [])).count()
+
+
+def test_masks_cover_every_pair_of_bits():
+    tables = simhash.masks(2)
+    assert all(any(not m >> i & 1 and not m >> j & 1 for m in tables) for i in range(64) for j in range(64))
+
+
+def test_links_of_many_near_fingerprints(spark):
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    prints = {simhash._signed(centre ^ sum(1 << b for b in rng.sample(range(64), k))) for k in (0, 1, 2, 3, 4, 5) for _ in range(30)}
+    got = {r.node: r.root for r in components.connected_components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))).collect()}
+    want = union_find([(a, b) for a, b in itertools.combinations(prints, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
+    assert got == want
+
+
+# ---- decontamination
+
+
+def naive_alignment(item, words):
+    best = [[0.0] * (len(words) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(words, 1):
+            best[i][j] = max(0, best[i - 1][j - 1] + (1 if a == b else -0.5), best[i - 1][j] - 0.5, best[i][j - 1] - 0.5)
+    return max(map(max, best)) / len(item)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=9), st.lists(st.sampled_from("abcde"), min_size=1, max_size=14))
+def test_alignment(item, words):
+    score, first, end = decontamination.align([a.encode() for a in item], [a.encode() for a in words])
+    assert score == pytest.approx(naive_alignment(item, words))
+    if score:
+        assert naive_alignment(item, words[first:end]) == pytest.approx(score)
+
+
+def leak_case(spark):
+    rng = random.Random(6)
+    items = [prose(rng, 30, 5000) for _ in range(25)]
+    edited = list(items[3])
+    for at in (4, 11, 19, 26):
+        edited[at] = "changed"
+    longer = items[4][:12] + ["put", "in"] + items[4][12:]
+    texts = [" ".join(prose(rng, 80, 5000)) for _ in range(30)]
+    texts += [" ".join([*prose(rng, 50), *w, *prose(rng, 50)]) for w in (items[0], edited, longer, [x.upper() + "," for x in items[5]], items[6][:10])]
+    texts += [" ".join(items[7])] * 12 + [" ".join(items[8] * 40), None, "", "w1 w2"]
+    return items, texts, [(30, 0), (31, 3), (32, 4), (33, 5), *((35 + i, 7) for i in range(12)), (47, 8)]
+
+
+def test_leaks(spark):
+    items, texts, want = leak_case(spark)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(90, None), (91, "a b"), (None, "x y z")], "item_id long, text string")
+    rows = decontamination.leaks(docs(spark, texts), table).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == want
+    assert all(r.score == 1 for r in rows if r.item_id in (0, 5, 7, 8)) and all(0.6 <= r.score < 1 for r in rows if r.item_id in (3, 4))
+    for r in rows:
+        assert r.last_word - r.first_word + 1 <= len(items[r.item_id]) + 2
+    kept = decontamination.without_leaks(docs(spark, texts), table)
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {d for d, _ in want})
+
+
+def test_leaks_in_blocks_and_empty_tables(spark, monkeypatch):
+    items, texts, want = leak_case(spark)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    split = decontamination.blocks
+    monkeypatch.setattr(decontamination, "blocks", lambda t: split(t, 200))
+    assert len(list(decontamination.blocks(table))) > 3
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, texts), table).collect()) == want
+    assert decontamination.leaks(docs(spark, texts), table.limit(0)).count() == 0
+    assert decontamination.leaks(docs(spark, []), table).count() == 0
+    assert decontamination.without_leaks(docs(spark, texts), table.limit(0)).count() == len(texts)
+
+
+# ---- neighbours
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, part int, vector string")
+
+
+def test_neighbours_recall_and_scores(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.standard_normal((12, 16))[rng.integers(0, 12, 1500)] * 2 + rng.standard_normal((1500, 16))).astype(np.float32)
+    x[600:1100] = x[0]  # a third are one vector
+    rows = [(i, [float(v) for v in x[i]], 0, 1, "s") for i in range(1500)]
+    odd = [(2000, None, 0, 0, ""), (2001, [0.0] * 16, 0, 0, ""), (2002, [float("nan")] * 16, 0, 0, ""), (2003, [None] * 16, 0, 0, ""), (2020, [1.0, 2.0], 0, 0, ""), (None, rows[0][1], 0, 0, "")]
+    got = ann.search(vectors_of(spark, rows + odd), F.col("vec_id") % 20 == 0, k=20, parts=8).toPandas()
+    exact, met = x.astype(np.float64), []
+    for q in range(0, 1500, 20):
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own["rank"]) == list(range(1, 21)) and q not in set(own.vec_id)
+        scores = (exact * exact[q]).sum(1)
+        assert np.allclose(own.score, scores[own.vec_id], rtol=0, atol=1e-12)
+        order = list(zip(-own.score, own.vec_id))
+        assert order == sorted(order)
+        scores[q] = -np.inf
+        met.append(len(set(np.lexsort((np.arange(1500), -scores))[:20]) & set(own.vec_id)) / 20)
+    assert got.query_id.nunique() == 75 and np.mean(met) >= 0.9
+
+
+def test_neighbours_of_few_or_no_vectors(spark):
+    rows = [(0, [1.0, 0.0], 0, 0, ""), (20, [1.0, 0.0], 0, 0, ""), (5, [1.0, 0.0], 0, 0, ""), (5, [1.0, 0.0], 0, 0, ""), (7, [0.5, 9.0], 0, 0, "")]
+    got = ann.search(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, parts=4).toPandas()
+    found = {q: list(d.sort_values("rank").vec_id) for q, d in got.groupby("query_id")}
+    assert found == {0: [5, 20, 7], 20: [0, 5, 7]}
+    assert ann.search(vectors_of(spark, rows[:1]), F.col("vec_id") % 20 == 0).count() == 0
+    assert ann.search(vectors_of(spark, []), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_parts_are_balanced():
+    x = np.random.default_rng(8).standard_normal((500, 8))
+    sizes = np.bincount(ann.balanced_parts(ann.neighbour_graph(x, 6), 8), minlength=8)
+    assert sizes.max() - sizes.min() <= 1
+
+
+def test_blocks_split_large_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 4))
+    got = ann.search(vectors_of(spark, [(i, [float(v) for v in r], 0, 0, "") for i, r in enumerate(x)]), F.col("vec_id") % 3 == 0, k=5, parts=2, recall=1.0).toPandas()
+    y = x.astype(np.float32).astype(np.float64)
+    for q, own in got.groupby("query_id"):
+        s = (y * y[q]).sum(1)
+        s[q] = -np.inf
+        assert list(own.sort_values("rank").vec_id) == list(np.argsort(-s)[:5])
+
+
+# ---- repeated windows
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(0, 6), min_size=1, max_size=40), st.integers(2, 12))
+def test_matching_statistics(text, query, most):
+    t, q = np.array(text, np.int64), np.array(query)
+    cut = len(q) // 2
+    length, low, high = fm_index.FMIndex(t).matching_statistics(q, np.array([0, cut]), np.array([cut, len(q)]), most)
+    held = Counter(tuple(text[i : i + n]) for n in range(1, most + 1) for i in range(len(text) - n + 1))
+    for a, b in ((0, cut), (cut, len(q))):
+        for p in range(a, b):
+            n = max((n for n in range(1, min(most, b - p) + 1) if 0 not in query[p : p + n] and held[tuple(query[p : p + n])]), default=0)
+            assert length[p] == n
+            assert not n or high[p] - low[p] == held[tuple(query[p : p + n])]
+
+
+def naive_dedup(texts, width):
+    split = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in split for i in range(len(w) - width + 1))
+    out = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone.update(range(i, i + width))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def window_texts():
+    rng = random.Random(10)
+    shared = prose(rng, 50)
+    texts = [" ".join([*prose(rng, rng.randrange(60)), *(shared if i % 3 == 0 else []), *prose(rng, rng.randrange(60))]) for i in range(40)]
+    whole = " ".join(prose(rng, 200))
+    near = [" ".join(w if j != 20 * i else "changed" for j, w in enumerate(whole.split())) for i in range(9)]
+    loop = "again " * 80
+    inside = " ".join(shared[:40] * 3)
+    return [*texts, whole, whole, *near, loop, "again " * 35, "again " * 36, inside, None, "", "a b", "x\ty\nz " * 30, "É é " * 40, " ".join(shared[:35]), " ".join(shared[:34]), whole.upper()]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "shard": 300}, {"hot": 10**6, "shard": 50}])
+def test_dedup_against_brute_force(spark, options):
+    texts = window_texts()
+    rows = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, texts), **options).collect()}
+    assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(len(texts))] == naive_dedup(texts, 35)
+    assert all(sum(s.stop - s.first for s in r.removed) == r.n_removed for r in rows.values())
+
+
+def test_dedup_of_repeated_rows_and_empty_tables(spark):
+    text = " ".join(prose(random.Random(11), 60))
+    rows = substring_dedup.dedup(docs(spark, [text, text, "short"], [1, 1, None])).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in rows) == [("1", 60), ("1", 60), ("None", 0)]
+    assert substring_dedup.dedup(docs(spark, [])).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    text = b" ".join(str(i * 7919).encode() for i in range(3000)) + b" " + b"x" * 5000
+    whole = substring_dedup.word_hashes(text)
+    monkeypatch.setattr(substring_dedup, "_SLICE", 97)
+    assert (substring_dedup.word_hashes(text) == whole).all() and len(whole) == len(text.split()) == len(set(whole.tolist()))
+
+
+# ---- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    rng = random.Random(12)
+    items, texts, leaks = leak_case(spark)
+    secret = "token = " + hashlib.sha1(b"k").hexdigest()
+    plain = [" ".join(prose(rng, 120)) for _ in range(30)]
+    rows = [*plain, plain[0], plain[1].upper(), f"{plain[2]} {secret} {plain[3]}", "12 34 -- 56", None, "", " ".join([*prose(rng, 40), *items[0], *prose(rng, 40)])]
+    docs(spark, rows).drop("key", "spans").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    columns = now.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{i}.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{i}.parquet")
+        kept.append({r.doc_id for r in now.collect()})
+        assert i == len(corpus_pipeline.STAGES) - 1 or now.columns == columns
+    everything = set(range(len(rows)))
+    assert kept[0] == everything - {33, 34, 35}
+    assert kept[1] == kept[0] - {30, 31}
+    assert kept[2] == kept[1] - {36}
+    assert kept[3] == kept[4] == kept[2]
+    redacted = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/3.parquet").collect()}
+    assert redacted[32].text == f"{plain[2]} [secret] {plain[3]}" and redacted[32].n_chars == len(redacted[32].text)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
