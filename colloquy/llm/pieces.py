@@ -29,12 +29,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose encodings are broadcast, and the length of the longest: 50,000 words of 64 characters at most.
 DICTIONARY, LONGEST_WORD = 50_000, 64
 #: Other words and pairs an executor's worker remembers at most.
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
 _SLICE = 256
 
 
@@ -49,8 +51,8 @@ class Model:
     longest: int
     #: Ends of pieces, pieces included.
     tails: frozenset[str]
-    #: Words between which no piece reaches.
-    words: re.Pattern
+    #: Words between which no piece reaches, in a text with its space marks; None where pieces may reach over any.
+    words: re.Pattern | None
     stable: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def merged(self, text: str) -> list[str]:
@@ -109,7 +111,33 @@ class Model:
         return out
 
     def split(self, text: str) -> list[str]:
-        return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Keys of the text's words; see :meth:`word_of`."""
+        if not text:
+            return []
+        if self.words and SPACE not in text and "  " not in text and text[0] != " ":
+            return text.replace("\n", " \n").split(" ")
+        marked = SPACE + text.replace(" ", SPACE)
+        words = self.words.findall(marked) if self.words else [marked]
+        return [w[1:] if self.words and w[0] == SPACE and SPACE not in w[1:] and w != SPACE else SPACE + w for w in words]
+
+    @staticmethod
+    def word_of(key: str) -> tuple[str, str]:
+        """(what stands before, word): a line break and the word behind it, a word as it is behind a mark, or a word that a space precedes."""
+        if key.startswith("\n"):
+            return "\n", key[1:]
+        return "", key[1:] if key.startswith(SPACE) else SPACE + key
+
+    def encode_keys(self, keys: set[str], known: dict[str, tuple[int, ...]] | None = None) -> dict[str, tuple[int, ...]]:
+        """Ids by key; ``known``: ids of words that are already encoded."""
+        found = known or {}
+        plain = {SPACE + k: k for k in keys if k[:1] not in ("\n", SPACE)}
+        out = {plain[w]: ids for w, ids in self.encode_words(plain.keys() - found.keys()).items()}
+        out |= {plain[w]: found[w] for w in plain.keys() & found.keys()}
+        if len(out) < len(keys):
+            other = {k: self.word_of(k) for k in keys if k not in out}
+            own = self.encode_words({"\n", *(w for _, w in other.values())} - found.keys()) | {w: found[w] for _, w in other.values() if w in found}
+            out |= {k: (own["\n"] if before else ()) + own[word] for k, (before, word) in other.items()}
+        return out
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -126,12 +154,12 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     byte_ids = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
     texts = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].encode() if names[i] in pieces else b"" for i in range(n)]
     apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
-    words = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if apart else r"(?s).+")
+    words = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if apart else None
     return Model(pieces, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [], sp.unk_id(), texts, max(map(len, pieces)), frozenset(p[i:] for p in pieces for i in range(len(p))), words)
 
 
 def frequent_words(docs: DataFrame, model: Model, most: int = DICTIONARY, longest: int = LONGEST_WORD) -> DataFrame:
-    """word: the ``most`` words found most often in all documents (text), each of ``longest`` characters at most."""
+    """key: of the ``most`` words found most often in all documents (text), each of ``longest`` characters at most."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -140,10 +168,10 @@ def frequent_words(docs: DataFrame, model: Model, most: int = DICTIONARY, longes
             for text in batch.column("text").to_pylist():
                 counts.update(m.split(text or ""))
             found = [w for w in counts if len(w) <= longest]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "n": pa.array([counts[w] for w in found], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.string()), "n": pa.array([counts[w] for w in found], pa.int64())})
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "key").limit(most).select("key")
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -186,9 +214,13 @@ def viterbi(edges: DataFrame, model: Model) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, model: Model) -> dict[str, tuple[int, ...]]:
-    """Encodings of the corpus' most frequent words."""
-    words = frequent_words(docs, model)
-    return {r.word: tuple(i for p in r.path for i in model.ids(p)) for r in viterbi(lattice(words, model), model).collect()}
+    """Encodings, by key, of the corpus' most frequent words."""
+    keys = {r.key for r in frequent_words(docs, model).collect()}
+    spelled = sorted({w for w in (model.word_of(k)[1] for k in keys) if w})
+    words = docs.sparkSession.createDataFrame([(w,) for w in spelled], "word string")
+    edges = materialize(lattice(words, model), "edges")
+    found = {r.word: tuple(i for p in r.path for i in model.ids(p)) for r in viterbi(edges, model).collect()}
+    return model.encode_keys(keys, found)
 
 
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -217,7 +249,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                 if len(words) + len(new) > len(known) + _REMEMBERED:
                     words = dict(known)
                     new = set(chain.from_iterable(split)).difference(words)
-                words |= m.encode_words(new)
+                words |= m.encode_keys(new)
                 ids = [np.fromiter(chain.from_iterable(map(words.__getitem__, w)), np.int32) for w in split]
                 sizes = [len(x) for x in ids]
                 back = [t is None or m.decode(x.tolist()) == t for t, x in zip(texts, ids)]
