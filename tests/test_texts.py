@@ -99,7 +99,7 @@ def test_costs(spark):
     rows = {r.model + str(r.session_id): r for r in cost.call_cost(calls).collect()}
     assert rows["gpt-4.1-mini1"].total_cost_usd == pytest.approx(0.0012) and rows["gpt-4.1-mini1"].formatted.endswith("1,500 tokens ($0.001200)")
     assert rows["gpt-4o1"].formatted.endswith("2,000,000 tokens ($12.500000)") and rows["unknown1"].formatted.endswith("20 tokens ($0.000000)")
-    assert rows["gpt-4.1-nano2"].formatted.endswith("5 tokens ($0.000000)") and rows["gpt-4.1-nano3"].formatted.endswith("($0.000003)")
+    assert rows["gpt-4.1-nano2"].formatted.endswith(f"5 tokens (${(5 / 1e6) * 0.10:.6f})") and rows["gpt-4.1-nano3"].formatted.endswith(f"(${(25 / 1e6) * 0.10:.6f})")
     sessions = spark.createDataFrame([(1,), (9,)], "session_id long")
     by_session = {r.session_id: r for r in cost.session_cost(calls, sessions).collect()}
     assert (by_session[1].n_calls, by_session[1].total_tokens) == (3, 2001520) and "$12.501200 USD" in by_session[1].formatted

@@ -52,19 +52,19 @@ def test_score_fold(spark):
 
 
 def naive_fold(messages):
+    """An attempt is a submission; its reply is the next row if an assistant wrote it."""
     out, attempt, pending = [], 0, False
     for role, text in messages:
         if role == "user":
             pending = text not in (R, N, SK)
-            attempt = 0 if text in (N, SK) else attempt
+            attempt = 0 if text in (N, SK) else attempt + pending
         elif role == "assistant":
-            if pending:
-                digits = text.split("**Score:** ")[1].split("/10")[0] if "**Score:** " in text else None
-                if digits is not None and attempt == 0:
-                    out.append(int(digits))
-                elif digits is not None and out:
-                    out[-1] = max(out[-1], int(digits))
-                attempt += 1
+            if pending and "**Score:** " in text:
+                mark = int(text.split("**Score:** ")[1].split("/10")[0])
+                if attempt == 1:
+                    out.append(mark)
+                elif out:
+                    out[-1] = max(out[-1], mark)
             pending = False
     return out
 
