@@ -244,11 +244,11 @@ def _shard_function(width: int):
 def repeated_intervals(docs: DataFrame, width: int, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(key, spans): intervals of words that repeated windows cover, of docs (key, doc)."""
     runs = materialize(find_runs(docs, width), "runs")
-    often = runs.groupBy("anchor").agg(F.sum("times").alias("seen")).filter("seen > 1").select("anchor")
+    often = materialize(runs.groupBy("anchor").agg(F.sum("times").alias("seen")).filter("seen > 1").select("anchor"), "anchors")  # a table, so that the join may be split
     shared = materialize(runs.join(often, "anchor", "left_semi"), "shared-runs")
     discard(runs)
     texts = materialize(shared.groupBy("anchor", "text", "n").agg(F.sum("times").alias("count"), F.min("key").alias("key")), "run-texts")
-    crowded = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("__texts")).filter(F.col("__texts") > hot).select("anchor", F.lit(True).alias("hot"))
+    crowded = materialize(texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("__texts")).filter(F.col("__texts") > hot).select("anchor", F.lit(True).alias("hot")), "crowded")
     marked = texts.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     load = marked.agg(F.sum(F.when(F.col("hot"), F.col("n") * width).otherwise(F.col("n") + width - 1))).first()[0] or 0
     shards = int(load // shard) + 1
