@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_id, license_scan, pieces, quality, secrets, simhash, substring_dedup, toxicity
+from . import ann, decontamination, language_id, license_scan, oracles, pieces, quality, secrets, simhash, substring_dedup, toxicity
 from .common import fold_of
 
 
@@ -45,7 +45,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
