@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 #: Vectors, or queries, in a block: bounds what a task holds.
 BLOCK = 4096
 
@@ -144,7 +146,7 @@ def fit(vectors: DataFrame, parts: int = 32, sample: int = 8_192, neighbours: in
     An eighth of the sample is not learned from; its queries against the rest say
     how many parts reach ``recall``. None where there are fewer than two vectors.
     """
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(sample).collect()
+    rows = hashed_sample(vectors, "vec_id", sample, 6).collect()
     if len(rows) < 2:
         return None
     x = np.array([r.vector for r in rows], np.float64)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, sigmoid
+from .common import fit_logistic, hashed_sample, sigmoid
 
 #: A statistic's name and how it follows from the counts below.
 STATISTICS = ("n_chars", "n_words", "word_length", "symbols", "bars", "capitals", "digits", "points", "lines", "distinct", "foreign", "marks")
@@ -153,10 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     one id count as their majority (ties: 1). Null ids and labels are left out.
     The sampled ids (8 bytes each) are broadcast, so the documents aren't shuffled.
     """
-    picked = (
-        labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(sample)
-    )
+    marked = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    picked = hashed_sample(marked, "doc_id", sample, 4)
     rows = statistics(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id"))
     got = rows.select("doc_id", "label", *[F.col("stat")[k].alias(k) for k in STATISTICS]).limit(2 * sample).toPandas().sort_values(["doc_id", *STATISTICS])
     return fit(got[list(STATISTICS)].to_numpy(np.float64), got["label"].to_numpy(np.float64), **options)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, fit_logistic, map_batches, sigmoid
+from .common import binary_values, fit_logistic, hashed_sample, map_batches, sigmoid
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -105,8 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5_000, longest: int
     are left out.
     """
     marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit(10))
-    picked = marked.filter("toxic = 1").orderBy(order, "doc_id").limit(sample // 2).unionByName(marked.filter("toxic <> 1").orderBy(order, "doc_id").limit(sample // 2))
+    picked = hashed_sample(marked.filter("toxic = 1"), "doc_id", sample // 2, 10).unionByName(hashed_sample(marked.filter("toxic <> 1"), "doc_id", sample // 2, 10))
     got = docs.select(F.col("doc_id").cast("long"), "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").limit(2 * sample).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text.encode("utf-8", "surrogatepass") for r in got], np.array([r.toxic for r in got], float), **options)
