@@ -99,7 +99,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, l1: float = 0.0
         return np.zeros(d), 0.0
     if y.min() == y.max():
         return np.zeros(d), 6.0 if y[0] else -6.0
-    probe = np.ones(d) / np.sqrt(max(d, 1))
+    probe = np.full(d, 1 / np.sqrt(max(d, 1)), x.dtype)
     for _ in range(12):  # the largest eigenvalue bounds the step
         probe = x.T @ (x @ probe)
         norm = np.linalg.norm(probe)
@@ -111,8 +111,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, l1: float = 0.0
     w, b = np.zeros(d), float(np.log(mean / (1 - mean)))
     v, c, t = w, b, 1.0
     for _ in range(rounds):
-        gap = sigmoid(x @ v + c) - y
-        w_new = v - step * (x.T @ gap / n + l2 * v)
+        gap = sigmoid(x @ v.astype(x.dtype) + c) - y  # in the matrix' own precision, which is not copied
+        w_new = v - step * (x.T @ gap.astype(x.dtype) / n + l2 * v)
         w_new = np.sign(w_new) * np.maximum(np.abs(w_new) - step * l1, 0.0)
         b_new = c - step * float(gap.mean())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2

@@ -82,7 +82,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, width: int = 1024, folds: int = 4
     marks = [*listed.values(), toxic * (sum(listed.values()) == 0), toxic.astype(float)]
     fold = np.random.default_rng(seed).integers(0, folds, len(texts))
     chain = Chain(names, columns, np.zeros((len(chosen), len(names))), np.zeros((len(names), len(names))), np.zeros(len(names)))
-    earlier = np.zeros((len(texts), 0))
+    earlier = np.zeros((len(texts), 0), np.float32)
     for k, y in enumerate(marks):
         wide = np.hstack([x, earlier])
         w, b = fit_logistic(wide, y, l2=l2)
@@ -93,7 +93,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, width: int = 1024, folds: int = 4
                 if (fold == f).any():
                     wf, bf = fit_logistic(wide[fold != f], y[fold != f], l2=l2, rounds=200)
                     out[fold == f] = sigmoid(wide[fold == f] @ wf + bf)
-            earlier = np.hstack([earlier, out[:, None]])
+            earlier = np.hstack([earlier, out[:, None].astype(np.float32)])
     return chain
 
 
