@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MAX_N = 3
@@ -176,5 +178,6 @@ def predict(df: DataFrame, model: KernelModel | None, keep: tuple[str, ...] = ("
 def without_unknown(df: DataFrame, model: KernelModel | None) -> DataFrame:
     """The rows of ``df``, all columns, whose language can be told: letters, and a best score above an even share by a tenth or more."""
     least = 1.1 / len(model.languages) if model and len(model.languages) > 1 else 0.0
-    marked = predict(df, model, tuple(df.columns), ("__lang", "__score"))
-    return marked.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")
+    lang, score = free_name(df, "__lang"), free_name(df, "__score")
+    marked = predict(df, model, tuple(df.columns), (lang, score))
+    return marked.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

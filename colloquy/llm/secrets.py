@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, to_ascii_lower
+from .common import free_name, materialize, to_ascii_lower
 from .trigrams import ALWAYS, query_of
 
 
@@ -84,10 +84,10 @@ def places(text: Column, rule: Rule) -> Column:
 
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index as rows (trigram: position in the list, key), written to the shared folder."""
-    low = docs.select("__key", to_ascii_lower(F.col("__text")).alias("low"))
+    """The inverted index of docs (key, text) as rows (trigram: position in the list, key), written to the shared folder."""
+    low = docs.select("key", to_ascii_lower(F.col("text")).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return materialize(low.select(F.explode(held).alias("trigram"), F.col("__key").alias("key")), "postings")
+    return materialize(low.select(F.explode(held).alias("trigram"), "key"), "postings")
 
 
 def candidates(postings: DataFrame, trigrams: list[str], rules: tuple[Rule, ...]) -> DataFrame:
@@ -119,7 +119,7 @@ def candidates(postings: DataFrame, trigrams: list[str], rules: tuple[Rule, ...]
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, spans_col: str = "spans") -> DataFrame:
-    """``docs`` with ``spans_col``: array of (start, rule, stop), sorted.
+    """``docs`` with ``spans_col``: array of (start, rule, stop), sorted; a column of that name gives way.
 
     start and stop are code points of the whole text, stop exclusive; rule is a
     position in ``rules``. Every row stays, with all its columns; a null or empty
@@ -127,23 +127,25 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     rows that share one share their candidates, and each is verified on its own
     text. The join has one row by key on the candidates' side and may be split.
     """
+    whole, key, met = (free_name(docs, n) for n in ("__text", "__key", "__rules"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__text": text, "__key": F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])})
+    keyed = docs.withColumns({whole: text, key: F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])})
     queries = [query_of(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries if q != ALWAYS for c in q for t in c})
     if trigrams:
-        found = candidates(index(keyed, trigrams), trigrams, rules).withColumnsRenamed({"key": "__key", "rules": "__rules"})
-        keyed = keyed.join(found, "__key", "left")
+        postings = index(keyed.select(F.col(key).alias("key"), F.col(whole).alias("text")), trigrams)
+        keyed = keyed.join(candidates(postings, trigrams, rules).withColumnsRenamed({"key": key, "rules": met}), key, "left")
     else:
-        keyed = keyed.withColumn("__rules", F.array().cast("array<int>"))
+        keyed = keyed.withColumn(met, F.array().cast("array<int>"))
     none = F.array().cast("array<struct<start:int,rule:int,stop:int>>")
     by_rule = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
-        wanted = F.array_contains("__rules", i) if query != ALWAYS else F.col("__text").rlike(rule.pattern)
+        wanted = F.array_contains(met, i) if query != ALWAYS else F.col(whole).rlike(rule.pattern)
         number = F.lit(i)
-        spans = F.transform(places(F.col("__text"), rule), lambda p: F.struct(p["start"].alias("start"), number.alias("rule"), p["stop"].alias("stop")))
+        spans = F.transform(places(F.col(whole), rule), lambda p: F.struct(p["start"].alias("start"), number.alias("rule"), p["stop"].alias("stop")))
         by_rule.append(F.when(wanted, spans).otherwise(none))
-    return keyed.withColumn(spans_col, F.array_sort(F.concat(*by_rule))).drop("__key", "__text", "__rules")
+    kept = [c for c in docs.columns if c != spans_col]
+    return keyed.withColumn(spans_col, F.array_sort(F.concat(*by_rule))).select(*[f"`{c}`" for c in kept], spans_col)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, map_batches, materialize
+from .common import binary_values, free_name, map_batches, materialize
 from .components import connected_components
 
 _BITS = 64
@@ -108,9 +108,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The row of the smallest id stays; among rows of one id that of the smallest
     hash of id and text, and one of those that agree in both. Null ids come last.
     """
-    keyed = df.withColumn("__key", F.xxhash64(id_col, text_col))
+    own = free_name(df, "__key")
+    keyed = df.withColumn(own, F.xxhash64(id_col, text_col))
     rows = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     rooted = materialize(groups(materialize(rows.select("fp").distinct(), "heads")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    kept = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
-    return keyed.dropDuplicates(["__key"]).join(materialize(kept, "kept"), "__key", "left_semi").drop("__key")
+    kept = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(own))
+    return keyed.dropDuplicates([own]).join(materialize(kept, "kept"), own, "left_semi").drop(own)

@@ -193,7 +193,7 @@ def naive_secrets(text):
 def test_secrets_against_python(spark):
     texts = [*EDGES, *SECRETS]
     rows = secrets.find_secrets(docs(spark, texts), spans_col="found").collect()
-    assert len(rows) == len(texts) and rows[0].spans == "y"
+    assert len(rows) == len(texts) and rows[0].spans == "y" and rows[0]["__key"] == "z"
     for r in rows:
         base = [(s.start, s.rule, s.stop) for s in r.found if s.rule < 3]
         assert base == naive_secrets(texts[r.doc_id] or "")
