@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, language_id, pieces, secrets, simhash
-from colloquy.llm.common import fold_of, materialize
+from colloquy.llm.common import fold_of, free_name, materialize
 
 #: A kernel model and alignments are beyond SQL.
 ORACLE_SQL = None
@@ -33,9 +33,10 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; n_chars follows the text."""
-    found = secrets.find_secrets(docs, spans_col="__spans").withColumn("text", secrets.redacted(F.col("text"), F.col("__spans")))
+    spans = free_name(docs, "__spans")
+    found = secrets.find_secrets(docs, spans_col=spans).withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", changed)
     return found.select(docs.columns)
 
