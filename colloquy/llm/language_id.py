@@ -159,17 +159,18 @@ def predict(df: DataFrame, model: KernelModel | None, keep: tuple[str, ...] = ("
     shared = sc.broadcast(None if model is None else KernelModel(**{**vars(model), "landmarks": np.empty((0, 0))}))
 
     def run(batches):
+        m = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            m, texts = shared.value, [t or "" for t in batch.column("text").to_pylist()]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            usable = [i for i, t in enumerate(texts) if m is not None and _LETTER.search(t)]
-            for i, row in zip(usable, scores([texts[i] for i in usable], m) if usable else ()):
-                best = int(row.argmax())
-                lang[i], score[i] = m.languages[best], float(row[best])
-            columns = [batch.column(n) for n in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            for at in range(0, batch.num_rows, 2 * _BATCH):
+                part = batch.slice(at, 2 * _BATCH)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                usable = [i for i, t in enumerate(texts) if m is not None and _LETTER.search(t)]
+                for i, row in zip(usable, scores([texts[i] for i in usable], m) if usable else ()):
+                    best = int(row.argmax())
+                    lang[i], score[i] = m.languages[best], float(row[best])
+                columns = [part.column(n) for n in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return df.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
