@@ -67,6 +67,17 @@ def to_ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a ``right`` that was aggregated by the keys.
+
+    It lies dealt by them already, and adaptive execution splits a hot key's rows
+    only where both sides are exchanged for the join. A hash of the keys as a
+    further key asks for that; ``right`` has one row a key and moves cheaply.
+    """
+    h = F.xxhash64(*on)
+    return left.withColumn("__h", h).join(right.withColumn("__h", h), ["__h", *on], how).drop("__h")
+
+
 def hashed_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """The ``most`` rows of the smallest hash of ``key``, ties by the key.
 

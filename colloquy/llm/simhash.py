@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, free_name, map_batches, materialize
+from .common import binary_values, free_name, map_batches, materialize, spread_join
 from .components import connected_components
 
 _BITS = 64
@@ -72,11 +72,11 @@ def links(fps: DataFrame) -> DataFrame:
     keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("t", "key"))
     shared = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "key")
     free = F.element_at(F.array(*[F.lit(~m) for m in tables]), F.col("t") + 1)
-    met = keys.join(shared, ["t", "key"]).groupBy("fp").agg(F.bit_or(free).alias("free"))
+    met = spread_join(keys, shared, ["t", "key"]).groupBy("fp").agg(F.bit_or(free).alias("free"))
     bits = [F.when(F.col("free").bitwiseAND(F.lit(_signed(1 << i))) != 0, F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)))) for i in range(_BITS)]
     hubs = met.select("fp", F.explode(F.array_compact(F.array(F.col("fp"), *bits))).alias("hub"))
     centre = hubs.groupBy("hub").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("hub", "least")
-    return hubs.join(centre, "hub").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    return spread_join(hubs, centre, ["hub"]).filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
 
 def groups(fps: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     rooted = materialize(heads.join(groups(heads.select("fp")), "fp"), "groups")
     reached = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    by_fp = materialize(rooted.join(reached, "root").select("fp", "component_id"), "components")  # the last join then has a table on either side and may be split
+    by_fp = materialize(spread_join(rooted, reached, ["root"]).select("fp", "component_id"), "components")  # the last join then has a table on either side and may be split
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
