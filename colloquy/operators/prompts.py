@@ -78,6 +78,14 @@ def default_personas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PERSONAS, "persona_key string, persona_name string, persona_description string, style_instructions string")
 
 
+def technique_key(label: Column) -> Column:
+    """Key of a technique's label; an unknown label is an error."""
+    found = F.lit(None).cast("string")
+    for name, key in TECHNIQUES:
+        found = F.when(label == name, F.lit(key)).otherwise(found)
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown technique: "), F.coalesce(label, F.lit(""))))).otherwise(found)
+
+
 def system_prompt(sessions: DataFrame, templates: DataFrame | None = None, personas: DataFrame | None = None, feedback_rules: str = FEEDBACK_RULES) -> DataFrame:
     """``sessions`` with system_prompt.
 

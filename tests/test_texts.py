@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as texts
 from colloquy.operators import cost, guards, markdown, parsing, prompts, report, scores
-from colloquy.sources import replies, uploads
+from colloquy.sources import replies, sessions, uploads
 
 
 def one(spark, value, column, kind="string"):
@@ -100,8 +100,8 @@ def test_costs(spark):
     assert rows["gpt-4.1-mini1"].total_cost_usd == pytest.approx(0.0012) and rows["gpt-4.1-mini1"].formatted.endswith("1,500 tokens ($0.001200)")
     assert rows["gpt-4o1"].formatted.endswith("2,000,000 tokens ($12.500000)") and rows["unknown1"].formatted.endswith("20 tokens ($0.000000)")
     assert rows["gpt-4.1-nano2"].formatted.endswith(f"5 tokens (${(5 / 1e6) * 0.10:.6f})") and rows["gpt-4.1-nano3"].formatted.endswith(f"(${(25 / 1e6) * 0.10:.6f})")
-    sessions = spark.createDataFrame([(1,), (9,)], "session_id long")
-    by_session = {r.session_id: r for r in cost.session_cost(calls, sessions).collect()}
+    known = spark.createDataFrame([(1,), (9,)], "session_id long")
+    by_session = {r.session_id: r for r in cost.session_cost(calls, known).collect()}
     assert (by_session[1].n_calls, by_session[1].total_tokens) == (3, 2001520) and "$12.501200 USD" in by_session[1].formatted
     assert by_session[9].formatted == cost.NO_CALLS
 
@@ -159,6 +159,15 @@ def test_prompts(spark):
         prompts.system_prompt(bad).collect()
 
 
+def test_settings(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, 7, None)], "session_id long, total_questions int, jd_summary string")
+    got = {r.session_id: r for r in sessions.with_defaults(rows).collect()}
+    assert (got[1].total_questions, got[1].jd_summary, got[1].cv_summary) == (4, "x", "") and (got[2].total_questions, got[2].jd_summary) == (7, "")
+    assert many(spark, [label for label, _ in prompts.TECHNIQUES], prompts.technique_key) == [key for _, key in prompts.TECHNIQUES]
+    with pytest.raises(Exception, match="unknown technique"):
+        one(spark, "Ten-Shot", prompts.technique_key)
+
+
 def test_uploads(spark, tmp_path):
     files = {"a.docx": uploads.make_docx(["  One", "two <&>", ""]), "B.DOCX": uploads.make_docx([]), "c.docx": b"no zip", "d.pdf": b"no pdf"}
     for name, content in files.items():
@@ -178,6 +187,6 @@ def test_replies(spark):
     assert {r.key: len(r.prompt) for r in asked.collect()} == {1: 6000, 3: 5}
     told = replies.record(asked, lambda batch: [p[:2].upper() for p in batch["prompt"]])
     assert {r.key: r.reply for r in replies.recorded(asked, told).collect()} == {1: "XX", 3: "SH"}
-    sessions = spark.createDataFrame([(1, "S")], "session_id long, system_prompt string")
+    prompted = spark.createDataFrame([(1, "S")], "session_id long, system_prompt string")
     log = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], "session_id long, seq long, role string, content string")
-    assert [(m.role, m.content) for m in replies.chat_requests(sessions, log).first().messages] == [("system", "S"), ("user", "a"), ("assistant", "b")]
+    assert [(m.role, m.content) for m in replies.chat_requests(prompted, log).first().messages] == [("system", "S"), ("user", "a"), ("assistant", "b")]
