@@ -1,9 +1,12 @@
 """Benchmark decontamination: passages of test items in training texts.
 
-Rare word n-grams of the items are seeds: of every few neighbouring n-grams of an
-item the one that the fewest documents hold, counted over all documents. A
-document that holds a seed is aligned with the item around it (Smith-Waterman over
-words), which scores edited and paraphrased copies.
+Rare word n-grams of the items are seeds. A copy at or over the threshold can have
+so many edits only, and so holds some number of the item's n-grams at least (see
+:func:`shared_grams`); all but the most frequent n-grams, one fewer than that
+number, are seeds, so that every such copy holds one. How frequent an n-gram is, is
+counted over all documents. A document that holds a seed is aligned with the item
+around it (Smith-Waterman over words), which scores edited and paraphrased copies;
+places with too few of the item's words to reach the threshold are passed over.
 
 Items are taken in blocks of bounded size. A block is broadcast and every document
 is matched against it where it lies; no text is shuffled.
@@ -11,9 +14,10 @@ is matched against it where it lies; no text is shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,10 +28,8 @@ from pyspark.sql import functions as F
 from .common import binary_values
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Words in a seed.
+#: Words in an item, at least; words in a seed, at most.
 _N = 3
-#: Of so many neighbouring n-grams the rarest is a seed: a run of _N + _SPREAD - 1 kept words holds one.
-_SPREAD = 3
 #: n-grams in a block of items, at most (one item may exceed it).
 BLOCK = 400_000
 _GAP, _MISMATCH = 0.5, -0.5
@@ -39,8 +41,23 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def grams_of(words: list[bytes]) -> Iterator[Gram]:
-    return zip(*(words[i:] for i in range(_N)))
+def grams_of(words: list[bytes], n: int) -> Iterator[Gram]:
+    return zip(*(words[i:] for i in range(n)))
+
+
+def shared_grams(length: int, threshold: float) -> tuple[int, int]:
+    """(n, least): a copy of an item of ``length`` words that scores ``threshold`` holds ``least`` of its n-grams or more.
+
+    M words kept and E edits, each at _GAP, score M - E / 2: E is 2 (M - threshold
+    length) at most. They lie in E + 1 runs at most, which hold M - (n - 1)(E + 1)
+    n-grams or more; for n > 1 that is least where M = length. The longest n that
+    leaves one is taken; for n = 1 it is M itself.
+    """
+    for n in range(_N, 1, -1):
+        least = math.ceil(length - (n - 1) * ((1 - threshold) * length / _GAP + 1) - 1e-9)
+        if least > 0:
+            return n, least
+    return 1, max(1, math.ceil(threshold * length - 1e-9))
 
 
 @dataclass
@@ -50,8 +67,8 @@ class Block:
     ids: list[int] = field(default_factory=list)
     items: list[list[bytes]] = field(default_factory=list)
 
-    def grams(self) -> list[Gram]:
-        return list(dict.fromkeys(g for w in self.items for g in grams_of(w)))
+    def grams(self, threshold: float) -> list[Gram]:
+        return list(dict.fromkeys(g for w in self.items for g in grams_of(w, shared_grams(len(w), threshold)[0])))
 
 
 def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Block]:
@@ -71,31 +88,40 @@ def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Block]:
         yield now
 
 
+def by_length(grams: Iterable[Gram]) -> dict[int, set[Gram]]:
+    out: dict[int, set[Gram]] = defaultdict(set)
+    for g in grams:
+        out[len(g)].add(g)
+    return dict(out)
+
+
 def document_counts(docs: DataFrame, grams: list[Gram]) -> dict[Gram, int]:
     """How many of all documents hold each n-gram; partitions are counted where they lie."""
     shared = docs.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(grams)})
 
     def run(batches):
         table, counts = shared.value, Counter()
-        known = set(table)
+        known = by_length(table)
         for batch in batches:
             for text in binary_values(batch, "text"):
-                counts.update(map(table.__getitem__, known.intersection(grams_of(words_of(text)))))
+                words = words_of(text)
+                for n, own in known.items():
+                    counts.update(map(table.__getitem__, own.intersection(grams_of(words, n))))
         yield pa.RecordBatch.from_pydict({"gram": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {grams[r.gram]: r.n for r in found.collect()}
 
 
-def rare_seeds(block: Block, counts: dict[Gram, int]) -> dict[Gram, list[tuple[int, int]]]:
-    """Seed -> places (item, word)."""
+def rare_seeds(block: Block, counts: dict[Gram, int], threshold: float) -> dict[Gram, list[tuple[int, int]]]:
+    """Seed -> places (item, word). n-grams that no document holds are none."""
     out: dict[Gram, list[tuple[int, int]]] = defaultdict(list)
     for i, words in enumerate(block.items):
-        grams = list(grams_of(words))
-        order = [(counts.get(g, 0), g, j) for j, g in enumerate(grams)]
-        spread = min(_SPREAD, len(grams))
-        for _, g, j in sorted({min(order[a : a + spread]) for a in range(len(grams) - spread + 1)}):
-            out[g].append((i, j))
+        n, least = shared_grams(len(words), threshold)
+        order = sorted((counts.get(g, 0), g, j) for j, g in enumerate(grams_of(words, n)))
+        for count, g, j in order[: len(order) - least + 1]:
+            if count:
+                out[g].append((i, j))
     return dict(out)
 
 
@@ -122,29 +148,37 @@ def align(item: list[bytes], words: list[bytes]) -> tuple[float, int, int]:
     return float(score) / len(item), j, int(end)
 
 
-def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tuple[int, int]]], known: set[Gram], threshold: float) -> list[tuple[int, float, int, int]]:
+def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tuple[int, int]]], known: dict[int, set[Gram]], threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end) of the best place of each item at or over the threshold."""
-    held = known.intersection(grams_of(words))
-    if not held:
-        return []
     shifts: dict[int, set[int]] = defaultdict(set)
-    for at, g in enumerate(grams_of(words)):
-        if g in held:
-            for i, j in seeds[g]:
-                shifts[i].add(at - j)
-    out = []
+    for size, own in known.items():
+        held = own.intersection(grams_of(words, size))
+        if held:
+            for at, g in enumerate(grams_of(words, size)):
+                if g in held:
+                    for i, j in seeds[g]:
+                        shifts[i].add(at - j)
+    if not shifts:
+        return []
+    out, there = [], set(words)
     for i, found in sorted(shifts.items()):
         item, best = items[i], (0.0, 0, 0)
-        n, todo = len(item), sorted(found)
-        for s in todo:
+        n, least = len(item), threshold * len(item) - 1e-9  # a score is no more than the words kept
+        if sum(map(there.__contains__, item)) < least:
+            continue
+        counts, more = Counter(item), int((1 - threshold) * n / _GAP + 1e-9) + 1  # words put in, at most
+        todo = []
+        for s in sorted(found):
             if s >= 0 and words[s : s + n] == item:
                 best = (1.0, s, s + n)
                 break
+            if (counts & Counter(words[max(0, s - more) : max(0, s + n + more)])).total() >= least:
+                todo.append(s)
         while todo and best[0] < 1.0:
             group = [todo.pop(0)]
             while todo and todo[0] - group[-1] <= n:
                 group.append(todo.pop(0))
-            a, b = max(0, group[0] - n // 2 - 1), min(len(words), group[-1] + n + n // 2 + 1)
+            a, b = max(0, group[0] - more), min(len(words), group[-1] + n + more)
             score, first, end = align(item, words[a:b])
             if score > best[0]:
                 best = (score, a + first, a + end)
@@ -156,14 +190,14 @@ def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tu
 def _matched(docs: DataFrame, items: DataFrame, threshold: float):
     """By block: a function from one text to its places, for use in executors."""
     for block in blocks(items):
-        seeds = rare_seeds(block, document_counts(docs, block.grams()))
+        seeds = rare_seeds(block, document_counts(docs, block.grams(threshold)), threshold)
         shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.items, seeds))
         held: list[tuple] = []
 
         def places(text: bytes, shared=shared, held=held) -> list[tuple[int, float, int, int]]:
             if not held:
                 ids, texts, seeds = shared.value
-                held.append((ids, texts, seeds, set(seeds)))
+                held.append((ids, texts, seeds, by_length(seeds)))
             ids, texts, seeds, known = held[0]
             return [(ids[i], *rest) for i, *rest in find(words_of(text), texts, seeds, known, threshold)]
 

@@ -158,6 +158,38 @@ def test_leaks_in_blocks_and_empty_tables(spark, monkeypatch):
     assert decontamination.without_leaks(docs(spark, texts), table.limit(0)).count() == len(texts)
 
 
+def edited(rng, item, every, how):
+    """``item`` with an edit at each ``every``-th word: changed, left out, or a word put in after it."""
+    out = []
+    for i, w in enumerate(item, 1):
+        out += {"change": ["x%d" % rng.randrange(99)], "drop": [], "insert": [w, "x%d" % rng.randrange(99)]}[how] if i % every == 0 else [w]
+    return out
+
+
+def test_leaks_of_evenly_edited_copies_against_alignment(spark):
+    rng = random.Random(16)
+    items = [[f"i{k}n{j}" if rng.random() < 0.7 else rng.choice(["the", "of", "and"]) for j in range(n)] for k, n in enumerate([3, 4, 5, 6, 8, 15, 25, 40, 59])]
+    copies = [edited(rng, w, every, how) for w in items for every in (2, 3, 4, 5) for how in ("change", "drop", "insert")]
+    copies += [w[: len(w) // 5] + edited(rng, w[len(w) // 5 :], 1, "insert") for w in items] + items[5:7]  # long tails of words put in; exact copies beside the edited
+    texts = [[*prose(rng, 40), *c, *prose(rng, 40)] for c in copies] + [[rng.choice(["the", "of", "and"]) for _ in range(300)]]
+    want = {(d, i): s for d, t in enumerate(texts) for i, w in enumerate(items) if (s := naive_alignment(w, t)) >= 0.6}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs(spark, [" ".join(t) for t in texts]), table).collect()}
+    assert got == pytest.approx(want)
+    assert {(12 * k + 6 + h, k) for k in range(5, 9) for h in (0, 3)} <= want.keys()  # a changed word in every fourth and fifth
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=3, max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=30), st.sampled_from([0.3, 0.6, 0.8, 0.9, 1.0]))
+def test_seeds_leave_out_no_copy(item, words, threshold):
+    item, words = ([w.encode() for w in x] for x in (item, words))
+    grams = Counter(g for n in (1, 2, 3) for g in set(decontamination.grams_of(words, n)))
+    seeds = decontamination.rare_seeds(decontamination.Block([0], [item]), grams, threshold)
+    found = decontamination.find(words, [item], seeds, decontamination.by_length(seeds), threshold)
+    score = naive_alignment(item, words)
+    assert [r[1] for r in found] == ([pytest.approx(score)] if score >= threshold else [])
+
+
 # ---- neighbours
 
 
