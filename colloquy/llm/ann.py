@@ -178,22 +178,30 @@ def routed(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
 
 
 def nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best among a block's vectors other than of its own id: product in doubles, ties to the smaller id."""
+    """Each query's k best ids among a block's vectors other than of its own id: product in doubles, ties to the smaller id.
+
+    An id's rows count once, at their best score, before the cut to k.
+    """
     if queries.empty or vectors.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+    vectors = vectors.sort_values("vec_id", kind="stable")
     q, v = (np.stack(list(x["vector"])).astype(np.float64) for x in (queries, vectors))
     own, ids = queries["vec_id"].to_numpy(), vectors["vec_id"].to_numpy()
+    first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # each id's first row
     slack = 1e-12 * np.abs(q).sum(1).max() * np.abs(v).max()
     whose, found, scores = [], [], []
     for a in range(0, len(q), 256):
         rough = q[a : a + 256] @ v.T
         rough[own[a : a + 256, None] == ids[None, :]] = -np.inf
-        at = min(k, len(v)) - 1
-        limit = -np.partition(-rough, at, axis=1)[:, at]
+        by_id = rough if len(first) == len(v) else np.maximum.reduceat(rough, first, axis=1)
+        at = min(k, len(first)) - 1
+        limit = -np.partition(-by_id, at, axis=1)[:, at]
         for i, row in enumerate(rough):
             held = np.flatnonzero((row >= limit[i] - slack) & (row > -np.inf))
             score = (v[held] * q[a + i]).sum(1)  # the same order of sums for every vector: equal vectors tie
-            best = np.lexsort((ids[held], -score))[:k]
+            best = np.lexsort((-score, ids[held]))
+            best = best[np.diff(ids[held][best], prepend=ids[0] - 1) != 0]  # of each id the best row
+            best = best[np.lexsort((ids[held][best], -score[best]))][:k]
             whose.append(np.full(len(best), own[a + i]))
             found.append(ids[held][best])
             scores.append(score[best])

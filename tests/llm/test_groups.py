@@ -244,6 +244,22 @@ def test_blocks_split_large_parts(spark, monkeypatch):
         assert list(own.sort_values("rank").vec_id) == list(np.argsort(-s)[:5])
 
 
+@pytest.mark.parametrize("copies", ["one", "all"])
+def test_ids_of_many_rows_take_one_place_each(spark, monkeypatch, copies):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng, k = np.random.default_rng(10), 5
+    ids = np.concatenate([np.arange(200), np.full(90, 7) if copies == "one" else np.arange(200)])
+    x = rng.standard_normal((len(ids), 4)).astype(np.float32)
+    x[ids == 7] += np.float32(9) * x[0]  # near many queries
+    got = ann.search(vectors_of(spark, [(int(i), [float(v) for v in r], 0, 0, "") for i, r in zip(ids, x)]), F.col("vec_id") % 10 == 0, k=k, parts=2, recall=1.0).toPandas()
+    y = x.astype(np.float64)
+    assert got.query_id.nunique() == 20
+    for q, own in got.groupby("query_id"):
+        s = (y @ y[ids == q].T).max(1)
+        best = np.array([s[ids == i].max() if i != q else -np.inf for i in range(200)])
+        assert list(own.sort_values("rank").vec_id) == list(np.argsort(-best, kind="stable")[:k])
+
+
 # ---- repeated windows
 
 
