@@ -2,8 +2,9 @@
 
 A bounded sample's neighbour graph is cut into balanced parts, a small classifier
 learns the part of a vector from those of its neighbours, and it then files every
-vector under its likeliest part and sends every query to several. Within a part,
-blocks of vectors meet blocks of queries and are ranked exactly.
+vector under its likeliest part and sends every query to several, and to more where
+those hold too few. Within a part, blocks of vectors meet blocks of queries and are
+ranked exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import discard, hashed_sample, materialize
 
 #: Vectors, or queries, in a block: bounds what a task holds.
 BLOCK = 4096
@@ -160,8 +161,8 @@ def fit(vectors: DataFrame, parts: int = 32, sample: int = 8_192, neighbours: in
     return router, probes_for(router, x, apart, parts, k, recall) if len(apart) else parts
 
 
-def routed(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
-    """``vectors`` with column part, a row for each of the ``probes`` likeliest."""
+def routed(vectors: DataFrame, router: Router, probes: int, after: int = 0) -> DataFrame:
+    """``vectors`` with column part, a row for each of the ``probes`` likeliest but the first ``after``."""
     shared = vectors.sparkSession.sparkContext.broadcast(router)
     kind = vectors.schema["vector"].dataType.simpleString()
 
@@ -170,7 +171,7 @@ def routed(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
             if batch.num_rows:
                 lists = batch.column("vector")
                 x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                found = shared.value.likeliest(x, probes)
+                found = shared.value.likeliest(x, probes)[:, after:]
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), lists.take(rows), pa.array(found.ravel().astype(np.int32))], names=["vec_id", "vector", "part"])
 
@@ -213,9 +214,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 32, r
 
     Nearest: the largest inner product, in doubles; ties go to the smaller id. All
     rows but the query's own are candidates. Rows of one id count as one vector,
-    at its best score. Vectors that :func:`usable` leaves out take no part. Where
-    fewer than k candidates are found, all are returned; an empty table gives no
-    rows. A part's vectors and queries are dealt into blocks of ``BLOCK`` by a
+    at its best score. Vectors that :func:`usable` leaves out take no part. Queries
+    whose parts hold fewer than k ids are sent on, to twice as many parts each time,
+    until they have k or all parts were asked: where there are fewer than k
+    candidates, all are returned; an empty table gives no rows. A part's vectors and queries are dealt into blocks of ``BLOCK`` by a
     hash of the id, however many a part has; only the counts by part (at most
     ``parts`` rows) come to the driver.
     """
@@ -226,22 +228,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 32, r
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router, probes = fitted
-    filed, asked = routed(kept, router, 1), routed(kept.filter(is_query), router, probes)
+    filed, queries = routed(kept, router, 1), kept.filter(is_query)
 
     def blocks_of(df: DataFrame) -> Column:
         counts = {r.part: -(-r["count"] // BLOCK) for r in df.groupBy("part").count().collect()}
         return F.coalesce(F.get(F.array(*[F.lit(counts.get(p, 0)) for p in range(parts)]), F.col("part")), F.lit(0))
 
-    n_filed, n_asked = blocks_of(filed), blocks_of(asked)
+    n_filed = blocks_of(filed)
 
     def dealt(df: DataFrame, own: Column, other: Column, names: tuple[str, str]) -> DataFrame:
         """Each row goes to one block of its own side, which meets every block of the other."""
         rows = df.withColumn(names[0], F.pmod(F.xxhash64("vec_id", F.lit(61)), own).cast("int")).filter(other > 0)
         return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), (other - 1).cast("int"))))
 
-    right = dealt(filed, n_filed, n_asked, ("block", "ask")).groupBy("part", "block", "ask")
-    left = dealt(asked, n_asked, n_filed, ("ask", "block")).groupBy("part", "block", "ask")
-    found = left.cogroup(right).applyInPandas(lambda q, v: nearest(q, v, k), schema)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def near(asked: DataFrame) -> DataFrame:
+        n_asked = blocks_of(asked)
+        right = dealt(filed, n_filed, n_asked, ("block", "ask")).groupBy("part", "block", "ask")
+        left = dealt(asked, n_asked, n_filed, ("ask", "block")).groupBy("part", "block", "ask")
+        return left.cogroup(right).applyInPandas(lambda q, v: nearest(q, v, k), schema)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return materialize(once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+
+    best = ranked(near(routed(queries, router, probes)))
+    while probes < parts:
+        full = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+        short = queries.join(full, "vec_id", "left_anti")
+        if short.isEmpty():
+            break
+        had, best = best, ranked(best.select("query_id", "vec_id", "score").unionByName(near(routed(short, router, 2 * probes, probes))))
+        discard(had)
+        probes = min(parts, 2 * probes)
+    return best

@@ -260,6 +260,19 @@ def test_ids_of_many_rows_take_one_place_each(spark, monkeypatch, copies):
         assert list(own.sort_values("rank").vec_id) == list(np.argsort(-best, kind="stable")[:k])
 
 
+def test_queries_of_thin_parts_ask_more(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal((300, 4)) * 0.1 + 3, rng.standard_normal((6, 4)) * 0.1 - 3]).astype(np.float32)
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: (fit(*a, **b)[0], 1))  # one part asked at first
+    rows = [(i, [float(v) for v in r], 0, 0, "") for i, r in enumerate(x)] + [(305, [float(v) for v in x[304]], 0, 0, "")]
+    got = ann.search(vectors_of(spark, rows), F.col("vec_id") % 5 == 0, k=20, parts=32).toPandas()
+    assert {q: sorted(d["rank"]) for q, d in got.groupby("query_id")} == {q: list(range(1, 21)) for q in range(0, 306, 5)}
+    assert got.groupby("query_id").vec_id.nunique().eq(20).all() and (got.query_id != got.vec_id).all()
+    few = ann.search(vectors_of(spark, rows[:12]), F.col("vec_id") % 5 == 0, k=20, parts=32).toPandas()
+    assert few.groupby("query_id").size().to_dict() == {0: 11, 5: 11, 10: 11}
+
+
 # ---- repeated windows
 
 
