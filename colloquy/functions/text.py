@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space, and the four separators U+001C-1F.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Unicode's white space, and the four separators U+001C-1F.
+_EDGES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_EDGES))
 
 
 def word_count(text: Column) -> Column:
