@@ -1,43 +1,52 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words are exploded into substrings of bounded length, those that are pieces (an
-equi-join with the piece table) become edges from position to position, edges are
-grouped by word, and a fold (Viterbi) finds each word's best path.
+Texts fall into units over whose ends no piece reaches: at spaces, and between any two
+characters that stand side by side in no piece. Every different unit of the corpus is
+encoded once: units are exploded into substrings of bounded length, those that are
+pieces (an equi-join with the piece table) become edges from position to position,
+edges are grouped by unit, and a fold (Viterbi, ``aggregate``) finds each unit's best
+path.
 
 The model at hand is of the merging kind (BPE): its scores order merges and are no
 path costs, so a path's largest sum of scores is not its encoding. What holds is
-that a path is the encoding exactly if every two neighbouring pieces, put together
-and merged on their own, give those two again. The fold therefore runs over pairs:
-a step from one piece to the next costs nothing if the pair is stable and is barred
-if not, and one path is left.
-
-The words are the most frequent of the corpus, counted over all documents, up to
-a bound; their encodings are broadcast. The executors encode any other word by the
-same lattice and fold when they meet it.
+that a path is the encoding exactly if no merge reaches over the border of two
+neighbouring pieces before both are whole. A step of the fold is therefore free or
+barred. It is barred if the unit's lattice has an edge over the border, from the
+beginning of some last part of the left piece to the end of some first part of the
+right one, that ranks before the merges which use these parts up. One path is left.
+
+The units' encodings are a table. Of the most frequent units they are broadcast, up
+to a bound; those of a document's other units are joined to it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose encodings are broadcast, and the length of the longest: 50,000 words of 64 characters at most.
-DICTIONARY, LONGEST_WORD = 50_000, 64
-#: Other words and pairs an executor's worker remembers at most.
+#: Units whose encodings are broadcast at most, of at most LONGEST characters each.
+FREQUENT = 400_000
+#: Characters of a unit in the relational lattice; longer ones, which no fold over arrays carries well, are encoded by :meth:`Model.encode_unit`.
+LONGEST = 64
+#: Different units that a lattice partition is meant to hold.
+_UNITS = 25_000
+#: Words that a worker remembers at most.
 _REMEMBERED = 600_000
 _SLICE = 256
+#: Above all ranks: a part that no merge uses up.
+_NEVER = 1 << 24
 
 
 @dataclass
@@ -53,26 +62,38 @@ class Model:
     tails: frozenset[str]
     #: Words between which no piece reaches, in a text with its space marks; None where pieces may reach over any.
     words: re.Pattern | None
+    #: Code point -> number of a character that stands in a piece of two or more; else 0.
+    symbols: np.ndarray
+    #: Whether some piece has the two numbered characters side by side.
+    bridged: np.ndarray
     stable: dict[tuple[str, str], bool] = field(default_factory=dict)
 
-    def merged(self, text: str) -> list[str]:
-        """Best-scored merge first, leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max((self.pieces[p][1], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.pieces) if any(a + b in self.pieces for a, b in zip(parts, parts[1:])) else None
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    def merged(self, text: str) -> list[tuple[str, int, int]]:
+        """Parts after all merges, the best-scored first, leftmost among equals: (text, begin, stop)."""
+        parts = [(c, i, i + 1) for i, c in enumerate(text)]
+        for _, at in self.merges(text):
+            i = next(i for i, p in enumerate(parts) if p[1] == at)
+            parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], at, parts[i + 1][2])]
         return parts
 
+    def merges(self, text: str) -> list[tuple[str, int]]:
+        """The merges of a short text in order: (merged text, begin)."""
+        parts, done = [(c, i) for i, c in enumerate(text)], []
+        while True:
+            open_ = [(self.pieces[x][1], -i) for i in range(len(parts) - 1) if (x := parts[i][0] + parts[i + 1][0]) in self.pieces]
+            if not open_:
+                return done
+            i = -max(open_)[1]
+            parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], parts[i][1])]
+            done.append(parts[i])
+
     def is_stable(self, left: str, right: str) -> bool:
         """Whether the pair stays as it is; an empty left asks for the piece alone."""
         known = self.stable.get((left, right))
         if known is None:
             if len(self.stable) >= _REMEMBERED:
                 self.stable.clear()
-            known = self.stable[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.stable[left, right] = [p[0] for p in self.merged(left + right)] == ([left, right] if left else [right])
         return known
 
     def ids(self, piece: str) -> list[int]:
@@ -81,34 +102,22 @@ class Model:
             return [found[0]]
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown_id]
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """The same lattice and fold in one process. Words in order share what their common beginnings give."""
-        pieces, stable, tails = self.pieces, self.stable, self.tails
-        out: dict[str, tuple[int, ...]] = {}
-        last, before = [""], ""  # the last piece of each beginning's encoding
-        for word in sorted(words):
-            same, most = 0, min(len(word), len(before))
-            while same < most and word[same] == before[same]:
-                same += 1
-            del last[same + 1 :]
-            for stop in range(same + 1, len(word) + 1):
-                for start in range(stop - 1, -1, -1):
-                    piece = word[start:stop]
-                    if piece in pieces or start + 1 == stop:
-                        pair = (last[start], piece)
-                        known = stable.get(pair)
-                        if known or known is None and self.is_stable(*pair):
-                            last.append(piece)
-                            break
-                    if piece not in tails and start + 1 < stop:
-                        break
-            path, at = [], len(word)
-            while at:
-                path.append(last[at])
-                at -= len(last[at])
-            out[word] = tuple(i for p in reversed(path) for i in self.ids(p))
-            before = word
-        return out
+    def encode_unit(self, unit: str) -> list[int]:
+        """The same lattice and fold in one process, linear in the unit's length."""
+        last = [""]  # the last piece of each beginning's encoding
+        for stop in range(1, len(unit) + 1):
+            for start in range(stop - 1, -1, -1):
+                piece = unit[start:stop]
+                if (piece in self.pieces or start + 1 == stop) and self.is_stable(last[start], piece):
+                    last.append(piece)
+                    break
+                if piece not in self.tails and start + 1 < stop:
+                    raise RuntimeError(f"no encoding of {unit[:100]!r}")
+        path, at = [], len(unit)
+        while at:
+            path.append(last[at])
+            at -= len(last[at])
+        return [i for p in reversed(path) for i in self.ids(p)]
 
     def split(self, text: str) -> list[str]:
         """Keys of the text's words; see :meth:`word_of`."""
@@ -127,16 +136,34 @@ class Model:
             return "\n", key[1:]
         return "", key[1:] if key.startswith(SPACE) else SPACE + key
 
-    def encode_keys(self, keys: set[str], known: dict[str, tuple[int, ...]] | None = None) -> dict[str, tuple[int, ...]]:
-        """Ids by key; ``known``: ids of words that are already encoded."""
-        found = known or {}
-        plain = {SPACE + k: k for k in keys if k[:1] not in ("\n", SPACE)}
-        out = {plain[w]: ids for w, ids in self.encode_words(plain.keys() - found.keys()).items()}
-        out |= {plain[w]: found[w] for w in plain.keys() & found.keys()}
-        if len(out) < len(keys):
-            other = {k: self.word_of(k) for k in keys if k not in out}
-            own = self.encode_words({"\n", *(w for _, w in other.values())} - found.keys()) | {w: found[w] for _, w in other.values() if w in found}
-            out |= {k: (own["\n"] if before else ()) + own[word] for k, (before, word) in other.items()}
+    def units(self, keys: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of the keys' words, one after the other, and how many each key has."""
+        parts = [SPACE + k if k[:1] not in ("\n", SPACE) else k if k[0] == "\n" else k[1:] for k in keys]
+        if not parts:
+            return [], np.zeros(0, np.int64)
+        whole = "".join(parts)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.symbols[np.minimum(points, len(self.symbols) - 1)]
+        cut = np.ones(len(points) + 1, bool)
+        cut[1:-1] = ~self.bridged[symbols[:-1], symbols[1:]]
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        return [whole[a:b] for a, b in zip(places, places[1:])], np.diff(np.searchsorted(at, ends))
+
+    def encode_keys(self, keys: list[str], *tables: dict[str, bytes]) -> dict[str, bytes]:
+        """Ids by key, packed as 32-bit numbers; ``tables``: those of units."""
+        found, sizes = self.units(keys)
+        first, *others = tables
+        ids = []
+        for u in found:
+            known = first.get(u)
+            ids.append(known if known is not None else next(t[u] for t in others if u in t))
+        out, at = {}, 0
+        for k, n in zip(keys, sizes.tolist()):
+            out[k] = ids[at] if n == 1 else b"".join(ids[at : at + n])
+            at += n
         return out
 
     def decode(self, ids) -> str:
@@ -155,120 +182,232 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     texts = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].encode() if names[i] in pieces else b"" for i in range(n)]
     apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
     words = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if apart else None
-    return Model(pieces, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [], sp.unk_id(), texts, max(map(len, pieces)), frozenset(p[i:] for p in pieces for i in range(len(p))), words)
-
-
-def frequent_words(docs: DataFrame, model: Model, most: int = DICTIONARY, longest: int = LONGEST_WORD) -> DataFrame:
-    """key: of the words found most often in all documents (text), each of ``longest`` characters at most.
-
-    So many counts, from the largest down, as give ``most`` words at most.
+    used = sorted({ord(c) for p in pieces if len(p) > 1 for c in p})
+    symbols = np.zeros(max(used, default=0) + 2, np.int32)
+    symbols[used] = np.arange(1, len(used) + 1)
+    bridged = np.zeros((len(used) + 1, len(used) + 1), bool)
+    for p in pieces:
+        for a, b in zip(p, p[1:]):
+            bridged[symbols[ord(a)], symbols[ord(b)]] = True
+    return Model(pieces, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [], sp.unk_id(), texts, max(map(len, pieces)), frozenset(p[i:] for p in pieces for i in range(len(p))), words, symbols, bridged)
+
+
+def piece_rows(model: Model) -> list[tuple[str, int, int, list[int], list[int]]]:
+    """The piece table: piece, id, rank, and its first and last parts.
+
+    Ranks count the scores from the best. A part is a stage of the piece's own
+    merging that touches its left (first) or right (last) end; each is the rank of
+    the merge that uses it up, times 64, plus its length. Ranks along the stages must
+    not fall, which holds for trained models, and is checked.
     """
+    order = {s: i for i, s in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
+    rank = {p: order[s] for p, (_, s) in model.pieces.items()}
+    if len(order) >= _NEVER or model.longest >= 64:
+        raise ValueError("the model's table is too large")
+    rows = []
+    for piece, (i, _) in model.pieces.items():
+        done = model.merges(piece)
+        ranks = [rank[x] for x, _ in done]
+        if len(piece) > 1 and (not done or done[-1][0] != piece) or ranks != sorted(ranks):
+            raise ValueError(f"the model does not merge {piece!r} in order of its scores")
+
+        def ends(stages: list[tuple[int, int]]) -> list[int]:
+            sizes = [1, *(size for size, _ in stages)]
+            return [r * 64 + size for size, r in zip(sizes, [*(r for _, r in stages), _NEVER])]
+
+        first = ends([(len(x), rank[x]) for x, at in done if at == 0])
+        last = ends([(len(x), rank[x]) for x, at in done if at + len(x) == len(piece)])
+        rows.append((piece, i, rank[piece], first, last))
+    return rows
+
+
+def count_units(docs: DataFrame, model: Model) -> DataFrame:
+    """(unit, n): every different unit of all documents (text), and how often it stands there."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"unit": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
     def run(batches):
+        m, counts = shared.value, Counter()
         for batch in batches:
-            m, counts = shared.value, Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(m.split(text or ""))
-            found = [w for w in counts if len(w) <= longest]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.string()), "n": pa.array([counts[w] for w in found], pa.int64())})
-
-    counted = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    # A histogram by the counts' logarithm (a few hundred rows) gives the least count to take: no task sorts the words.
-    step = F.floor(F.log2("n") * 16)
-    least, taken = None, 0
-    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
-        taken += r["count"]
-        if taken > most:
-            break
-        least = r.step
-    return counted.filter(step >= least if least is not None else F.lit(False)).select("key")
+            for at in range(0, batch.num_rows, 16 * _SLICE):
+                keys = Counter()
+                for text in batch.column("text").slice(at, 16 * _SLICE).to_pylist():
+                    keys.update(m.split(text or ""))
+                units, sizes = m.units(list(keys))
+                for unit, n in zip(units, np.repeat(np.fromiter(keys.values(), np.int64, len(keys)), sizes).tolist()):
+                    counts[unit] += n
+                if len(counts) > _REMEMBERED:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """Edges (word, start, stop, piece) of distinct words: substrings that are pieces, and single characters.
+def lattice(units: DataFrame, model: Model) -> DataFrame:
+    """``units`` (unit, others) by substring: start, stop and the piece's id, rank, first and last parts; single characters that are no piece have null ones.
 
     The piece table is the model's vocabulary, of fixed size, and is broadcast.
     """
-    table = words.sparkSession.createDataFrame([(p,) for p in model.pieces], "piece string")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + model.longest))).alias("stop"))
-    parts = spans.withColumn("piece", F.expr("substring(word, start + 1, stop - start)"))
-    single = F.col("stop") == F.col("start") + 1
-    return parts.filter(~single).join(F.broadcast(table), "piece").select("word", "start", "stop", "piece").unionByName(parts.filter(single))
+    table = units.sparkSession.createDataFrame(piece_rows(model), "piece string, id int, rank int, first array<int>, last array<int>")
+    starts = units.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)))
+    spans = starts.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("unit"), F.col("start") + model.longest))))
+    parts = spans.withColumn("piece", F.expr("substring(unit, start + 1, stop - start)"))
+    return parts.join(F.broadcast(table), "piece", "left").filter("id IS NOT NULL OR stop = start + 1").drop("piece")
 
 
 def viterbi(edges: DataFrame, model: Model) -> DataFrame:
-    """(word, path): the pieces of each word's encoding, by a fold over its edges."""
-    left = edges.select("word", F.col("stop").alias("start"), F.col("piece").alias("left"))
-    first = edges.filter("start = 0").select("word", "start", F.lit("").alias("left")).distinct()
-    steps = edges.join(left.unionByName(first), ["word", "start"])
-    shared = edges.sparkSession.sparkContext.broadcast(model)
+    """(unit, n, ids): the encoding of each unit, by a fold over its edges (unit, n and those of :func:`lattice`).
+
+    The state holds, for each position from 0 on, the ids up to there and the last
+    parts of the last piece. Edges come in order of their ends, so a position is
+    settled before an edge begins there.
+    """
+    alone = F.array(F.lit(_NEVER * 64 + 1))
+    edge = F.struct("stop", "start", "id", "rank", F.coalesce("first", alone).alias("first"), F.coalesce("last", alone).alias("last"))
+    grouped = edges.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+    def place(start: Column, stop: Column) -> Column:
+        return start * 128 + stop
+
+    wide = F.filter("edges", lambda e: e["stop"] > e["start"] + 1)
+    ranks = F.map_from_entries(F.transform(wide, lambda e: F.struct(place(e["start"], e["stop"]).alias("place"), e["rank"].alias("rank"))))
+    nothing = F.array().cast("array<int>")
+    begin = F.struct(ranks.alias("ranks"), F.array(F.struct(nothing.alias("ids"), nothing.alias("last"))).alias("best"))
+
+    def spelled(e: Column) -> Column:
+        character = F.substr(F.col("unit"), e["start"] + 1, F.lit(1))
+        if not model.byte_ids:
+            return F.array(F.lit(model.unknown_id))
+        table = F.array(*[F.lit(i) for i in model.byte_ids])
+        return F.transform(F.sequence(F.lit(1), F.octet_length(character)), lambda i: F.get(table, F.conv(F.substr(F.hex(character), 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+
+    def step(state: Column, e: Column) -> Column:
+        before = F.get(state["best"], e["start"])
+
+        def merges_first(left: Column, right: Column) -> Column:
+            over = F.element_at(state["ranks"], place(e["start"] - left % 64, e["start"] + right % 64))
+            return F.coalesce((over < F.shiftright(left, 6)) & (over <= F.shiftright(right, 6)), F.lit(False))
+
+        barred = F.exists(before["last"], lambda left: F.exists(e["first"], lambda right: merges_first(left, right)))
+        ids = F.concat(before["ids"], F.when(e["id"].isNull(), spelled(e)).otherwise(F.array(e["id"])))
+        longer = F.concat(state["best"], F.array(F.struct(ids.alias("ids"), e["last"].alias("last"))))
+        return F.when((F.size(state["best"]) == e["stop"]) & ~barred, F.struct(state["ranks"].alias("ranks"), longer.alias("best"))).otherwise(state)
+
+    return grouped.select("unit", "n", F.aggregate("edges", begin, step, lambda s: F.element_at(s["best"], -1)["ids"]).alias("ids"))
+
+
+def _packed(ids) -> bytes:
+    return np.asarray(ids, np.int32).tobytes()
+
+
+def encodings(docs: DataFrame, model: Model) -> DataFrame:
+    """(unit, n, ids) of every different unit of ``docs`` (text), written to the shared folder."""
+    counted = materialize(count_units(docs, model), "units")
+    size = F.length("unit")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, counted.count() // _UNITS + 1)
+    short = viterbi(lattice(counted.filter(size <= LONGEST).repartition(parts, "unit"), model), model)  # a unit's rows stay where it lies
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            keep = [shared.value.is_stable(a, b) for a, b in zip(batch.column("left").to_pylist(), batch.column("piece").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    stable = steps.select("left", "piece").distinct().mapInArrow(run, "left string, piece string")
-    open_steps = steps.join(stable, ["left", "piece"]).groupBy("word").agg(F.array_sort(F.collect_set(F.struct("stop", "start", "left", "piece"))).alias("steps"))
-    path = "struct<last:string,path:array<string>>"
-    begin = F.concat(F.array(F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("path"))), F.array_repeat(F.lit(None).cast(path), F.length("word")))
+            ids = [shared.value.encode_unit(u) for u in batch.column("unit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    def step(best, s):
-        before = F.get(best, s["start"])
-        after = F.struct(s["piece"].alias("last"), F.concat(before["path"], F.array(s["piece"])).alias("path"))
-        moved = F.concat(F.slice(best, F.lit(1), s["stop"]), F.array(after), F.slice(best, s["stop"] + 2, F.length("word")))
-        return F.when(before["last"] == s["left"], moved).otherwise(best)
+    done = materialize(short.unionByName(counted.filter(size > LONGEST).mapInArrow(run, "unit string, n long, ids array<int>")), "encodings")
+    discard(counted)
+    return done
 
-    return open_steps.select("word", F.aggregate("steps", begin, step, lambda best: F.element_at(best, -1)["path"]).alias("path"))
 
+def frequent(table: DataFrame, most: int) -> Column:
+    """Whether a row of ``table`` (unit, n) is among the most frequent: so many steps of the counts' logarithm, from the largest down, as give ``most`` rows at most.
 
-def dictionary(docs: DataFrame, model: Model) -> dict[str, tuple[int, ...]]:
-    """Encodings, by key, of the corpus' most frequent words."""
-    keys = {r.key for r in frequent_words(docs, model).collect()}
-    spelled = sorted({w for w in (model.word_of(k)[1] for k in keys) if w})
-    words = docs.sparkSession.createDataFrame([(w,) for w in spelled], "word string")
-    edges = materialize(lattice(words, model), "edges")
-    found = {r.word: tuple(i for p in r.path for i in model.ids(p)) for r in viterbi(edges, model).collect()}
-    return model.encode_keys(keys, found)
+    A histogram of a few hundred rows tells; no task sorts the units. A unit left
+    out makes up no more than about one part in ``most`` of all.
+    """
+    step, least, taken = F.floor(F.log2("n") * 16), None, 0
+    for r in sorted(table.filter(F.length("unit") <= LONGEST).groupBy(step.alias("step")).count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r.step
+    return (step >= least) & (F.length("unit") <= LONGEST) if least is not None else F.lit(False)
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_pieces, ids and round_trip for every row of ``docs`` (doc_id, text).
 
     ids are those of the model's own encoder, without begin and end marks.
     round_trip: decoding gives the text again; false only where the text itself
     holds the space mark. A null text has null ids and counts 0, an empty text
     empty ids; both round-trip. Null ids of documents and repeated rows stay;
-    other columns are ignored.
+    other columns are ignored; an empty table gives none.
+
+    Every id comes from the table of :func:`encodings`. Its ``most`` most frequent
+    rows are broadcast. A document's other units are looked up by a join, and their
+    encodings joined to it by a hash of id and text (they are a dictionary: rows that
+    share the hash may share it); texts are compressed for that shuffle.
     """
     model = load(model_path)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((model, dictionary(picked, model)))
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+    keyed = picked.withColumn("key", F.xxhash64("doc_id", "text"))
+    table = encodings(picked, model)
+    common = frequent(table, most)
+    known = {r.unit: _packed(r.ids) for r in table.filter(common).select("unit", "ids").toLocalIterator(prefetchPartitions=True)}
+    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+
+    def rare(batches):
+        m, table = shared.value
+        for batch in batches:
+            keys, units = [], []
+            seen: dict[str, tuple[str, ...]] = {}  # a word's units that are not broadcast
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                words = set(m.split(text or ""))
+                if new := [w for w in words if w not in seen]:
+                    found, sizes = m.units(new)
+                    at = 0
+                    for w, n in zip(new, sizes.tolist()):
+                        seen[w] = tuple(u for u in found[at : at + n] if u not in table)
+                        at += n
+                own = set().union(*map(seen.__getitem__, words))
+                units += own
+                keys += [key] * len(own)
+                if len(seen) > _REMEMBERED:
+                    seen = {}
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
+
+    def compressed(batches):
+        for batch in batches:
+            packed = [None if t is None else zlib.compress(t.encode(), 6) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "packed"])
 
     def run(batches):
-        m, known = shared.value
-        words = dict(known)
+        m, table = shared.value
+        words: dict[str, bytes] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                texts = part.column("text").to_pylist()
+                texts = [None if t is None else zlib.decompress(t).decode() for t in part.column("packed").to_pylist()]
                 split = [m.split(t or "") for t in texts]
-                new = set(chain.from_iterable(split)).difference(words)
-                if len(words) + len(new) > len(known) + _REMEMBERED:
-                    words = dict(known)
-                    new = set(chain.from_iterable(split)).difference(words)
-                words |= m.encode_keys(new)
-                ids = [np.fromiter(chain.from_iterable(map(words.__getitem__, w)), np.int32) for w in split]
+                every = set().union(*split)
+                if len(words) > _REMEMBERED:
+                    words = {}
+                if new := [w for w in every if w not in words]:
+                    others = {e["unit"]: _packed(e["ids"]) for row in part.column("own").to_pylist() for e in row or ()}
+                    words |= m.encode_keys(new, table, others)
+                ids = [np.frombuffer(b"".join(map(words.__getitem__, w)), np.int32) for w in split]
                 sizes = [len(x) for x in ids]
                 back = [t is None or m.decode(x.tolist()) == t for t, x in zip(texts, ids)]
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array(back, pa.bool_())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array(back, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
-    return picked.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    found = keyed.mapInArrow(rare, "key long, unit string").join(table.filter(~common).select("unit", "ids"), "unit")
+    own = found.groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
+    joined = keyed.mapInArrow(compressed, "doc_id long, key long, packed binary").join(own, "key", "left")
+    return joined.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:

@@ -239,8 +239,13 @@ def library():
 PIECES = [*EDGES, "  two  spaces \n x\t12345 é 漢字梦 \U0001f600  ", "aaaaaaaaaaaaaaaa ---- ==== !!!!", "x" * 300 + " " * 41 + "\n\n\n", "<0x0A><s>", "def f(x):\n        return x+1\n", "▁"]
 
 
-def test_pieces_equal_the_library(spark, library):
-    rows = pieces.encode(docs(spark, PIECES)).collect()
+def units_of(model, texts):
+    return sorted({u for t in texts if t for u in model.units(model.split(t))[0]})
+
+
+@pytest.mark.parametrize("most", [pieces.FREQUENT, 3, 0])
+def test_pieces_equal_the_library(spark, library, most):
+    rows = pieces.encode(docs(spark, PIECES), most=most).collect()
     assert len(rows) == len(PIECES)
     for r in rows:
         text = PIECES[r.doc_id]
@@ -248,12 +253,28 @@ def test_pieces_equal_the_library(spark, library):
         assert r.n_pieces == len(r.ids or []) and r.round_trip == (text is None or "▁" not in text)
 
 
+def test_pieces_of_empty_tables_and_repeated_rows(spark, library):
+    assert pieces.encode(docs(spark, [])).count() == 0
+    rows = docs(spark, ["a house", "a house", None]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.n_pieces for r in pieces.encode(rows, most=0).collect()) == [0, *[len(library.encode("a house"))] * 2]
+
+
 def test_relational_lattice_equals_the_fold(spark, library):
-    model = pieces.load()
-    words = {model.word_of(k)[1] for t in PIECES if t for k in model.split(t) if len(k) <= 64} - {""} | {"▁" + w for w in ("international", "thehea", "unbelievable", "tionnessly")}
-    frame = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
-    got = {r.word: tuple(i for p in r.path for i in model.ids(p)) for r in pieces.viterbi(pieces.lattice(frame, model), model).collect()}
-    assert got == model.encode_words(words)
+    model = loaded()[0]
+    rng = np.random.default_rng(5)
+    names = [p for p in model.pieces if len(p) > 1]
+    made = {"".join(rng.choice(names, 3))[:60] for _ in range(1500)} | {"▁" + "".join(rng.choice(list("etaoinshrdlu"), 12)) for _ in range(1500)}
+    units = sorted({*units_of(model, PIECES), *made, *("▁" * n for n in range(1, 40)), "▁unbelievable", "qé漢", "\x00"} - {u for u in units_of(model, PIECES) if len(u) > pieces.LONGEST})
+    frame = spark.createDataFrame([(u, 1) for u in units], "unit string, n long").repartition(4, "unit")
+    got = {r.unit: r.ids for r in pieces.viterbi(pieces.lattice(frame, model), model).collect()}
+    assert got == {u: model.encode_unit(u) for u in units}
+
+
+def test_lattice_is_grouped_where_it_lies_and_stays_in_the_jvm(spark):
+    model = loaded()[0]
+    frame = spark.createDataFrame([("a", 1)], "unit string, n long").repartition(4, "unit")
+    plan = pieces.viterbi(pieces.lattice(frame, model), model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and not re.search("Python|Pandas|InArrow", plan)
 
 
 @functools.cache
@@ -265,8 +286,9 @@ def loaded():
 @given(st.text(st.sampled_from("abcdeinorst .,-\n▁é漢"), max_size=60))
 def test_any_text_equals_the_library(text):
     model, sp = loaded()
-    words = model.encode_keys(set(model.split(text)))
-    ids = [i for k in model.split(text) for i in words[k]]
+    keys = model.split(text)
+    words = model.encode_keys(keys, {u: pieces._packed(model.encode_unit(u)) for u in model.units(keys)[0]})
+    ids = [int(i) for k in keys for i in np.frombuffer(words[k], np.int32)]
     assert ids == sp.encode(text)
     if "▁" not in text:
         assert model.decode(ids) == text
