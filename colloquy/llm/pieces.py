@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +42,26 @@ FREQUENT = 400_000
 LONGEST = 64
 #: Different units that a lattice partition is meant to hold.
 _UNITS = 25_000
-#: Words that a worker remembers at most.
-_REMEMBERED = 600_000
+#: Different words that a worker holds at most, about, and characters of the texts that it takes at a time.
+_REMEMBERED, _CHARS = 600_000, 1 << 23
 _SLICE = 256
 #: Above all ranks: a part that no merge uses up.
 _NEVER = 1 << 24
 
 
+@dataclass
+class Words:
+    """Different words of some texts, each word of each text as a number of those, and their units."""
+
+    numbers: np.ndarray
+    #: Of each text's first word, and behind the last.
+    begins: np.ndarray
+    keys: list[str]
+    units: pa.StringArray
+    #: Units of each word.
+    sizes: np.ndarray
+
+
 @dataclass
 class Model:
     """Pieces by text with id and score, the bytes' ids, and the texts that ids decode to."""
@@ -66,6 +79,8 @@ class Model:
     symbols: np.ndarray
     #: Whether some piece has the two numbered characters side by side.
     bridged: np.ndarray
+    #: texts, as an array.
+    bytes_of: pa.BinaryArray
     stable: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def merged(self, text: str) -> list[tuple[str, int, int]]:
@@ -136,40 +151,45 @@ class Model:
             return "\n", key[1:]
         return "", key[1:] if key.startswith(SPACE) else SPACE + key
 
-    def units(self, keys: list[str]) -> tuple[list[str], np.ndarray]:
+    def units(self, keys: list[str]) -> tuple[pa.StringArray, np.ndarray]:
         """The units of the keys' words, one after the other, and how many each key has."""
         parts = [SPACE + k if k[:1] not in ("\n", SPACE) else k if k[0] == "\n" else k[1:] for k in keys]
         if not parts:
-            return [], np.zeros(0, np.int64)
+            return pa.array([], pa.string()), np.zeros(0, np.int64)
         whole = "".join(parts)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         symbols = self.symbols[np.minimum(points, len(self.symbols) - 1)]
         cut = np.ones(len(points) + 1, bool)
         cut[1:-1] = ~self.bridged[symbols[:-1], symbols[1:]]
         ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
         cut[ends] = True
         at = np.flatnonzero(cut)
-        places = at.tolist()
-        return [whole[a:b] for a, b in zip(places, places[1:])], np.diff(np.searchsorted(at, ends))
-
-    def encode_keys(self, keys: list[str], *tables: dict[str, bytes]) -> dict[str, bytes]:
-        """Ids by key, packed as 32-bit numbers; ``tables``: those of units."""
-        found, sizes = self.units(keys)
-        first, *others = tables
-        ids = []
-        for u in found:
-            known = first.get(u)
-            ids.append(known if known is not None else next(t[u] for t in others if u in t))
-        out, at = {}, 0
-        for k, n in zip(keys, sizes.tolist()):
-            out[k] = ids[at] if n == 1 else b"".join(ids[at : at + n])
-            at += n
-        return out
+        octets = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))[at].astype(np.int32)
+        found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(octets), pa.py_buffer(whole.encode()))
+        return found, np.diff(np.searchsorted(at, ends))
+
+    def words_in(self, texts: list[str | None]) -> Words:
+        def marked(t: str | None) -> str | None:
+            """The text's keys between spaces; null where there are none."""
+            if not t:
+                return None
+            plain = self.words and SPACE not in t and "  " not in t and t[0] != " "
+            return t.replace("\n", " \n") if plain else " ".join(self.split(t))
+
+        lists = pc.split_pattern(pa.array(map(marked, texts), pa.string()), " ")
+        begins = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return Words(coded.indices.to_numpy().astype(np.int64), begins, keys, *self.units(keys))
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+    @staticmethod
+    def text_of(spelled: bytes) -> str:
+        text = spelled.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids) -> str:
+        return self.text_of(b"".join(map(self.texts.__getitem__, ids)))
+
 
 def load(path: str = DEFAULT_MODEL) -> Model:
     """Read a SentencePiece model of the merging kind; nothing but its table is used later."""
@@ -189,7 +209,7 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     for p in pieces:
         for a, b in zip(p, p[1:]):
             bridged[symbols[ord(a)], symbols[ord(b)]] = True
-    return Model(pieces, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [], sp.unk_id(), texts, max(map(len, pieces)), frozenset(p[i:] for p in pieces for i in range(len(p))), words, symbols, bridged)
+    return Model(pieces, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [], sp.unk_id(), texts, max(map(len, pieces)), frozenset(p[i:] for p in pieces for i in range(len(p))), words, symbols, bridged, pa.array(texts, pa.binary()))
 
 
 def piece_rows(model: Model) -> list[tuple[str, int, int, list[int], list[int]]]:
@@ -221,27 +241,103 @@ def piece_rows(model: Model) -> list[tuple[str, int, int, list[int], list[int]]]
     return rows
 
 
+@dataclass
+class Table:
+    """Units and their ids."""
+
+    units: pa.StringArray
+    ids: pa.ListArray
+
+    def __add__(self, other: Table) -> Table:
+        return Table(pa.concat_arrays([self.units, other.units]), pa.concat_arrays([self.ids, other.ids])) if len(other.units) else self
+
+
+def table_of(units: pa.Array, ids: pa.Array) -> Table:
+    """Of units and their ids, of which any may repeat."""
+    first = np.unique(units.dictionary_encode().indices.to_numpy(), return_index=True)[1]
+    if len(first) < len(units):
+        units, ids = units.take(pa.array(first)), ids.take(pa.array(first))
+    return Table(units.cast(pa.string()), ids.cast(pa.list_(pa.int32())))
+
+
+def unwritten(rows: pa.StringArray) -> Table:
+    """The table of rows as :func:`written` makes them."""
+    parts = pc.split_pattern(rows, " ")
+    begins, words = parts.offsets.to_numpy(), parts.flatten()
+    unit = np.zeros(len(words), bool)
+    unit[begins[:-1]] = True
+    ids = words.filter(pa.array(~unit)).cast(pa.int32())
+    return table_of(words.filter(pa.array(unit)), pa.ListArray.from_arrays(pa.array(begins - np.arange(len(begins)), pa.int32()), ids))
+
+
+def written(unit: Column, ids: Column) -> Column:
+    """A unit, which holds no space, and its ids in one text."""
+    return F.concat_ws(" ", unit, ids.cast("array<string>"))
+
+
+def encode_texts(texts: list[str | None], model: Model, table: Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All ids, text after text, how many each text has, and the bytes that they decode to; every unit stands in the table.
+
+    Different words are cut into units, looked up and spelled out once.
+    """
+    words = model.words_in(texts)
+    at = pc.index_in(words.units, value_set=table.units)
+    if at.null_count:
+        raise KeyError(words.units.filter(pc.is_null(at))[0].as_py())
+    by_unit = table.ids.take(at)
+    edges = by_unit.offsets.to_numpy()[np.concatenate(([0], np.cumsum(words.sizes)))]
+    ids, numbers = by_unit.flatten(), pa.array(words.numbers)
+    spelled = model.bytes_of.take(ids)
+    octets = np.frombuffer(spelled.buffers()[1], np.int32)[: len(spelled) + 1][edges]
+    by_word = pa.Array.from_buffers(pa.binary(), len(words.sizes), [None, pa.py_buffer(octets), spelled.buffers()[2]]).take(numbers)
+    decoded = memoryview(by_word.buffers()[2] or b"")
+    places = np.frombuffer(by_word.buffers()[1], np.int32)[: len(by_word) + 1][words.begins].tolist() if len(by_word) else [0] * len(words.begins)
+    whole = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ids).take(numbers)
+    sizes = np.diff(whole.offsets.to_numpy()[words.begins])
+    return whole.flatten().to_numpy(), sizes, [bytes(decoded[a:b]) for a, b in zip(places, places[1:])]
+
+
+def _spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begins[i] .. begins[i] + sizes[i] - 1, span after span."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int = _CHARS):
+    """Parts of a batch of at most ``most`` bytes of ``column`` (a longer value is taken whole)."""
+    sizes = [0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()]
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def count_units(docs: DataFrame, model: Model) -> DataFrame:
     """(unit, n): every different unit of all documents (text), and how often it stands there."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"unit": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(parts).group_by("unit").aggregate([("n", "sum")])
+        return pa.table({"unit": out["unit"], "n": out["n_sum"]})
 
     def run(batches):
-        m, counts = shared.value, Counter()
+        m, held = shared.value, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 16 * _SLICE):
-                keys = Counter()
-                for text in batch.column("text").slice(at, 16 * _SLICE).to_pylist():
-                    keys.update(m.split(text or ""))
-                units, sizes = m.units(list(keys))
-                for unit, n in zip(units, np.repeat(np.fromiter(keys.values(), np.int64, len(keys)), sizes).tolist()):
-                    counts[unit] += n
-                if len(counts) > _REMEMBERED:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+            for part in _slices(batch, "text"):
+                words = m.words_in(part.column("text").to_pylist())
+                n = np.bincount(words.numbers, minlength=len(words.keys))
+                held.append(pa.table({"unit": words.units, "n": np.repeat(n, words.sizes)}))
+                if sum(len(t) for t in held) > _REMEMBERED:
+                    held = [summed(held)]
+                if len(held[0]) > _REMEMBERED:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from summed(held).to_batches()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -267,7 +363,7 @@ def viterbi(edges: DataFrame, model: Model) -> DataFrame:
     """
     alone = F.array(F.lit(_NEVER * 64 + 1))
     edge = F.struct("stop", "start", "id", "rank", F.coalesce("first", alone).alias("first"), F.coalesce("last", alone).alias("last"))
-    grouped = edges.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def place(start: Column, stop: Column) -> Column:
         return start * 128 + stop
@@ -299,10 +395,6 @@ def viterbi(edges: DataFrame, model: Model) -> DataFrame:
     return grouped.select("unit", "n", F.aggregate("edges", begin, step, lambda s: F.element_at(s["best"], -1)["ids"]).alias("ids"))
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, np.int32).tobytes()
-
-
 def encodings(docs: DataFrame, model: Model) -> DataFrame:
     """(unit, n, ids) of every different unit of ``docs`` (text), written to the shared folder."""
     counted = materialize(count_units(docs, model), "units")
@@ -355,57 +447,43 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, most: int = FREQUEN
     keyed = picked.withColumn("key", F.xxhash64("doc_id", "text"))
     table = encodings(picked, model)
     common = frequent(table, most)
-    known = {r.unit: _packed(r.ids) for r in table.filter(common).select("unit", "ids").toLocalIterator(prefetchPartitions=True)}
-    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+    known = table.filter(common).select("unit", "ids").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((model, table_of(known["unit"].combine_chunks(), known["ids"].combine_chunks())))
 
     def rare(batches):
         m, table = shared.value
         for batch in batches:
-            keys, units = [], []
-            seen: dict[str, tuple[str, ...]] = {}  # a word's units that are not broadcast
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                words = set(m.split(text or ""))
-                if new := [w for w in words if w not in seen]:
-                    found, sizes = m.units(new)
-                    at = 0
-                    for w, n in zip(new, sizes.tolist()):
-                        seen[w] = tuple(u for u in found[at : at + n] if u not in table)
-                        at += n
-                own = set().union(*map(seen.__getitem__, words))
-                units += own
-                keys += [key] * len(own)
-                if len(seen) > _REMEMBERED:
-                    seen = {}
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
+            for part in _slices(batch, "text"):
+                words = m.words_in(part.column("text").to_pylist())
+                other = pc.invert(pc.is_in(words.units, value_set=table.units)).to_numpy(zero_copy_only=False)
+                held = np.add.reduceat(np.append(other, 0), np.append(0, np.cumsum(words.sizes))[:-1]) if len(words.sizes) else words.sizes  # of each word
+                text = np.repeat(np.arange(part.num_rows), np.diff(words.begins))
+                odd = held[words.numbers] > 0
+                pairs = np.unique(text[odd] << 32 | words.numbers[odd])  # each word of a text once
+                text, word = pairs >> 32, pairs & 0xFFFFFFFF
+                units = words.units.filter(pa.array(other)).take(pa.array(_spans((np.cumsum(held) - held)[word], held[word])))
+                keys = part.column("key").take(pa.array(np.repeat(text, held[word])))
+                yield pa.RecordBatch.from_arrays([keys, units], names=["key", "unit"])
 
     def compressed(batches):
         for batch in batches:
-            packed = [None if t is None else zlib.compress(t.encode(), 6) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "packed"])
+            for part in _slices(batch, "text"):
+                packed = [None if t is None else zlib.compress(t, 4) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "packed"])
 
     def run(batches):
         m, table = shared.value
-        words: dict[str, bytes] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
+            for part in _slices(batch, "packed", _CHARS // 3):
                 texts = [None if t is None else zlib.decompress(t).decode() for t in part.column("packed").to_pylist()]
-                split = [m.split(t or "") for t in texts]
-                every = set().union(*split)
-                if len(words) > _REMEMBERED:
-                    words = {}
-                if new := [w for w in every if w not in words]:
-                    others = {e["unit"]: _packed(e["ids"]) for row in part.column("own").to_pylist() for e in row or ()}
-                    words |= m.encode_keys(new, table, others)
-                ids = [np.frombuffer(b"".join(map(words.__getitem__, w)), np.int32) for w in split]
-                sizes = [len(x) for x in ids]
-                back = [t is None or m.decode(x.tolist()) == t for t, x in zip(texts, ids)]
+                ids, sizes, back = encode_texts(texts, m, table + unwritten(part.column("own").flatten()))
+                same = [t is None or m.text_of(b) == t for t, b in zip(texts, back)]
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array(back, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
-    found = keyed.mapInArrow(rare, "key long, unit string").join(table.filter(~common).select("unit", "ids"), "unit")
-    own = found.groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
+    found = keyed.mapInArrow(rare, "key long, unit string").join(table.filter(~common).select("unit", written(F.col("unit"), F.col("ids")).alias("row")), "unit")
+    own = found.groupBy("key").agg(F.collect_set("row").alias("own"))
     joined = keyed.mapInArrow(compressed, "doc_id long, key long, packed binary").join(own, "key", "left")
     return joined.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
