@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where that setting is absent (a single machine, as in tests) a folder of
-    this process is set once and kept for the session.
+    Where that setting is absent on a single machine, as in tests, a folder of this
+    process is set once and kept for the session. On a cluster its absence is an
+    error: executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="colloquy-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
@@ -29,23 +33,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where this process' tables go, below the shared folder.
+_OWN = f"colloquy-{uuid.uuid4().hex}"
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation of what is written.
+    The table stays until :func:`discard` or, for results that still hang on it,
+    :func:`clear`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_OWN}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize`."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rpartition("/")[0])
+
+
+def result_of(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as a table; the tables that it wrote on its way are deleted."""
+    first = len(_written)
+    out = materialize(make(), name)
+    for path in _written[first:-1]:
+        _delete(spark, path)
+    del _written[first:-1]
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process wrote, once no result that hangs on them is read any more."""
+    _delete(spark, f"{shared_dir(spark)}/{_OWN}")
+    _written.clear()
 
 
 def free_name(df: DataFrame, name: str) -> str:
