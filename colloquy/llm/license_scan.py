@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -106,24 +107,27 @@ class Scanner:
 
 
 def scan(text: bytes, scanner: Scanner, n_base: int) -> tuple:
-    """One text: word count, base places, labels, score, spans in code points of the text."""
+    """One text: word count, base places, labels, score, spans in code points of the text.
+
+    The words' and code points' offsets are counted once, however many places there are.
+    """
     low = text.lower()  # of bytes: A-Z only
     words = _WORD.findall(low)
     line = b" ".join(words).decode("utf-8", "replace")
     hits = scanner.matches(line)
     if not hits:
         return len(words), 0, None, None, "", "", 0.0, []
-    places = [line.count(" ", 0, a) for i, a, _, _ in hits if i < n_base]
+    begins = np.cumsum([0, *(len(w) + 1 for w in line.split(" "))])[:-1]  # of words, in the line
+    hits = [(i, a + (line[a] == " "), b - (line[b - 1] == " "), e) for i, a, b, e in hits]
+    firsts, lasts = (np.searchsorted(begins, [h[j] - (j == 2) for h in hits], side="right") - 1 for j in (1, 2))
+    places = [int(w) for (i, *_), w in zip(hits, firsts) if i < n_base]
     base = sorted({scanner.notices[i].label for i, *_ in hits if i < n_base})
     labels = sorted({scanner.notices[i].label for i, *_ in hits})
     score = max(1.0 - e / max(1, len(scanner.notices[i].phrase)) for i, _, _, e in hits)
-    where = [m.span() for m in _WORD.finditer(low)]
-    spans = []
-    for i, a, b, e in hits:
-        first, last = line.count(" ", 0, a), line.count(" ", 0, b)
-        begin, stop = where[first][0], where[min(last, len(where) - 1)][1]
-        begin = len(text[:begin].decode("utf-8", "replace"))
-        spans.append({"label": scanner.notices[i].label, "start": begin, "end": begin + len(text[where[first][0] : stop].decode("utf-8", "replace")), "edits": e})
+    where = np.array([m.span() for m in _WORD.finditer(low)])
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))  # code points before each byte
+    starts, ends = points[where[firsts, 0]].tolist(), points[where[lasts, 1]].tolist()
+    spans = [{"label": scanner.notices[i].label, "start": a, "end": b, "edits": e} for (i, _, _, e), a, b in zip(hits, starts, ends)]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(labels), score, spans
 
 
