@@ -32,7 +32,8 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _N = 3
 #: n-grams in a block of items, at most (one item may exceed it).
 BLOCK = 400_000
-_GAP, _MISMATCH = 0.5, -0.5
+#: What a word put in, left out or changed costs; a word in place is worth 1.
+_GAP = 0.5
 
 Gram = tuple[bytes, ...]
 
@@ -125,27 +126,44 @@ def rare_seeds(block: Block, counts: dict[Gram, int], threshold: float) -> dict[
     return dict(out)
 
 
+def _scores(item: np.ndarray, words: np.ndarray, local: bool) -> Iterator[np.ndarray]:
+    """Rows of the alignment table, one for each beginning of the item, each of len(words) + 1; scores in half words.
+
+    ``local``: alignments may begin anywhere, else at the first words of both. Only
+    one row is held.
+    """
+    ramp = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64) if local else -ramp
+    yield row
+    for i, code in enumerate(item, 1):
+        best = np.empty_like(row)
+        best[0] = 0 if local else -i
+        np.maximum(row[:-1] + np.where(words == code, 2, -1), row[1:] - 1, out=best[1:])
+        if local:
+            np.maximum(best, 0, out=best)
+        row = np.maximum.accumulate(best + ramp) - ramp  # gaps along the row
+        yield row
+
+
 def align(item: list[bytes], words: list[bytes]) -> tuple[float, int, int]:
-    """Smith-Waterman over words: score as a share of a perfect one, and the aligned words' first and end."""
+    """Smith-Waterman over words: score as a share of a perfect one, and the aligned words' first and end.
+
+    Two rows of the table are held, however long the item and the words are. The
+    beginning is found by the table of both read backwards from the best end.
+    """
     index = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    rows = np.array([index[w] for w in item])
-    columns = np.array([index.get(w, -1) for w in words])
-    ramp = _GAP * np.arange(len(words))
-    table = np.zeros((len(item) + 1, len(words) + 1))
-    for i, code in enumerate(rows):
-        best = np.maximum(0.0, np.maximum(table[i, :-1] + np.where(columns == code, 1.0, _MISMATCH), table[i, 1:] - _GAP))
-        table[i + 1, 1:] = np.maximum.accumulate(best + ramp) - ramp  # gaps along the row
-    i, end = np.unravel_index(int(table.argmax()), table.shape)
-    score, j = table[i, end], int(end)
-    while table[i, j] > 1e-9:
-        step = 1.0 if rows[i - 1] == columns[j - 1] else _MISMATCH
-        if abs(table[i, j] - table[i - 1, j - 1] - step) < 1e-9:
-            i, j = i - 1, j - 1
-        elif abs(table[i, j] - table[i - 1, j] + _GAP) < 1e-9:
-            i -= 1
-        else:
-            j -= 1
-    return float(score) / len(item), j, int(end)
+    rows, columns = (np.array([index.get(w, -1) for w in x], np.int64) for x in (item, words))
+    best, at, end = 0, 0, 0
+    for i, row in enumerate(_scores(rows, columns, True)):
+        j = int(row.argmax())
+        if row[j] > best:
+            best, at, end = int(row[j]), i, j
+    if not best:
+        return 0.0, 0, 0
+    longest = min(end, 2 * at - best + at)  # words put in cost a half each
+    back = _scores(rows[:at][::-1], columns[end - longest : end][::-1], False)
+    first = min(int(np.argmax(row == best)) for row in back if (row == best).any())
+    return best / 2 / len(item), end - first, end
 
 
 def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tuple[int, int]]], known: dict[int, set[Gram]], threshold: float) -> list[tuple[int, float, int, int]]:
@@ -231,7 +249,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFram
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no copy of an item."""
+    """The rows of ``docs``, all columns, that hold no copy of an item.
+
+    A copy is one that :func:`leaks` reports. Null and empty texts hold none and
+    stay, as do null ids and repeated rows; without items every row stays; an empty
+    table gives none.
+    """
     out = docs
     for places in _matched(docs, items, threshold):
 
