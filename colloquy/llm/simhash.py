@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_values, free_name, map_batches, materialize, spread_join
@@ -55,15 +55,19 @@ def _signed(x: int) -> int:
     return x - (1 << _BITS) if x >> (_BITS - 1) else x
 
 
+def _hashes(id_col: str, text_col: str, key: str = "key", salt: str = "salt") -> list[Column]:
+    return [F.xxhash64(id_col, text_col).alias(key), F.hash(text_col, id_col).alias(salt)]
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (a hash of id and text) and fp (the fingerprint's bits as a signed long), a row per row of ``df``."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+    """doc_id, key and salt (hashes of id and text, 96 bits) and fp (the fingerprint's bits as a signed long), a row per row of ``df``."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("salt", pa.int32()), ("fp", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": [_signed(fingerprint(t)) for t in binary_values(batch, "text")]}
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "salt": batch.column("salt"), "fp": [_signed(fingerprint(t)) for t in binary_values(batch, "text")]}
 
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, run, "doc_id long, key long, fp long", arrow)
+    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), *_hashes(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    return map_batches(picked, run, "doc_id long, key long, salt int, fp long", arrow)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts without words, null ones too, share fingerprint 0. Repeated rows each
     get a row; a component of null ids alone has a null component_id.
     """
-    rows = materialize(fingerprints(df, id_col, text_col).drop("key"), "fingerprints")
+    rows = materialize(fingerprints(df, id_col, text_col).drop("key", "salt"), "fingerprints")
     heads = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     rooted = materialize(heads.join(groups(heads.select("fp")), "fp"), "groups")
     reached = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
@@ -107,11 +111,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     The row of the smallest id stays; among rows of one id that of the smallest
     hash of id and text, and one of those that agree in both. Null ids come last.
+    Null texts and those without words are one group. An empty table gives none.
+    Rows are told apart by two hashes, of 96 bits together; rows that agree in them
+    are combined where they lie before the texts are shuffled, once, for the join.
     """
-    own = free_name(df, "__key")
-    keyed = df.withColumn(own, F.xxhash64(id_col, text_col))
+    own = [free_name(df, "__key"), free_name(df, "__salt")]
+    keyed = df.select("*", *_hashes(id_col, text_col, *own))
     rows = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     rooted = materialize(groups(materialize(rows.select("fp").distinct(), "heads")), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    kept = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(own))
-    return keyed.dropDuplicates([own]).join(materialize(kept, "kept"), own, "left_semi").drop(own)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "salt"))
+    kept = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(own[0]), F.col("first.salt").alias(own[1]))
+    return keyed.dropDuplicates(own).join(materialize(kept, "kept"), own, "left_semi").drop(*own)
