@@ -118,8 +118,8 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, l1: float = 2e-3, most: int = 400, seed: int = 4) -> RuleModel:
-    """Boosted shallow trees on subsamples; their paths; lasso over the paths."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, l1: float = 2e-3, seed: int = 4) -> RuleModel:
+    """Boosted shallow trees on subsamples; their paths; lasso over all of them, 2 (2^depth - 1) a tree at most."""
     rng = np.random.default_rng(seed)
     paths: dict[tuple, None] = {}
     if len(y):
@@ -135,7 +135,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, l1: float
                     on = fires(x, p)
                     if on.any():
                         margin[on] += 0.5 * 4 * residual[on].mean()
-    kept = list(paths)[:most]
+    kept = list(paths)
     if not kept:
         return RuleModel((), fit_logistic(np.zeros((len(y), 1)), y)[1] if len(y) else 0.0)
     on = np.stack([fires(x, p) for p in kept], 1)
@@ -150,13 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     """Fit on at most ``sample`` labelled rows, those of the smallest hash of the id.
 
     ``docs``: doc_id, text. ``labels``: doc_id and the label. Several labels of
-    one id count as their majority (ties: 1). Null ids and labels are left out.
+    one id count as their majority (ties: 1), several texts of one as that of the
+    least statistics. Null ids and labels are left out.
     The sampled ids (8 bytes each) are broadcast, so the documents aren't shuffled.
     """
     marked = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     picked = hashed_sample(marked, "doc_id", sample, 4)
     rows = statistics(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id"))
-    got = rows.select("doc_id", "label", *[F.col("stat")[k].alias(k) for k in STATISTICS]).limit(2 * sample).toPandas().sort_values(["doc_id", *STATISTICS])
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("label", *[F.col("stat")[k].alias(k) for k in STATISTICS])).alias("row"))
+    got = once.select("doc_id", "row.*").toPandas().sort_values("doc_id")
     return fit(got[list(STATISTICS)].to_numpy(np.float64), got["label"].to_numpy(np.float64), **options)
 
 
