@@ -3,12 +3,15 @@
 A bounded sample's neighbour graph is cut into balanced parts, a small classifier
 learns the part of a vector from those of its neighbours, and it then files every
 vector under its likeliest part and sends every query to several, and to more where
-those hold too few. Within a part, blocks of vectors meet blocks of queries and are
-ranked exactly.
+those hold too few. Parts grow in number with the vectors, so that a query meets a
+smaller share of more vectors: where one cut would make too many, each of its parts
+is cut again, by a classifier learned from a sample of that part. Within a part,
+blocks of vectors meet blocks of queries and are ranked exactly.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +24,8 @@ from .common import discard, hashed_sample, materialize
 
 #: Vectors, or queries, in a block: bounds what a task holds.
 BLOCK = 4096
+#: Vectors that a part is meant to hold, and the parts of one cut: at most CUT, or CUT_TWICE each where parts are cut again.
+PART, FEWEST, CUT, CUT_TWICE = 1024, 8, 64, 256
 
 
 @dataclass
@@ -41,6 +46,62 @@ class Router:
         return np.argsort(-self.log_odds(x), axis=1, kind="stable")[:, :n]
 
 
+def _log_shares(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+@dataclass
+class Index:
+    """A router, and for each of its parts one that tells ``each`` smaller parts apart (None: all in the first)."""
+
+    top: Router
+    below: list[Router | None]
+    each: int = 1
+
+    @property
+    def parts(self) -> int:
+        return self.top.w2.shape[1] * self.each
+
+    def file(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's part: the likeliest of the likeliest."""
+        part = self.top.likeliest(x, 1)[:, 0]
+        if self.each == 1:
+            return part
+        out = part * self.each
+        for p in np.unique(part):
+            if self.below[p] is not None:
+                rows = np.flatnonzero(part == p)
+                out[rows] += self.below[p].likeliest(x[rows], 1)[:, 0]
+        return out
+
+    def likeliest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` likeliest parts of each vector, likeliest first."""
+        if self.each == 1:
+            return self.top.likeliest(x, n)
+        out = []
+        for a in range(0, len(x), 256):  # bounds the table of all parts
+            rows = x[a : a + 256]
+            odds = np.repeat(_log_shares(self.top.log_odds(rows)), self.each, axis=1)
+            for p, router in enumerate(self.below):
+                first = p * self.each
+                if router is None:
+                    odds[:, first + 1 : first + self.each] = -np.inf
+                else:
+                    odds[:, first : first + self.each] += _log_shares(router.log_odds(rows))
+            out.append(np.argsort(-odds, axis=1, kind="stable")[:, :n])
+        return np.concatenate(out) if out else np.empty((0, n), np.int64)
+
+
+def parts_for(rows: int) -> tuple[int, int]:
+    """Parts of the first cut and of each second one, powers of two, for so many vectors."""
+    wanted = max(FEWEST, -(-rows // PART))
+    k = (wanted - 1).bit_length()
+    if 1 << k <= CUT:
+        return 1 << k, 1
+    return min(CUT_TWICE, 1 << (k + 1) // 2), min(CUT_TWICE, 1 << k // 2)
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Each vector's k others of the largest inner product."""
     out = np.empty((len(x), min(k, len(x) - 1)), np.int64)
@@ -131,47 +192,82 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return kept.filter(F.size("vector") == (length.n if length else 0))
 
 
-def probes_for(router: Router, filed: np.ndarray, asked: np.ndarray, parts: int, k: int, recall: float) -> int:
+def probes_for(index: Index, filed: np.ndarray, asked: np.ndarray, k: int, recall: float) -> int:
     """The fewest parts per query that hold ``recall`` of the k true nearest of ``asked`` among ``filed``."""
     near = asked @ filed.T
     true = np.argpartition(-near, min(k, len(filed)) - 1, axis=1)[:, :k]
-    part = router.likeliest(filed, 1)[:, 0]
-    rank = np.argsort(router.likeliest(asked, parts), axis=1)  # of each part, by query
-    met = np.bincount(np.take_along_axis(rank, part[true], axis=1).ravel(), minlength=parts).cumsum() / true.size
-    return min(parts, int(np.searchsorted(met, recall)) + 1)
-
+    rank = np.argsort(index.likeliest(asked, index.parts), axis=1)  # of each part, by query
+    met = np.bincount(np.take_along_axis(rank, index.file(filed)[true], axis=1).ravel(), minlength=index.parts).cumsum() / true.size
+    return min(index.parts, int(np.searchsorted(met, recall)) + 1)
 
-def fit(vectors: DataFrame, parts: int = 32, sample: int = 8_192, neighbours: int = 10, k: int = 20, recall: float = 0.95) -> tuple[Router, int] | None:
-    """Router and number of parts to ask, on the ``sample`` vectors (vec_id, vector) of the smallest hash of the id.
 
-    An eighth of the sample is not learned from; its queries against the rest say
-    how many parts reach ``recall``. None where there are fewer than two vectors.
-    """
-    rows = hashed_sample(vectors, "vec_id", sample, 6).collect()
-    if len(rows) < 2:
-        return None
-    x = np.array([r.vector for r in rows], np.float64)
-    apart, x = x[: len(x) // 8], x[len(x) // 8 :]
+def learn(x: np.ndarray, parts: int, neighbours: int = 10, hidden: int = 128) -> Router:
+    """Router of ``parts`` balanced parts of the neighbour graph of ``x`` (two vectors or more)."""
     links = neighbour_graph(x, neighbours)
     part = balanced_parts(links, parts)
     wanted = np.zeros((len(x), parts))
     np.add.at(wanted, (np.repeat(np.arange(len(x)), links.shape[1]), part[links].ravel()), 1.0)
     wanted[np.arange(len(x)), part] += 0.5 * links.shape[1]
-    router = fit_router(x, wanted / wanted.sum(1, keepdims=True))
-    return router, probes_for(router, x, apart, parts, k, recall) if len(apart) else parts
+    return fit_router(x, wanted / wanted.sum(1, keepdims=True), hidden)
+
+
+def _learn_below(vectors: DataFrame, top: Router, each: int, sample: int) -> list[Router | None]:
+    """A router for each part of ``top``, learned where a sample of that part's vectors lies: ``sample`` of the smallest hash at most."""
+    n = top.w2.shape[1]
+    place = F.pmod(F.xxhash64("vec_id", F.lit(62)), F.lit(1 << 40))
+    share = min(1.0, 4.0 * sample * n / max(vectors.count(), 1))
+    filed = routed(vectors.filter(place < int(share * (1 << 40))), Index(top, [], 1))
+    first = Window.partitionBy("part").orderBy(place, "vec_id")
+    few = filed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample)
+
+    def fit_part(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(list(rows.sort_values("rank")["vector"])).astype(np.float64)
+        router = learn(x, each, hidden=64) if len(x) > 1 else None
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "router": [pickle.dumps(router)]})
+
+    found = {r.part: pickle.loads(r.router) for r in few.groupBy("part").applyInPandas(fit_part, "part int, router binary").collect()}
+    return [found.get(p) for p in range(n)]
 
 
-def routed(vectors: DataFrame, router: Router, probes: int, after: int = 0) -> DataFrame:
-    """``vectors`` with column part, a row for each of the ``probes`` likeliest but the first ``after``."""
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
+def fit(vectors: DataFrame, parts: int | None = None, sample: int = 8_192, below: int = 4_096, k: int = 20, recall: float = 0.93) -> tuple[Index, int] | None:
+    """Index and number of parts to ask, on vectors (vec_id, vector); ``parts`` by default as their number asks (:func:`parts_for`).
+
+    Learned from the ``sample`` vectors of the smallest hash of the id, and where
+    parts are cut again from ``below`` vectors of each at most: CUT_TWICE routers,
+    of some hundred kilobytes, are the most that is collected and broadcast. Up to
+    as many vectors, which nothing is learned from, tell how many parts reach
+    ``recall``: an eighth of them asks for the others. None where there are fewer
+    than two vectors.
+    """
+    n = vectors.count()
+    rows = hashed_sample(vectors, "vec_id", 2 * sample, 6).collect()
+    if len(rows) < 2:
+        return None
+    x = np.array([r.vector for r in rows], np.float64)
+    used = min(sample, -(-len(x) * 3 // 4))
+    x, apart = x[:used], x[used:]
+    first, each = (parts, 1) if parts else parts_for(n)
+    top = learn(x, first)
+    index = Index(top, [], 1)
+    if each > 1:
+        known = vectors.sparkSession.createDataFrame([(r.vec_id,) for r in rows[used:]], "vec_id long")
+        index = Index(top, _learn_below(vectors.join(F.broadcast(known), "vec_id", "left_anti"), top, each, below), each)
+    asked, filed = apart[: len(apart) // 8], apart[len(apart) // 8 :]
+    return index, probes_for(index, filed, asked, k, recall) if len(asked) and len(filed) else index.parts
+
+
+def routed(vectors: DataFrame, index: Index, probes: int = 0, after: int = 0) -> DataFrame:
+    """``vectors`` with column part: the one it is filed under, or a row for each of the ``probes`` likeliest but the first ``after``."""
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
     kind = vectors.schema["vector"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
                 lists = batch.column("vector")
                 x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                found = shared.value.likeliest(x, probes)[:, after:]
+                found = shared.value.likeliest(x, probes)[:, after:] if probes else shared.value.file(x)[:, None]
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), lists.take(rows), pa.array(found.ravel().astype(np.int32))], names=["vec_id", "vector", "part"])
 
@@ -209,7 +305,7 @@ def nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFram
     return pd.DataFrame({"query_id": np.concatenate(whose), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 32, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, recall: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of every row for which ``is_query`` (of vec_id) holds.
 
     Nearest: the largest inner product, in doubles; ties go to the smaller id. All
@@ -217,9 +313,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 32, r
     at its best score. Vectors that :func:`usable` leaves out take no part. Queries
     whose parts hold fewer than k ids are sent on, to twice as many parts each time,
     until they have k or all parts were asked: where there are fewer than k
-    candidates, all are returned; an empty table gives no rows. A part's vectors and queries are dealt into blocks of ``BLOCK`` by a
-    hash of the id, however many a part has; only the counts by part (at most
-    ``parts`` rows) come to the driver.
+    candidates, all are returned; an empty table gives no rows. ``parts``: by default
+    as many as the vectors ask for. A part's vectors and queries are dealt into
+    blocks of ``BLOCK`` by a hash of the id, however many a part has; only the
+    counts by part (at most CUT_TWICE squared rows) come to the driver.
     """
     spark = vectors.sparkSession
     kept = usable(vectors, id_col, vector_col)
@@ -227,24 +324,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 32, r
     schema = "query_id long, vec_id long, score double"
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router, probes = fitted
-    filed, queries = routed(kept, router, 1), kept.filter(is_query)
+    index, probes = fitted
+    filed, queries = routed(kept, index), kept.filter(is_query)
 
-    def blocks_of(df: DataFrame) -> Column:
-        counts = {r.part: -(-r["count"] // BLOCK) for r in df.groupBy("part").count().collect()}
-        return F.coalesce(F.get(F.array(*[F.lit(counts.get(p, 0)) for p in range(parts)]), F.col("part")), F.lit(0))
+    def blocks_of(df: DataFrame, name: str) -> DataFrame:
+        """(part, blocks), as a table of literals."""
+        counts = df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)).collect()
+        return F.broadcast(spark.createDataFrame(counts, f"part int, {name} int"))
 
-    n_filed = blocks_of(filed)
+    n_filed = blocks_of(filed, "filed")
 
-    def dealt(df: DataFrame, own: Column, other: Column, names: tuple[str, str]) -> DataFrame:
+    def dealt(df: DataFrame, sizes: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         """Each row goes to one block of its own side, which meets every block of the other."""
-        rows = df.withColumn(names[0], F.pmod(F.xxhash64("vec_id", F.lit(61)), own).cast("int")).filter(other > 0)
-        return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), (other - 1).cast("int"))))
+        rows = df.join(sizes, "part").withColumn(names[0], F.pmod(F.xxhash64("vec_id", F.lit(61)), F.col(own)).cast("int"))
+        return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
 
     def near(asked: DataFrame) -> DataFrame:
-        n_asked = blocks_of(asked)
-        right = dealt(filed, n_filed, n_asked, ("block", "ask")).groupBy("part", "block", "ask")
-        left = dealt(asked, n_asked, n_filed, ("ask", "block")).groupBy("part", "block", "ask")
+        sizes = F.broadcast(n_filed.join(blocks_of(asked, "asked"), "part"))  # parts that hold both
+        right = dealt(filed, sizes, "filed", "asked", ("block", "ask")).groupBy("part", "block", "ask")
+        left = dealt(asked, sizes, "asked", "filed", ("ask", "block")).groupBy("part", "block", "ask")
         return left.cogroup(right).applyInPandas(lambda q, v: nearest(q, v, k), schema)
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -252,13 +350,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 32, r
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return materialize(once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
 
-    best = ranked(near(routed(queries, router, probes)))
-    while probes < parts:
+    best = ranked(near(routed(queries, index, probes)))
+    while probes < index.parts:
         full = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
         short = queries.join(full, "vec_id", "left_anti")
         if short.isEmpty():
             break
-        had, best = best, ranked(best.select("query_id", "vec_id", "score").unionByName(near(routed(short, router, 2 * probes, probes))))
+        had, best = best, ranked(best.select("query_id", "vec_id", "score").unionByName(near(routed(short, index, 2 * probes, probes))))
         discard(had)
-        probes = min(parts, 2 * probes)
+        probes = min(index.parts, 2 * probes)
     return best
