@@ -4,7 +4,9 @@ Every window of ``width`` words has an anchor, the least hash among its 8-word
 n-grams; equal windows have equal anchors. Neighbouring windows of one anchor form
 a run. Runs whose anchor stands once cannot hold a repeated window and go no
 further. The others' texts, each different one once, are dealt by anchor to
-shards. A shard indexes its texts in a compressed FM-index and streams them
+shards; runs of an anchor that very many have are taken apart into windows, equal
+ones combined by two hashes and counted before any of them is dealt. A shard
+indexes its texts in a compressed FM-index and streams them
 through it: matching statistics of at least ``width`` words whose rows stand for
 two places or more are the repeated windows. Their intervals go back to the
 documents over the runs.
@@ -32,8 +34,10 @@ _GRAM = 8
 _SLICE = 1 << 20
 #: Words in a shard's texts, about.
 SHARD = 500_000
-#: Different runs of one anchor beyond which its windows are dealt to shards one by one, by their own hash.
+#: Different runs of one anchor beyond which its windows are combined and dealt to shards one by one, by their own hash.
 HOT = 2_000
+#: What tells rows apart: two hashes of id and text, 96 bits.
+_ROW = ["key", "salt"]
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -155,35 +159,40 @@ def _group_runs(texts: list[bytes], width: int):
         yield group, runs, document[runs["start"]] if len(runs["start"]) else runs["start"], begins
 
 
-_RUN = "key long, anchor long, text long, start int, n int, times int"
-_RUN_ARROW = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32())])
+_RUN = "key long, salt int, anchor long, text long, start int, n int, times int"
+_RUN_ARROW = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("anchor", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32())])
 
 
 def find_runs(docs: DataFrame, width: int) -> DataFrame:
-    """Runs of docs (key, doc), start counted within the document."""
+    """Runs of docs (key, salt, doc), start counted within the document."""
 
     def run(batches):
         for batch in batches:
-            keys = np.array(batch.column("key").to_pylist(), np.int64)
+            keys, salts = (batch.column(c).to_numpy() for c in _ROW)
             for group, runs, which, begins in _group_runs(binary_values(batch, "doc"), width):
-                columns = {"key": keys[np.array(group)[which]], "anchor": runs["anchor"], "text": runs["text"], "start": runs["start"] - begins[which], "n": runs["n"], "times": runs["times"]}
+                rows = np.array(group)[which]
+                columns = {"key": keys[rows], "salt": salts[rows], "anchor": runs["anchor"], "text": runs["text"], "start": runs["start"] - begins[which], "n": runs["n"], "times": runs["times"]}
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _RUN_ARROW], schema=_RUN_ARROW)
 
     return docs.mapInArrow(run, _RUN)
 
 
+_TEXT = "anchor long, text long, n int, at int, count long, first_hash long, second_hash long, words binary"
+_TEXT_ARROW = pa.schema([("anchor", pa.int64()), ("text", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("count", pa.int64()), ("first_hash", pa.int64()), ("second_hash", pa.int64()), ("words", pa.binary())])
+
+
 def run_texts(wanted: DataFrame, width: int) -> DataFrame:
-    """The words of runs. ``wanted``: doc, runs (array of anchor, text, n, count, hot), shards.
+    """The words of runs. ``wanted``: doc, runs (array of anchor, text, n, count, hot).
 
-    A run of a hot anchor comes window by window. shard: by the anchor, or for a
-    hot one by the window.
+    A run of a hot anchor comes window by window (``at``, from 0), each with two
+    hashes of its words; another whole, at -1. Runs that a row of ``wanted`` lacks,
+    as one that shares the keys of another may, are that other's.
     """
-    arrow = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("text", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("count", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            rows = [[] for _ in arrow]
-            for doc, runs, shards in zip(binary_values(batch, "doc"), batch.column("runs").to_pylist(), batch.column("shards").to_pylist()):
+            rows = [[] for _ in _TEXT_ARROW]
+            for doc, runs in zip(binary_values(batch, "doc"), batch.column("runs").to_pylist()):
                 asked = {(r["anchor"], r["text"], r["n"]): r for r in runs}
                 words = doc.split()
                 found = runs_of(word_hashes(doc), np.zeros(len(words), np.int64), width)
@@ -192,17 +201,17 @@ def run_texts(wanted: DataFrame, width: int) -> DataFrame:
                     if r is None:
                         continue
                     if r["hot"]:
-                        own = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") % shards, i, w) for i in range(n) for w in [b" ".join(words[start + i : start + i + width])]]
+                        windows = [b" ".join(words[start + i : start + i + width]) for i in range(n)]
+                        digests = [hashlib.blake2b(w, digest_size=16).digest() for w in windows]
+                        own = [(i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), w) for i, (d, w) in enumerate(zip(digests, windows))]
                     else:
-                        own = [(anchor % shards, -1, b" ".join(words[start : start + n + width - 1]))]
-                    for shard, at, w in own:
-                        for column, value in zip(rows, (shard, anchor, text, n, at, r["count"], w)):
+                        own = [(-1, 0, 0, b" ".join(words[start : start + n + width - 1]))]
+                    for at, one, two, w in own:
+                        for column, value in zip(rows, (anchor, text, n, at, r["count"], one, two, w)):
                             column.append(value)
-                if asked:
-                    raise RuntimeError("a document's runs differ from those first found")
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _TEXT_ARROW)], schema=_TEXT_ARROW)
 
-    return wanted.mapInArrow(run, "shard int, anchor long, text long, n int, at int, count long, words binary")
+    return wanted.mapInArrow(run, _TEXT)
 
 
 def repeated_in_shard(words: list[bytes], counts: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
@@ -233,32 +242,47 @@ def _shard_function(width: int):
     arrow = pa.schema([("anchor", pa.int64()), ("text", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("stop", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        rows = {(r["anchor"], r["text"], r["n"], r["at"]): (r["count"], r["words"]) for r in table.to_pylist()}  # equal documents bring a text again
+        rows = {(r["anchor"], r["text"], r["n"]): (r["count"], r["words"]) for r in table.to_pylist()}  # equal documents bring a text again
         found = repeated_in_shard([w for _, w in rows.values()], np.array([c for c, _ in rows.values()]), width)
-        out = [(anchor, text, n, max(at, 0) + a, max(at, 0) + b) for (anchor, text, n, at), spans in zip(rows, found) for a, b in spans]
+        out = [(*run, a, b) for run, spans in zip(rows, found) for a, b in spans]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
 
     return run
 
 
+def shard_texts(sent: DataFrame, width: int, shard: int = SHARD) -> DataFrame:
+    """(shard, anchor, text, n, count, words): what the shards get of :func:`run_texts`' rows, a text once each.
+
+    Hot windows are counted by their two hashes, in the tasks that hold them before
+    any shuffle, so that a window that stands in all documents is one row here; it
+    has its hashes for anchor and text, and 0 for n. A shard has about ``shard`` words.
+    """
+    hot = sent.filter("at >= 0").groupBy(F.col("first_hash").alias("anchor"), F.col("second_hash").alias("text")).agg(F.lit(0).alias("n"), F.sum("count").alias("count"), F.first("words").alias("words"))
+    texts = materialize(sent.filter("at < 0").select("anchor", "text", "n", "count", "words").unionByName(hot), "shard-texts")
+    load = texts.agg(F.sum(F.greatest("n", F.lit(1)) + width - 1)).first()[0] or 0
+    return texts.select(F.pmod("anchor", F.lit(int(load // shard) + 1)).cast("int").alias("shard"), "anchor", "text", "n", "count", "words")
+
+
 def repeated_intervals(docs: DataFrame, width: int, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(key, spans): intervals of words that repeated windows cover, of docs (key, doc)."""
+    """(key, salt, spans): intervals of words that repeated windows cover, of docs (key, salt, doc)."""
     runs = materialize(find_runs(docs, width), "runs")
     often = materialize(runs.groupBy("anchor").agg(F.sum("times").alias("seen")).filter("seen > 1").select("anchor"), "anchors")  # a table, so that the join may be split
     shared = materialize(runs.join(often, "anchor", "left_semi"), "shared-runs")
     discard(runs)
-    texts = materialize(shared.groupBy("anchor", "text", "n").agg(F.sum("times").alias("count"), F.min("key").alias("key")), "run-texts")
+    texts = materialize(shared.groupBy("anchor", "text", "n").agg(F.sum("times").alias("count"), F.min(F.struct(*_ROW)).alias("row")), "run-texts")
     crowded = materialize(texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("__texts")).filter(F.col("__texts") > hot).select("anchor", F.lit(True).alias("hot")), "crowded")
     marked = texts.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    load = marked.agg(F.sum(F.when(F.col("hot"), F.col("n") * width).otherwise(F.col("n") + width - 1))).first()[0] or 0
-    shards = int(load // shard) + 1
-    asked = marked.groupBy("key").agg(F.collect_list(F.struct("anchor", "text", "n", "count", "hot")).alias("runs"))
-    wanted = docs.join(asked, "key").select("doc", "runs", F.lit(shards).alias("shards"))
-    found = run_texts(wanted, width).groupBy("shard").applyInArrow(_shard_function(width), "anchor long, text long, n int, first int, stop int")
-    placed = shared.join(found, ["anchor", "text", "n"])
+    asked = marked.groupBy("row").agg(F.collect_list(F.struct("anchor", "text", "n", "count", "hot")).alias("runs")).select("row.*", "runs")
+    sent = materialize(run_texts(docs.join(asked, _ROW).select("doc", "runs"), width), "sent-texts")
+    discard(texts)
+    dealt = shard_texts(sent, width, shard)
+    found = materialize(dealt.groupBy("shard").applyInArrow(_shard_function(width), "anchor long, text long, n int, first int, stop int"), "found")
+    windows = found.filter("n = 0").select(F.col("anchor").alias("first_hash"), F.col("text").alias("second_hash"))
+    places = sent.filter("at >= 0").select("anchor", "text", "n", "at", "first_hash", "second_hash").join(windows, ["first_hash", "second_hash"], "left_semi").select("anchor", "text", "n", F.col("at").alias("first"), (F.col("at") + 1).alias("stop"))
+    placed = shared.join(materialize(found.filter("n > 0").unionByName(places), "intervals"), ["anchor", "text", "n"])
     first = F.col("start") + F.col("first")
     stop = F.col("start") + F.when(F.col("n") == 1, F.col("times")).otherwise(F.col("stop")) + width - 1
-    return placed.groupBy("key").agg(F.collect_set(F.struct(first.alias("first"), stop.alias("stop"))).alias("spans"))
+    return placed.groupBy(*_ROW).agg(F.collect_set(F.struct(first.alias("first"), stop.alias("stop"))).alias("spans"))
 
 
 def dedup(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -269,15 +293,16 @@ def dedup(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str
     anywhere else too, in the same document or another. kept_sha256: of the kept
     words joined by one space. removed: intervals of word positions, sorted and
     apart. A null, empty or short text loses nothing. Repeated rows are copies of
-    each other; null ids are ids. Rows are told apart by a 64-bit hash of id and
-    text. Nothing is collected by word, window or anchor: what is gathered is one
-    document's runs, or one shard's texts, of about ``SHARD`` words.
+    each other; null ids are ids; an empty table gives none. Rows are told apart by
+    two hashes of id and text, of 96 bits. Nothing is collected by word, window or
+    anchor: what is gathered is one document's runs, or one shard's texts, of about
+    ``SHARD`` words.
     """
     if not _GRAM <= width <= DEPTH:
         raise ValueError(f"width must lie between {_GRAM} and {DEPTH}")
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("doc"))
-    docs = named.select("doc_id", "doc", F.xxhash64("doc_id", "doc").alias("key"))
-    spans = repeated_intervals(docs.select("key", "doc"), width, **options)
+    docs = named.select("doc_id", "doc", F.xxhash64("doc_id", "doc").alias("key"), F.hash("doc", "doc_id").alias("salt"))
+    spans = repeated_intervals(docs.select(*_ROW, "doc"), width, **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
 
@@ -302,5 +327,5 @@ def dedup(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str
                 removed.append([{"first": a, "stop": b} for a, b in merged])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(removed, span)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
-    joined = docs.join(spans, "key", "left").select("doc_id", "doc", "spans")
+    joined = docs.join(spans, _ROW, "left").select("doc_id", "doc", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,stop:int>>")
