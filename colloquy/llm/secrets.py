@@ -9,6 +9,7 @@ every document.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -123,13 +124,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
 
     start and stop are code points of the whole text, stop exclusive; rule is a
     position in ``rules``. Every row stays, with all its columns; a null or empty
-    text has an empty array. Documents are told apart by a hash of the row;
+    text has an empty array; an empty table gives none. Documents are told apart by
+    a hash of the row (of what can be hashed: columns that hold maps are left out);
     rows that share one share their candidates, and each is verified on its own
     text. The join has one row by key on the candidates' side and may be split.
     """
     whole, key, met = (free_name(docs, n) for n in ("__text", "__key", "__rules"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({whole: text, key: F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])})
+    keyed = docs.withColumns({whole: text, key: F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not re.search(r"\b(map<|variant)", kind)])})
     queries = [query_of(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries if q != ALWAYS for c in q for t in c})
     if trigrams:
