@@ -5,17 +5,19 @@ presence of words and word beginnings, and every model after the first also sees
 that the earlier ones give. In training those are out-of-fold predictions, so
 that a later model learns from probabilities as good as it will meet.
 
-The labels mark toxic texts but no category. The first categories therefore have
-weak labels: a text marked toxic that has a term of the category's list, and, for
-``unlisted``, one that has none of any list. The last category of the chain is the
-mark itself.
+The labels mark toxic texts but no category, so that the categories are found in
+them: the terms that stand in toxic texts far more often than in others are split
+into factors by non-negative matrix factorisation of their presence in the toxic
+texts. A toxic text belongs to its strongest factor, or to ``other`` if it has none
+of these terms. No list of words is used, and texts of any language count. The last
+category of the chain is the mark itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,6 @@ from .common import binary_values, fit_logistic, hashed_sample, map_batches, sig
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: Seed terms by category, in the order of the chain.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "fool", "imbecile"),
-    "derision": ("stupid", "pathetic", "dumb", "ridiculous", "laughable"),
-    "contempt": ("scum", "trash", "worthless", "disgusting", "filth", "vermin"),
-}
-
-
 @dataclass
 class Chain:
     categories: list[str]
@@ -44,6 +38,8 @@ class Chain:
     #: Row by earlier category, column by category; 0 where not earlier.
     links: np.ndarray
     intercepts: np.ndarray
+    #: By found category its strongest terms.
+    leading: dict[str, list[bytes]] = field(default_factory=dict)
 
     def predict(self, linear: np.ndarray) -> np.ndarray:
         """Probabilities, category after category, from the terms' sums."""
@@ -63,8 +59,43 @@ def terms_of(text: bytes) -> set[bytes]:
     return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in (4, 5, 6)))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, width: int = 1024, folds: int = 4, l2: float = 1e-4, seed: int = 10) -> Chain:
-    """``width``: so many terms at most, those whose presence tells toxic from other texts best (chi-square)."""
+def factors(x: np.ndarray, n: int, rounds: int = 200, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative (rows by n, n by columns) whose product comes near ``x``; multiplicative updates."""
+    rng = np.random.default_rng(seed)
+    left, right = rng.random((x.shape[0], n)) + 0.1, rng.random((n, x.shape[1])) + 0.1
+    for _ in range(rounds):
+        right *= (left.T @ x) / (left.T @ left @ right + 1e-9)
+        left *= (x @ right.T) / (left @ (right @ right.T) + 1e-9)
+    return left, right
+
+
+def categories_of(x: np.ndarray, toxic: np.ndarray, n: int, telling: int = 200, apart: float = 0.02) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Marks of ``n`` found categories and of other toxic texts; and the columns of each category, strongest first.
+
+    Columns of ``x`` whose share in toxic texts is over that in others by ``apart``
+    are factored, ``telling`` of them at most.
+    """
+    yes, no = toxic > 0, toxic == 0
+    found = [np.zeros(len(x)) for _ in range(n + 1)]
+    if not yes.any():
+        return found, [np.empty(0, np.int64)] * n
+    gain = x[yes].mean(0) - (x[no].mean(0) if no.any() else 0.0)
+    columns = np.argsort(-gain, kind="stable")[:telling]
+    columns = columns[gain[columns] > apart]
+    rows = np.flatnonzero(yes)
+    if not len(columns):
+        found[n][rows] = 1.0
+        return found, [np.empty(0, np.int64)] * n
+    left, right = factors(x[np.ix_(rows, columns)].astype(np.float64), n)
+    scaled = left * right.sum(1)
+    which = np.where(x[np.ix_(rows, columns)].any(1), scaled.argmax(1), n)
+    for k in range(n + 1):
+        found[k][rows[which == k]] = 1.0
+    return found, [columns[np.argsort(-r, kind="stable")[:10]] for r in right]
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, width: int = 1024, categories: int = 4, folds: int = 4, l2: float = 1e-3, seed: int = 10) -> Chain:
+    """``width``: so many terms at most, those whose presence tells toxic from other texts best (chi-square). ``categories``: how many are found in the toxic texts."""
     found = [terms_of(t) for t in texts]
     yes, no = Counter(), Counter()
     for words, mark in zip(found, toxic):
@@ -77,11 +108,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, width: int = 1024, folds: int = 4
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for i, words in enumerate(found):
         x[i, [columns[w] for w in words if w in columns]] = 1.0
-    listed = {k: np.array([not terms.isdisjoint(s.encode() for s in CATEGORIES[k]) for terms in found], float) * toxic for k in CATEGORIES}
-    names = [*CATEGORIES, "unlisted", "toxic"]
-    marks = [*listed.values(), toxic * (sum(listed.values()) == 0), toxic.astype(float)]
+    found_marks, leading = categories_of(x, toxic, categories)
+    names = [*(f"category{k + 1}" for k in range(categories)), "other", "toxic"]
+    marks = [*found_marks, toxic.astype(float)]
     fold = np.random.default_rng(seed).integers(0, folds, len(texts))
-    chain = Chain(names, columns, np.zeros((len(chosen), len(names))), np.zeros((len(names), len(names))), np.zeros(len(names)))
+    chain = Chain(names, columns, np.zeros((len(chosen), len(names))), np.zeros((len(names), len(names))), np.zeros(len(names)), {k: [chosen[j] for j in c] for k, c in zip(names, leading)})
     earlier = np.zeros((len(texts), 0), np.float32)
     for k, y in enumerate(marks):
         wide = np.hstack([x, earlier])
@@ -101,13 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5_000, longest: int
     """Fit on at most ``sample`` labelled texts of at most ``longest`` characters, half of them toxic where there are enough.
 
     Picked by the smallest hash of the id; both bounds hold at every size.
-    Several marks of one id count as toxic if any is. Null ids, marks and texts
-    are left out.
+    Several marks of one id count as toxic if any is, several texts of one as the
+    least of them. Null ids, marks and texts are left out.
     """
     marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = hashed_sample(marked.filter("toxic = 1"), "doc_id", sample // 2, 10).unionByName(hashed_sample(marked.filter("toxic <> 1"), "doc_id", sample // 2, 10))
-    got = docs.select(F.col("doc_id").cast("long"), "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r.doc_id, r.text))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id")
+    got = sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect())
     return fit([r.text.encode("utf-8", "surrogatepass") for r in got], np.array([r.toxic for r in got], float), **options)
 
 
@@ -116,7 +147,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
 
     score is the chain's last probability, predicted 1 where it reaches the
     threshold. Null and empty texts have no words and get the intercepts' scores.
-    A narrow map without a shuffle; null ids and repeated rows stay.
+    A narrow map without a shuffle; null ids and repeated rows stay; an empty table
+    gives none. Without labels all texts get the same score.
     """
     names = [f"p_{k}" for k in chain.categories[:-1]]
     arrow = pa.schema([("doc_id", pa.int64()), *[(n, pa.float64()) for n in names], ("score", pa.float64()), ("predicted", pa.int32())])
