@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE_NOTICES
 from .secrets import BASE_RULES, RULES, Rule
 
 
@@ -41,5 +42,14 @@ summed AS (SELECT rid, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN summed USING (rid)"""
 
 
+def _base_licenses() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT rid, i, {_text(n.label)} AS label FROM words WHERE w[i + 1:i + {len(n.phrase.split())}] = [{', '.join(map(_text, n.phrase.split()))}]" for n in BASE_NOTICES
+    )
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d), places AS ({places})
+SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM d LEFT JOIN places USING (rid) GROUP BY rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": _dedup(), "op9_secrets": _secrets()}
+    return {"base_licenses": _base_licenses(), "op7_substring_dedup": _dedup(), "op9_secrets": _secrets()}
