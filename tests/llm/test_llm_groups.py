@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -190,6 +192,28 @@ def test_seeds_leave_out_no_copy(item, words, threshold):
     assert [r[1] for r in found] == ([pytest.approx(score)] if score >= threshold else [])
 
 
+def test_alignment_of_long_texts_holds_two_rows():
+    rng = random.Random(18)
+    item = prose(rng, 600, 5000)
+    words = [w.encode() for w in (item[:500] + prose(rng, 3)) * 360]  # 180,000 words, hits all over
+    item = [w.encode() for w in item]
+    tracemalloc.start()
+    began = time.perf_counter()
+    score, first, end = decontamination.align(item, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert score >= 500 / 600 and end - first >= 500 and peak < 100e6 and time.perf_counter() - began < 120
+
+
+def test_leaks_in_a_text_of_hits(spark):
+    rng = random.Random(19)
+    item = prose(rng, 40, 5000)
+    text = " ".join((item[:20] + ["x"]) * 5_000 + item[:36] + ["y"])
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    row = decontamination.leaks(docs(spark, [text]), table).first()
+    assert row.score == pytest.approx(0.9) and row.first_word == 21 * 5_000
+
+
 # ---- neighbours
 
 
@@ -217,6 +241,44 @@ def test_neighbours_recall_and_scores(spark):
     assert got.query_id.nunique() == 75 and np.mean(met) >= 0.9
 
 
+def clustered(n, seed=17):
+    """``n`` vectors in clusters of about 100."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 100, 16)) * 3
+    return (centres[rng.integers(0, len(centres), n)] + rng.standard_normal((n, 16)) * 0.5).astype(np.float32)
+
+
+def recall_of(got, x, queries, k=20):
+    exact, met = x.astype(np.float64), []
+    for q in queries:
+        s = exact @ exact[q]
+        s[q] = -np.inf
+        met.append(len(set(np.argsort(-s)[:k]) & set(got[got.query_id == q].vec_id)) / k)
+    return np.mean(met)
+
+
+def test_share_of_vectors_met_falls_as_they_grow(spark, monkeypatch):
+    """Parts grow with the rows; beyond CUT they are cut twice. Recall stays, and a query meets a smaller share."""
+    monkeypatch.setattr(ann, "PART", 64)
+    monkeypatch.setattr(ann, "CUT", 32)
+    shares = []
+    for n in (1_000, 6_000):
+        x = clustered(n)
+        table = vectors_of(spark, [(i, [float(v) for v in r], 0, 1, "s") for i, r in enumerate(x)])
+        index, probes = ann.fit(ann.usable(table), sample=2_000, below=400)
+        assert (index.each > 1) == (n > 32 * 64) and index.parts == np.prod(ann.parts_for(n))
+        sizes = np.bincount(index.file(x.astype(np.float64)), minlength=index.parts)
+        shares.append(sizes[index.likeliest(x[::20].astype(np.float64), probes)].sum(1).mean() / n)
+        got = ann.search(table, F.col("vec_id") % 40 == 0).toPandas()
+        assert recall_of(got, x, range(0, n, 40)) >= 0.9
+    assert shares[1] < 0.6 * shares[0]
+
+
+@pytest.mark.parametrize(("rows", "parts"), [(0, (8, 1)), (8 * 1024, (8, 1)), (8 * 1024 + 1, (16, 1)), (64 * 1024, (64, 1)), (65 * 1024, (16, 8)), (10**12, (256, 256))])
+def test_numbers_of_parts(rows, parts):
+    assert ann.parts_for(rows) == parts
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     rows = [(0, [1.0, 0.0], 0, 0, ""), (20, [1.0, 0.0], 0, 0, ""), (5, [1.0, 0.0], 0, 0, ""), (5, [1.0, 0.0], 0, 0, ""), (7, [0.5, 9.0], 0, 0, "")]
     got = ann.search(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, parts=4).toPandas()
@@ -323,6 +385,47 @@ def test_dedup_against_brute_force(spark, options):
     assert all(sum(s.stop - s.first for s in r.removed) == r.n_removed for r in rows.values())
 
 
+def test_a_window_of_all_documents_is_one_row_of_a_shard(spark):
+    """Copies of a hot window are combined before they are dealt."""
+    rng = random.Random(20)
+    shared = prose(rng, 40)
+    texts = [" ".join([*(f"a{i}n{j}" for j in range(6)), *shared, *(f"b{i}n{j}" for j in range(6))]) for i in range(3_000)]
+    table = docs(spark, texts).select("doc_id", F.col("text").alias("doc"), F.xxhash64("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("salt"))
+    sizes = []
+    dealt = substring_dedup.shard_texts
+    try:
+        substring_dedup.shard_texts = lambda *a: sizes.append(dealt(*a)) or sizes[-1]
+        found = {r.key: r.spans for r in substring_dedup.repeated_intervals(table, 35, shard=5_000, hot=50).collect()}
+    finally:
+        substring_dedup.shard_texts = dealt
+    assert len(found) == 3_000 and all(min(s.first for s in x) == 6 and max(s.stop for s in x) == 46 for x in found.values())
+    by_shard = sizes[0].groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("words")).collect()
+    assert max(r.words for r in by_shard) < 25_000  # 3,000 rows of 35 words each came for every shared window before
+
+
+def test_rows_that_share_a_key_are_told_apart(spark, monkeypatch):
+    """One 64-bit hash for all rows: the other tells them apart."""
+    whole = " ".join(prose(random.Random(21), 60))
+    texts = [whole, "x " + whole, "y " * 3 + "z", None]
+    monkeypatch.setattr(substring_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    rows = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, texts)).collect()}
+    monkeypatch.undo()
+    assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(len(texts))] == naive_dedup(texts, 35)
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    kept = simhash.one_of_each(docs(spark, ["a b c d", "a b c d", "q r s t u", None], [3, 3, 9, 1]))
+    got = sorted(r.doc_id for r in kept.collect())
+    monkeypatch.undo()
+    assert got == [1, 3, 9]
+
+
+def test_dedup_of_a_very_long_text(spark):
+    rng = random.Random(22)
+    texts = [" ".join(prose(rng, 60_000, 10**5)), " ".join(prose(rng, 200, 10**5))]
+    texts[1] += " " + " ".join(texts[0].split()[30_000:30_100])
+    rows = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, texts)).collect()}
+    assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(2)] == naive_dedup(texts, 35)
+
+
 def test_dedup_of_repeated_rows_and_empty_tables(spark):
     text = " ".join(prose(random.Random(11), 60))
     rows = substring_dedup.dedup(docs(spark, [text, text, "short"], [1, 1, None])).collect()
@@ -364,3 +467,56 @@ def test_pipeline_stages(spark, tmp_path):
     redacted = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/3.parquet").collect()}
     assert redacted[32].text == f"{plain[2]} [secret] {plain[3]}" and redacted[32].n_chars == len(redacted[32].text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def stages_on(spark, tmp_path, rows, schema=DOCS):
+    """Ids, sorted, after each stage of ``rows``; and each stage's columns."""
+    items, _, _ = leak_case(spark)
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    now, out = spark.createDataFrame(rows, schema), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        now.write.mode("overwrite").parquet(f"{tmp_path}/s{i}.parquet")
+        now = spark.read.parquet(f"{tmp_path}/s{i}.parquet")
+        out.append((sorted([r.doc_id for r in now.select("doc_id").collect()], key=str), now.columns))
+    return out
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert [ids for ids, _ in stages_on(spark, tmp_path, [])] == [[]] * 5
+
+
+def test_pipeline_of_repeated_rows_nulls_and_clashing_columns(spark, tmp_path):
+    """Names that the stages use inside: key, spans, __key, __salt, __lang, __text and others stay as they are."""
+    schema = DOCS + ", __key long, __salt int, __lang string, __score double, __text string, __letters boolean, fp long, rank int, tags array<map<string,int>>"
+    rng = random.Random(13)
+    texts = [" ".join(prose(rng, 80)) for _ in range(12)]
+    row = lambda i, t, n="en": (i, t, n, None, None, 7, "y", 1, 2, "l", 0.5, "t", True, 3, 4, [{"a": 1}])
+    rows = [*(row(i, t) for i, t in enumerate(texts)), row(0, texts[0]), row(0, texts[0]), row(None, texts[1]), row(None, texts[11] + " one more"), row(50, None, None), row(51, ""), row(52, "  \n"), row(3, "other words here now", None)]
+    stages = stages_on(spark, tmp_path, rows, schema)
+    assert all(columns == [f.split()[0] for f in schema.split(", ")] for _, columns in stages[:-1])
+    ids = [i for i, _ in stages]
+    assert [i for i in ids[0] if i in (50, 51, 52)] == [] and len(ids[0]) == 17  # repeated rows and null ids stay
+    assert ids[1].count(0) == 1 and ids[1].count(None) == 1 and ids[1].count(1) == 1  # the copy of text 1 under a null id goes
+    assert ids[2] == ids[3] == ids[4] == ids[1]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from colloquy.llm import common
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(away)
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from colloquy.llm import common
+
+    first = len(common._written)
+    out = common.result_of(spark, lambda: simhash.near_duplicates(docs(spark, ["a b c", "a b c", "d"])), "out")
+    assert len(common._written) == first + 1 and out.count() == 3
+    common.discard(out)
+    with pytest.raises(Exception):
+        spark.read.parquet(common._written.pop())

@@ -3,10 +3,13 @@
 import functools
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,9 +83,58 @@ def test_license_edits_within_bound_are_found(data):
     assert any(k == i for k, *_ in scanner.matches(line))
 
 
+def test_license_places_all_over_a_long_text(spark):
+    """Offsets are counted once a text: seconds for 200,000 words, where counting from the start for each place took hours."""
+    text = "É mit license GNU Genral Public Licence " * 28_572
+    began = time.perf_counter()
+    row = license_scan.license_scan(docs(spark, [text])).first()
+    assert time.perf_counter() - began < 120
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (7 * 28_572, 28_572, 1, 7 * 28_571 + 1)
+    assert {text[s.start : s.end] for s in row.spans} == {"mit license", "GNU Genral Public Licence"}
+
+
+def test_license_labels_against_all_places(spark):
+    """The seeded search of each notice finds what trying its expression at every word does."""
+    rng = np.random.default_rng(6)
+    scanner = license_scan.Scanner(license_scan.FUZZY_NOTICES)
+    for _ in range(40):
+        words = list(rng.choice(["the", "mit", "license", "licens", "public", "apache", "version", "2", "0", "cc", "by", "sa", "gnu", "general", "genral"], 25))
+        line = " ".join(words)
+        found = {i for i, *_ in scanner.matches(line)}
+        starts = [m.start() for m in re.finditer(r"\S+", line)]
+        for i, x in enumerate(license_scan.FUZZY_NOTICES):
+            some = regex.compile(rf"\b(?:{regex.escape(x.phrase)}){{e<={x.edits}}}\b") if x.edits else re.compile(rf"(?<!\S){re.escape(x.phrase)}(?!\S)")
+            assert (i in found) == any(some.search(line, a, min(len(line), a + len(x.phrase) + 3 * x.edits + 2)) is not None for a in starts), x
+
+
 # ---- quality
 
 
+def naive_statistics(text):
+    t = text or ""
+    words, n, chars = t.split(), max(1, len(t.split())), max(1, len(t))
+    count = lambda p: len(re.findall(p, t))
+    return {
+        "n_chars": len(t), "n_words": len(words), "word_length": len(t) / n, "symbols": count(r"[#$%&*@^~<>{}=_+\\/\[\]]+") / n, "bars": t.count("|") / n,
+        "capitals": count("[A-Z]") / chars, "digits": count("[0-9]+") / n, "points": count("[.,;:?]") / n, "lines": t.count("\n") / n,
+        "distinct": len(set(words)) / n, "foreign": (len(t.encode()) - len(t)) / chars, "marks": count("!+") / n,
+    }
+
+
+def test_quality_statistics_against_python(spark):
+    texts = [*EDGES, "A b, C! [x] {y} | | 12 3a", "É漢 é\nx\n\ny!!! !", "#$%&*@^~<>{}=_+\\/[]"]
+    rows = quality.statistics(docs(spark, texts)).collect()
+    for r in rows:
+        assert r.stat.asDict() == pytest.approx(naive_statistics(texts[r.doc_id])), texts[r.doc_id]
+
+
+def test_quality_takes_one_row_of_repeated_ids(spark):
+    texts = ["good text here. " * 5, "bad ### | " * 5] * 30
+    table = docs(spark, texts).unionByName(docs(spark, texts)).unionByName(docs(spark, ["other"] * 60))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    assert quality.train(table, labels) == quality.train(table.repartition(7, "text"), labels)
+
+
 def test_quality_learns_and_scores_every_row(spark):
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["the", "of", "and", "river", "stone"], 40)) + "." for _ in range(120)]
@@ -135,14 +187,72 @@ def test_language_id(spark):
     assert kept.filter(F.col("doc_id").isin(0, 1, 2, 4)).count() == 0
 
 
-def test_language_kernel_against_sets():
-    texts = ["abcab", "bca", "Xyz abc"]
-    symbols, base, columns, width = language_id.vocabulary(texts[:2])
-    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    known = grams("abcab") | grams("bca")
-    assert width == len(known)
-    for t in texts:
-        assert language_id.presence(t, symbols, base, columns, width).sum() == len(grams(t.lower()) & known)
+def grams(text):
+    return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+
+@pytest.mark.parametrize("dense", [language_id._DENSE, 0])
+def test_language_kernel_against_sets(monkeypatch, dense):
+    monkeypatch.setattr(language_id, "_DENSE", dense)
+    many = "".join(chr(0x4E00 + 7 * i % 900) for i in range(1500))  # hundreds of characters, as in Chinese
+    marks = ["abcab", "bca", many, "", "q"]
+    found = language_id.vocabulary(marks)
+    known = set().union(*map(grams, marks))
+    assert found.width == len(known)
+    for t in [*marks, "Xyz abc", many[::-1], many[5:400] + "abcab", "ab", "\U0001f600b"]:
+        assert found.presence(t).sum() == len(grams(t.lower()) & known)
+
+
+def test_presence_does_not_depend_on_slices(monkeypatch):
+    found = language_id.vocabulary(["abcabcaacb"])
+    whole = found.presence("acbabcabbac" * 9)
+    monkeypatch.setattr(language_id, "_SLICE", 5)
+    assert (found.presence("acbabcabbac" * 9) == whole).all()
+
+
+def test_language_scores_against_kernel_ridge_regression(spark):
+    """Scores from the weights equal those of the regression worked out over kernels of sets."""
+    words = {"aa": ["kal", "mor", "tis"], "bb": ["öze", "ürn", "ßal"], "cc": ["qui", "eau", "oix"]}
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([*words[k], "and"], 12)), k) for i, k in enumerate(sorted(words) * 20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table, per_language=20, landmarks_per_language=5)
+    sample = language_id._sample(table, 20, 1000, 20_000)
+    texts = [(r.text, r.lang) for r in sample]
+    marks = [t for k in sorted(words) for t in [t for t, g in texts if g == k][:5]]
+    known = set().union(*map(grams, marks))
+
+    def kernel(a, b):
+        x, y = grams(a) & known, grams(b) & known
+        return len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1))
+
+    k_nm = np.array([[kernel(t, m) for m in marks] for t, _ in texts])
+    k_mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    y = np.array([[1.0 if g == k else -1.0 for k in sorted(words)] for _, g in texts])
+    bias = y.mean(0)  # as many texts of each language: equal weights
+    alpha = np.linalg.solve(k_nm.T @ k_nm + 1e-2 * len(texts) * (k_mm + 1e-6 * np.eye(len(marks))), k_nm.T @ (y - bias))
+    probes = ["kal öze and", "qui", "tis mor kal", "zzz"]
+    values = np.array([[kernel(t, m) for m in marks] for t in probes]) @ alpha + bias
+    want = np.exp(4.0 * (values - values.max(1, keepdims=True)))
+    assert np.allclose(language_id.scores(probes, model), want / want.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_every_language_of_many_is_learned(spark):
+    codes = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "uvwxyz"]
+    rows = [(i, f"{k}{k} {k}a {k}o " * 4, k) for i, k in enumerate(codes * 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table, per_language=4, total=100, most_landmarks=60)  # less than a row for each, by the totals
+    assert model.languages == sorted(codes)
+    again = language_id.train(table.repartition(5), per_language=4, total=100, most_landmarks=60)
+    assert (again.weights == model.weights).all()
+    got = language_id.predict(table, model).join(table.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang_pred = lang").count() > 0.9 * len(rows)
+
+
+def test_only_letters_make_a_language(spark):
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["abc def", "bcd efg"] * 4)], "doc_id long, text string, lang string")
+    rows = language_id.predict(docs(spark, ["½ ² Ⅷ", "_", "ª", "漢", "1a"]), language_id.train(table)).collect()
+    assert [r.lang_pred for r in rows] == ["und", "und", "en", "en", "en"]
 
 
 def test_language_id_without_training_rows(spark):
@@ -153,21 +263,70 @@ def test_language_id_without_training_rows(spark):
 # ---- toxicity
 
 
-def test_toxicity_chain(spark):
+def toxic_case(spark):
     rng = np.random.default_rng(3)
     plain = [" ".join(rng.choice(["sun", "tree", "road", "lake"], 30)) for _ in range(200)]
-    toxic = [t + " " + w for t, w in zip(plain[:90], ["idiot", "scum", "pathetic", *(f"zork{e}" for e in ("ling", "able", "ish", "ed", "ing", "o"))] * 10)]
-    table = docs(spark, plain + toxic)
-    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(290)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    groups = (["idiot", "scum"], ["crétin", "ordure"], [f"zork{e}" for e in ("ling", "able", "ish", "ed", "ing", "o")])
+    toxic = [t + " " + rng.choice(groups[i % 3]) for i, t in enumerate(plain[:120])]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(320)] + [(None, 1), (5, None), (9, 0), (9, 0)], "doc_id long, toxic int")
+    return plain, toxic, docs(spark, plain + toxic), labels
+
+
+def test_toxicity_chain(spark):
+    plain, toxic, table, labels = toxic_case(spark)
     chain = toxicity.train(table, labels)
-    rows = toxicity.score(docs(spark, plain + toxic + ["sun zorkest"] + EDGES), chain).collect()
-    assert len(rows) == 291 + len(EDGES)
+    more = ["sun zorkest", "lake crétin"]
+    rows = toxicity.score(docs(spark, plain + toxic + more + EDGES), chain).collect()
+    assert len(rows) == 322 + len(EDGES)
     got = {r.doc_id: r for r in rows}
-    assert all(got[i].predicted == int(i >= 200) for i in range(291))
-    assert got[200].p_insult > 0.5 > got[200].p_contempt
+    assert all(got[i].predicted == int(i >= 200) for i in range(322))
+    names = [f"p_category{k}" for k in range(1, 5)]
+    strongest = [max(names, key=lambda n: got[200 + i][n]) for i in range(120)]
+    by_group = [{s for s, t in zip(strongest, toxic) if t.split()[-1].startswith(w)} for w in ("zork", "crétin", "idiot")]
+    assert all(len(g) <= 2 for g in by_group) and by_group[0].isdisjoint(by_group[1] | by_group[2]) and by_group[1].isdisjoint(by_group[2])  # no category holds two families of terms
     assert np.count_nonzero(np.tril(chain.links)) == 0 and np.count_nonzero(chain.links) > 0
 
 
+def test_toxicity_chain_against_its_definition(spark):
+    """Scores worked out link by link from the fitted weights, without matrices."""
+    plain, toxic, table, labels = toxic_case(spark)
+    chain = toxicity.train(table, labels)
+    for r in toxicity.score(table, chain).collect()[::17]:
+        held = [j for t, j in chain.terms.items() if t in toxicity.terms_of((plain + toxic)[r.doc_id].encode())]
+        before = []
+        for k in range(len(chain.categories)):
+            z = chain.intercepts[k] + sum(chain.weights[j, k] for j in held) + sum(p * chain.links[i, k] for i, p in enumerate(before))
+            before.append(1 / (1 + np.exp(-z)))
+        assert [*[r[f"p_{c}"] for c in chain.categories[:-1]], r.score] == pytest.approx(before)
+
+
+def test_later_models_learn_from_probabilities_of_other_folds(monkeypatch):
+    """What a later model sees of an earlier category is predicted by a model that did not see the row."""
+    seen, fit = [], toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y, **o: seen.append((x.copy(), y.copy())) or fit(x, y, **o))
+    rng = np.random.default_rng(4)
+    texts = [f"tree lake {'bad%d' % (i % 3) if i % 2 else 'good'} {rng.integers(9)}".encode() for i in range(80)]
+    toxicity.fit(texts, np.array([i % 2 for i in range(80)], float), folds=4)
+    whole = [s for s in seen if len(s[0]) == 80]
+    parts = [s for s in seen if len(s[0]) < 80]
+    fold = np.random.default_rng(10).integers(0, 4, 80)
+    first, second = whole[0], whole[1]
+    out = np.zeros(80)
+    for f, (x, y) in zip(range(4), parts[:4]):
+        assert (x == first[0][fold != f]).all()
+        w, b = fit(x, y, l2=1e-3, rounds=200)
+        out[fold == f] = toxicity.sigmoid(first[0][fold == f] @ w + b)
+    assert second[0].shape[1] == first[0].shape[1] + 1 and np.allclose(second[0][:, -1], out, atol=1e-5)
+
+
+def test_toxicity_factors_come_near():
+    x = np.zeros((30, 9))
+    for i in range(30):
+        x[i, 3 * (i % 3) : 3 * (i % 3) + 3] = 1
+    left, right = toxicity.factors(x, 3)
+    assert np.abs(left @ right - x).max() < 0.05
+
+
 def test_toxicity_without_labels(spark):
     chain = toxicity.train(docs(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs(spark, EDGES), chain).count() == len(EDGES)
@@ -206,6 +365,12 @@ def test_secret_plan_stays_in_the_jvm(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_secrets_beside_columns_of_maps(spark):
+    rows = spark.createDataFrame([(1, "token = abcdefgh", [{"a": 1}], ({"b": 2},)), (2, None, None, None)], "doc_id long, text string, tags array<map<string,int>>, more struct<inner:map<string,int>>")
+    found = {r.doc_id: r for r in secrets.find_secrets(rows).collect()}
+    assert [s.rule for s in found[1].spans] == [0] and found[1].tags == [{"a": 1}] and found[2].spans == []
+
+
 def test_redaction_joins_overlapping_spans(spark):
     frame = secrets.find_secrets(docs(spark, [f"a token={HEX} b", "none", None]), spans_col="found")
     got = {r.doc_id: r.t for r in frame.select("doc_id", secrets.redacted(F.col("text"), F.col("found")).alias("t")).collect()}
@@ -240,7 +405,7 @@ PIECES = [*EDGES, "  two  spaces \n x\t12345 é 漢字梦 \U0001f600  ", "aaaaaa
 
 
 def units_of(model, texts):
-    return sorted({u for t in texts if t for u in model.units(model.split(t))[0]})
+    return sorted({u for t in texts if t for u in model.units(model.split(t))[0].to_pylist()})
 
 
 @pytest.mark.parametrize("most", [pieces.FREQUENT, 3, 0])
@@ -286,9 +451,11 @@ def loaded():
 @given(st.text(st.sampled_from("abcdeinorst .,-\n▁é漢"), max_size=60))
 def test_any_text_equals_the_library(text):
     model, sp = loaded()
-    keys = model.split(text)
-    words = model.encode_keys(keys, {u: pieces._packed(model.encode_unit(u)) for u in model.units(keys)[0]})
-    ids = [int(i) for k in keys for i in np.frombuffer(words[k], np.int32)]
+    units = sorted(set(model.units(model.split(text))[0].to_pylist()))
+    tables = [pieces.unwritten(pa.array([" ".join([u, *map(str, model.encode_unit(u))]) for u in part], pa.string())) for part in (units[::2], units[1::2] * 2)]
+    got, sizes, back = pieces.encode_texts([text, None, text], model, tables[0] + tables[1])
+    ids = got[: sizes[0]].tolist()
+    assert list(sizes) == [len(ids), 0, len(ids)] and got[sizes[0] :].tolist() == ids and back[0] == back[2] == b"".join(model.texts[i] for i in ids)
     assert ids == sp.encode(text)
     if "▁" not in text:
         assert model.decode(ids) == text
