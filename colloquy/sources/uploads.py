@@ -20,27 +20,35 @@ UNSUPPORTED = "⚠️ Unsupported file type. Please upload a PDF or .docx file."
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_uploads(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx}") -> DataFrame:
-    """Files as (name, size, content)."""
+def read_uploads(spark: SparkSession, path: str, pattern: str = "*.{[pP][dD][fF],[dD][oO][cC][xX]}") -> DataFrame:
+    """Files as (name, size, content); by default those of either kind, in any case of letters. Spark leaves out files of no bytes."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 
 
+def _run_text(run: ElementTree.Element) -> str:
+    """Text of a run's own children; page and column breaks, drawings and text boxes give none."""
+    out = []
+    for node in run:
+        if node.tag == f"{_W}t":
+            out.append(node.text or "")
+        elif node.tag == f"{_W}cr" or node.tag == f"{_W}br" and node.get(f"{_W}type", "textWrapping") == "textWrapping":
+            out.append("\n")
+        elif node.tag in (f"{_W}tab", f"{_W}ptab"):
+            out.append("\t")
+        elif node.tag == f"{_W}noBreakHyphen":
+            out.append("-")
+    return "".join(out)
+
+
 def docx_text(content: bytes) -> str:
-    """Texts of the body's own paragraphs, a line each."""
+    """Texts of the body's own paragraphs, a line each: of their runs and of those in links, in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     lines = []
     for paragraph in [] if body is None else body.findall(f"{_W}p"):
-        parts = []
-        for node in paragraph.iter():
-            if node.tag == f"{_W}t":
-                parts.append(node.text or "")
-            elif node.tag in (f"{_W}br", f"{_W}cr"):
-                parts.append("\n")
-            elif node.tag == f"{_W}tab":
-                parts.append("\t")
-        lines.append("".join(parts))
+        runs = [r for node in paragraph for r in ([node] if node.tag == f"{_W}r" else node.findall(f"{_W}r") if node.tag == f"{_W}hyperlink" else [])]
+        lines.append("".join(map(_run_text, runs)))
     return "\n".join(lines).strip()
 
 
