@@ -36,6 +36,14 @@ PERSONAS = (
     ("Neutral 😐", "a matter-of-fact coach", "You keep to what was said.", "- Calm in tone."),
     ("Strict 😤", "an exacting coach", "You expect precise answers.", "- Short in tone."),
 )
+#: What is shown beside a technique; this library's wording.
+EXPLANATIONS = (
+    ("Zero-Shot", "Instructions alone, without examples: quick, for any session."),
+    ("Few-Shot", "Example exchanges come first and set form and depth: even results."),
+    ("Chain-of-Thought", "The answer is thought through in steps before it is judged: thorough results."),
+    ("Persona-Based", "An interviewer of a chosen temper: practice for different rooms."),
+    ("Structured Output", "A strict form for every reply: easy to read and to compare."),
+)
 LAST_QUESTION = "\n\nThis is the last question: end with the feedback block and ask nothing more."
 
 
@@ -86,6 +94,14 @@ def technique_key(label: Column) -> Column:
     return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown technique: "), F.coalesce(label, F.lit(""))))).otherwise(found)
 
 
+def explanation(label: Column) -> Column:
+    """What is shown beside a technique's label; an unknown label is an error."""
+    found = F.lit(None).cast("string")
+    for name, text in EXPLANATIONS:
+        found = F.when(label == name, F.lit(text)).otherwise(found)
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown technique: "), F.coalesce(label, F.lit(""))))).otherwise(found)
+
+
 def system_prompt(sessions: DataFrame, templates: DataFrame | None = None, personas: DataFrame | None = None, feedback_rules: str = FEEDBACK_RULES) -> DataFrame:
     """``sessions`` with system_prompt.
 

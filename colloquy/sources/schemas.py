@@ -3,8 +3,5 @@
 SESSIONS = "session_id long, role string, interview_type string, difficulty string, total_questions int, technique_key string, persona_key string, jd_summary string, cv_summary string, gap_analysis string, is_last boolean"
 MESSAGES = "session_id long, seq long, role string, content string"
 API_CALLS = "session_id long, call_seq int, model string, input_tokens long, output_tokens long"
+REPLIES = "key long, stage string, model string, reply string, prompt_tokens long, completion_tokens long"
 UPLOADS = "name string, size long, content binary"
-
-# What a session is given where its settings are missing.
-SESSION_DEFAULTS = {"total_questions": 4, "jd_summary": "", "cv_summary": "", "gap_analysis": ""}
-INTERVIEW_SETTINGS = {"temperature": 0.4, "top_p": 0.9, "max_tokens": 700, "frequency_penalty": 0.3}
