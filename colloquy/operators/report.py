@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_escape, one_decimal
+from ..functions.text import html_escape
 from . import scores
 from .markdown import to_html
 from .transcript import report_blocks
@@ -27,23 +27,21 @@ def gap_section(gap_analysis: Column, jd_summary: Column) -> Column:
 
 def question_html(blocks: DataFrame) -> DataFrame:
     """(session_id, questions): the blocks' HTML in order; attempts without an answer are left out."""
-    improved = F.when(F.col("attempt") > 1, F.lit(" improved")).otherwise(F.lit(""))
-    told = F.when(F.col("feedback") != "", F.concat(F.lit('<div class="feedback-section"><div class="feedback-label">AI Feedback</div>'), _text(F.col("feedback")), F.lit("</div>"))).otherwise(F.lit(""))
+    told = F.when(F.col("feedback") != "", F.concat(F.lit("<aside><em>Feedback</em>"), _text(F.col("feedback")), F.lit("</aside>"))).otherwise(F.lit(""))
     tried = F.when(
         F.coalesce(F.col("answer") != "", F.lit(False)),
-        F.concat(F.lit('<div class="attempt-block"><div class="answer-section'), improved, F.lit('"><div class="block-label'), improved, F.lit('">'), attempt_label(F.col("attempt")), F.lit('</div><div class="block-content">'), _text(F.col("answer")), F.lit("</div></div>"), told, F.lit("</div>")),
+        F.concat(F.lit("<li><strong>"), attempt_label(F.col("attempt")), F.lit("</strong><blockquote>"), _text(F.col("answer")), F.lit("</blockquote>"), told, F.lit("</li>")),
     ).otherwise(F.lit(""))
     by_question = blocks.withColumn("html", tried).groupBy("session_id", "number").agg(F.first("question").alias("question"), F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct("attempt", "html"))).alias("tries"))
-    colour = scores.score_colour(F.col("score"))
-    badge = F.when(F.col("score").isNotNull(), F.concat(F.lit('<span class="score-badge" style="color:'), colour, F.lit(";border:1px solid "), colour, F.lit(';">'), F.col("score"), F.lit("/10</span>"))).otherwise(F.lit(""))
-    asked = F.when(F.col("question") != "", F.concat(F.lit('<div class="question-text">'), _text(F.col("question")), F.lit("</div>"))).otherwise(F.lit(""))
-    html = F.concat(F.lit('<div class="qa-block"><div class="qa-header"><span class="q-label">Question '), F.col("number"), F.lit("</span>"), badge, F.lit("</div>"), asked, F.array_join(F.transform("tries", lambda t: t["html"]), ""), F.lit("</div>"))
+    mark = F.when(F.col("score").isNotNull(), F.concat(F.lit(' <mark style="background:'), scores.score_colour(F.col("score")), F.lit('">'), F.col("score"), F.lit(" of 10</mark>"))).otherwise(F.lit(""))
+    asked = F.when(F.col("question") != "", _text(F.col("question"))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<article><h3>"), F.col("number"), F.lit("."), mark, F.lit("</h3>"), asked, F.lit("<ol>"), F.array_join(F.transform("tries", lambda t: t["html"]), ""), F.lit("</ol></article>"))
     return by_question.withColumn("html", html).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "html"))), lambda q: q["html"]), "\n").alias("questions"))
 
 
 def bars_html(messages: DataFrame) -> DataFrame:
-    """(session_id, bars)."""
-    bar = F.concat(F.lit('<div class="score-bar-row"><span class="score-bar-label">'), F.col("label"), F.lit('</span><div class="score-bar-fill" style="width:'), F.col("width"), F.lit("%;background:"), F.col("colour"), F.lit(';"></div><span class="score-bar-value">'), F.col("score"), F.lit("/10</span></div>"))
+    """(session_id, bars): a row of a table for each score."""
+    bar = F.concat(F.lit("<tr><th>"), F.col("label"), F.lit('</th><td><hr style="width:'), F.col("width"), F.lit("%;border-color:"), F.col("colour"), F.lit('"></td><td>'), F.col("score"), F.lit("</td></tr>"))
     return scores.breakdown(messages).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", bar.alias("html")))), lambda b: b["html"]), "\n").alias("bars"))
 
 
@@ -56,27 +54,36 @@ def build(messages: DataFrame, sessions: DataFrame, generated: Column) -> DataFr
     given = html_escape(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("Not specified")))
     titled = html_escape(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("Candidate")))
     gap = gap_section(F.col("gap_analysis"), F.col("jd_summary"))
-    shown_gap = F.when(gap.isNotNull(), F.concat(F.lit("<section><h2>"), gap["title"], F.lit('</h2><div class="analysis-box">'), _text(gap["text"]), F.lit("</div></section>"))).otherwise(F.lit(""))
+    shown_gap = F.when(gap.isNotNull(), F.concat(F.lit("<section><h2>"), gap["title"], F.lit("</h2>"), _text(gap["text"]), F.lit("</section>"))).otherwise(F.lit(""))
 
-    def item(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f'<div class="meta-item"><div class="label">{label}</div><div class="value">'), value, F.lit("</div></div>"))
-
-    def card(label: str, value: Column) -> Column:
-        return F.concat(F.lit('<div class="score-card"><div class="number">'), value, F.lit(f'</div><div class="label">{label}</div></div>'))
+    def fact(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<dt>{label}</dt><dd>"), value, F.lit("</dd>"))
 
     message = scores.tier_message(F.col("avg_score"), report=True)
     parts = [
-        F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Interview Session Report — '), titled, F.lit("</title></head><body>"),
-        F.lit("<h1>🎯 Interview Session Report</h1><p>Generated on "), F.date_format(generated, "MMMM dd, yyyy — HH:mm"), F.lit("</p>"),
-        item("Role", given), item("Interview Type", html_escape(F.col("interview_type"))), item("Difficulty", html_escape(F.col("difficulty"))), item("Prompt Technique", html_escape(F.col("technique"))),
-        item("Questions Completed", F.col("n_scores").cast("string")), item("Average Score", F.concat(one_decimal(F.col("avg_score")), F.lit(" / 10"))),
-        F.lit('<section><h2>📊 Performance Summary</h2><div class="performance-banner" style="color:'), F.col("colour"), F.lit('">'), message, F.lit("</div>"),
-        card("Average Score", F.col("avg_shown")), card("Best Answer", F.col("best").cast("string")), card("Lowest Answer", F.col("worst").cast("string")), F.coalesce("bars", F.lit("")), F.lit("</section>"),
-        shown_gap, F.lit("<section><h2>💬 Questions &amp; Feedback</h2>"), F.coalesce("questions", F.lit("<p style='color:#555;'>No question data available.</p>")), F.lit("</section></body></html>"),
+        F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Session report: '), titled, F.lit("</title></head><body><header><h1>Session report</h1><p>"), F.date_format(generated, "yyyy-MM-dd HH:mm"), F.lit("</p></header><dl>"),
+        fact("Role", given), fact("Interview", html_escape(F.col("interview_type"))), fact("Difficulty", html_escape(F.col("difficulty"))), fact("Technique", html_escape(F.col("technique"))), fact("Questions scored", F.col("n_scores").cast("string")),
+        fact("Average", F.concat(F.col("avg_shown"), F.lit(" of 10"))), fact("Best", F.col("best").cast("string")), fact("Lowest", F.col("worst").cast("string")), F.lit('</dl><p style="color:'), F.col("colour"), F.lit('">'), message, F.lit("</p><table>"), F.coalesce("bars", F.lit("")), F.lit("</table>"),
+        shown_gap, F.lit("<main>"), F.coalesce("questions", F.lit("<p>No questions.</p>")), F.lit("</main></body></html>"),
     ]
     return found.select("session_id", F.concat(F.lit("interview_report_"), F.date_format(generated, "yyyyMMdd_HHmm"), F.lit(".html")).alias("file_name"), F.concat(*[F.coalesce(p, F.lit("")) for p in parts]).alias("html"))
 
 
 def write(reports: DataFrame, path: str) -> None:
-    """One text row per report, a folder per session."""
-    reports.select("session_id", F.col("html").alias("value")).write.partitionBy("session_id").text(path)
+    """All reports (session_id, file_name, html) as one Parquet table."""
+    reports.select("session_id", "file_name", "html").write.parquet(path)
+
+
+def download(reports: DataFrame, session_id: int, folder: str) -> str:
+    """Put one session's report into ``folder``, of any file system that Spark reaches, under its own name; returns the path."""
+    spark = reports.sparkSession
+    row = reports.filter(F.col("session_id") == session_id).select("file_name", "html").first()
+    if row is None:
+        raise KeyError(session_id)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, row.file_name)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(row.html.encode()))
+    finally:
+        out.close()
+    return path.toString()

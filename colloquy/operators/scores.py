@@ -104,13 +104,24 @@ def latest(messages: DataFrame) -> DataFrame:
 
 
 def progress(messages: DataFrame, total: int = 4) -> DataFrame:
-    """Question number and bar of each session: next requests count up to the total, skips beyond it."""
-    moves = messages.groupBy("session_id").agg(
-        F.count(F.when((F.col("role") == "user") & (F.col("content") == parsing.SATISFIED), 1)).alias("nexts"),
-        F.count(F.when((F.col("role") == "user") & (F.col("content") == parsing.SKIPPED), 1)).alias("skips"),
-    )
-    number = F.least(F.lit(1) + F.col("nexts"), F.lit(total)) + F.col("skips")
-    return moves.select("session_id", number.alias("q_num"), progress_bar(number, F.lit(total)).alias("progress"), (number == total).alias("is_last"))
+    """Question number, bar, whether it is the last question, and whether a skip ended the session.
+
+    A fold over each session's moves in order: a request for the next question
+    counts up to the total; a skip counts up too, but at the last question it ends
+    the session, and what comes after counts no more. One shuffle, by session.
+    """
+    asks, skips = ((F.col("role") == "user") & (F.col("content") == m) for m in (parsing.SATISFIED, parsing.SKIPPED))
+    move = F.when(asks | skips, F.struct("seq", skips.alias("skip")))
+    begin = F.struct(F.lit(1).alias("number"), F.lit(False).alias("done"))
+
+    def step(s: Column, m: Column) -> Column:
+        over = s["done"] | (m["skip"] & (s["number"] >= total))
+        return F.struct(F.when(over, s["number"]).otherwise(F.least(s["number"] + 1, F.lit(total))).alias("number"), over.alias("done"))
+
+    moves = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(move)).alias("moves"))
+    folded = moves.select("session_id", F.aggregate("moves", begin, step).alias("s"))
+    number = F.col("s.number")
+    return folded.select("session_id", number.alias("q_num"), progress_bar(number, F.lit(total)).alias("progress"), (number == total).alias("is_last"), F.col("s.done").alias("done"))
 
 
 def progress_bar(number: Column, total: Column) -> Column:
