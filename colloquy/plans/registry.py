@@ -257,11 +257,12 @@ def call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_CALLS}, s AS (SELECT DISTINCT conv_id AS session_id FROM conversations)
-SELECT s.session_id, count(model) AS n_calls, coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens, round(coalesce(sum(input_cost_usd + output_cost_usd), 0), 9) AS total_cost_usd FROM s LEFT JOIN costed USING (session_id) GROUP BY 1""")
+SELECT s.session_id, count(model) AS n_calls, coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens, round(coalesce(sum(input_cost_usd + output_cost_usd), 0), 9) AS total_cost_usd,
+CASE WHEN count(model) > 0 THEN '📊 **Session total:** ' || count(model) || ' call(s) | ' || format('{{:,}}', sum(total_tokens)::BIGINT) || ' tokens | $' || printf('%.6f', sum(input_cost_usd + output_cost_usd)) || ' USD' ELSE {_q(cost.NO_CALLS)} END AS formatted FROM s LEFT JOIN costed USING (session_id) GROUP BY 1""")
 def session_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     rows = cost.session_cost(transcripts.api_calls_of(conversations), conversations.select(F.col("conv_id").alias("session_id")))
-    return rows.select("session_id", "n_calls", "total_tokens", F.round("total_cost_usd", 9).alias("total_cost_usd"))
+    return rows.select("session_id", "n_calls", "total_tokens", F.round("total_cost_usd", 9).alias("total_cost_usd"), "formatted")
 
 
 _CHAT_FB = f"CASE WHEN {_BLOCK_FB} = '' AND {_BLOCK_NQ} = '' THEN content ELSE {_BLOCK_FB} END"
@@ -284,7 +285,7 @@ def chat_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REPORT_SKIP = ", ".join(_q(m) for m in parsing.REPORT_INTERNAL)
 
 
-@_query(f"""WITH {_ATTEMPTS},
+_BLOCKS = f"""{_ATTEMPTS},
 a0 AS (SELECT session_id, seq, role, content, role = 'assistant' AS said, CASE WHEN role = 'assistant' THEN {_REPORT_FB} END AS fb, CASE WHEN role = 'assistant' THEN {_BLOCK_NQ} END AS nq FROM talk),
 a1 AS (SELECT *, coalesce(fb <> '' AND nq <> '', false) AS boundary, coalesce((fb <> '' AND nq <> '') OR (fb = '' AND (nq <> '' OR content <> '')), false) AS opens FROM a0),
 a2 AS (SELECT *, min(CASE WHEN opens THEN seq END) OVER (PARTITION BY session_id) AS start_seq FROM a1),
@@ -293,12 +294,29 @@ a4 AS (SELECT *, sum(starts::INT) OVER (PARTITION BY session_id ORDER BY seq) AS
 a5 AS (SELECT *, block - starts::INT AS block_before, sum(is_try::INT) OVER (PARTITION BY session_id ORDER BY seq) AS try_no FROM a4),
 told AS (SELECT session_id, try_no, block_before AS block, arg_max(fb, seq) AS feedback FROM a5 WHERE said AND fb <> '' GROUP BY ALL),
 tried AS (SELECT a.session_id, a.block + ghost AS number, row_number() OVER (PARTITION BY a.session_id, a.block ORDER BY seq) AS attempt, content AS answer, coalesce(feedback, '') AS feedback FROM a5 a LEFT JOIN told t ON t.session_id = a.session_id AND t.try_no = a.try_no AND t.block = a.block WHERE is_try AND (a.block > 0 OR ghost = 1)),
-opened AS (SELECT session_id, block + ghost AS number, CASE WHEN nq <> '' THEN nq ELSE content END AS question FROM a5 WHERE starts UNION ALL SELECT session_id, 1, '' FROM a5 WHERE ghost = 1 AND starts AND seq = start_seq)
-SELECT o.session_id, o.number, question, score, attempt, answer, feedback FROM opened o LEFT JOIN scores s ON s.session_id = o.session_id AND s.ordinal = o.number LEFT JOIN tried t ON t.session_id = o.session_id AND t.number = o.number""")
+opened AS (SELECT session_id, block + ghost AS number, CASE WHEN nq <> '' THEN nq ELSE content END AS question FROM a5 WHERE starts UNION ALL SELECT session_id, 1, '' FROM a5 WHERE ghost = 1 AND starts AND seq = start_seq),
+blocks AS (SELECT o.session_id, o.number, question, score, attempt, answer, feedback FROM opened o LEFT JOIN scores s ON s.session_id = o.session_id AND s.ordinal = o.number LEFT JOIN tried t ON t.session_id = o.session_id AND t.number = o.number)"""
+
+
+@_query(f"WITH {_BLOCKS} SELECT * FROM blocks")
 def report_qa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.report_blocks(_marked(spark, sf_dir))
 
 
+def _or(x: str, default: str = "-") -> str:
+    return f"coalesce({x}::VARCHAR, '{default}')"
+
+
+@_query(f"""WITH {_BLOCKS}, t AS (SELECT session_id, number, any_value(question) AS question, any_value(score) AS score, coalesce(string_agg(attempt || '>' || answer || '>' || feedback, '|' ORDER BY attempt), '') AS tries FROM blocks GROUP BY ALL)
+SELECT session_id, count(*) AS n_questions, md5(string_agg(number || '#' || question || '#' || {_or('score')} || '#' || tries, '||' ORDER BY number)) AS blocks_md5 FROM t GROUP BY 1""")
+def report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested form, a row per session, read back in order."""
+    rows = transcript.nested(transcript.report_blocks(_marked(spark, sf_dir)))
+    tried = lambda q: F.array_join(F.transform(q["attempts"], lambda t: F.concat(t["attempt"].cast("string"), F.lit(">"), t["answer"], F.lit(">"), t["feedback"])), "|")
+    asked = F.transform("questions", lambda q: F.concat(q["number"].cast("string"), F.lit("#"), q["question"], F.lit("#"), F.coalesce(q["score"].cast("string"), F.lit("-")), F.lit("#"), tried(q)))
+    return rows.select("session_id", F.size("questions").cast("long").alias("n_questions"), F.md5(F.array_join(asked, "||").cast("binary")).alias("blocks_md5"))
+
+
 @_query(f"""WITH {_ATTEMPTS},
 b0 AS (SELECT *, role = 'assistant' AS said, CASE WHEN role = 'assistant' THEN {_REPORT_FB} END AS fb, CASE WHEN role = 'assistant' THEN {_BLOCK_NQ} END AS nq FROM tries),
 b1 AS (SELECT *, coalesce(said AND (sum(said::INT) OVER (PARTITION BY session_id ORDER BY seq) = 1 OR nq <> ''), false) AS starts, role = 'user' AND content NOT IN ({_CHAT_SKIP}) AS is_try FROM b0),
@@ -313,10 +331,18 @@ def report_qa_blocks_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.repaired_blocks(_marked(spark, sf_dir))
 
 
-@_query(f"""WITH {_MARKED}, m AS (SELECT session_id, count(*) FILTER (WHERE role = 'user' AND content = {_q(parsing.SATISFIED)}) AS nexts, count(*) FILTER (WHERE role = 'user' AND content = {_q(parsing.SKIPPED)}) AS skips FROM messages GROUP BY 1),
-n AS (SELECT session_id, least(1 + nexts, 4) + skips AS q_num FROM m) SELECT session_id, q_num, greatest(0.0::DOUBLE, least((q_num - 1) / 4.0::DOUBLE, 1.0::DOUBLE)) AS progress, q_num = 4 AS is_last FROM n""")
+#: Sessions of moves alone: n asks for the next question, s skips.
+_MOVE_EDGES = ["", "s", "nnn", "nnnn", "ssnnn", "nnns", "nnnsn", "sss", "ssss", "nsnsns", "nnnnnnnns"]
+_MOVES = [(-1 - i, j, "user", parsing.SATISFIED if m == "n" else parsing.SKIPPED) for i, e in enumerate(_MOVE_EDGES) for j, m in enumerate(e)] + [(-1 - i, -1, "assistant", "") for i in range(len(_MOVE_EDGES))]
+
+
+@_query(f"""WITH {_MARKED}, e AS (SELECT session_id, seq, role, content FROM messages UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {j}, {_q(k)}, {_q(c)})" for i, j, k, c in _MOVES)}) v(session_id, seq, role, content)),
+m AS (SELECT session_id, content = {_q(parsing.SKIPPED)} AS skip, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM e WHERE role = 'user' AND content IN ({_q(parsing.SATISFIED)}, {_q(parsing.SKIPPED)})),
+n AS (SELECT s.session_id, least(1 + count(i), 4) AS q_num, coalesce(bool_or(skip AND i >= 4), false) AS done FROM (SELECT DISTINCT session_id FROM e) s LEFT JOIN m USING (session_id) GROUP BY 1)
+SELECT session_id, q_num, (q_num - 1) / 4.0::DOUBLE AS progress, q_num = 4 AS is_last, done FROM n""")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.progress(_marked(spark, sf_dir))
+    edges = spark.createDataFrame(_MOVES, "session_id long, seq long, role string, content string")
+    return scores.progress(_marked(spark, sf_dir).unionByName(edges))
 
 
 _MD_EDGES = ["- a\n- **b**\n\ntext\n# H\n## I\n### J\n#### K\n* z", "- ", "", "**x** and **y**\n", "  * s  \n\t# t"]
@@ -395,7 +421,10 @@ def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.build(messages, sessions, F.lit("2026-01-05 10:00:00").cast("timestamp"))
 
 
-@_query()
+_BARE = _strip("coalesce(text, '')")
+
+
+@_query(f"SELECT doc_id, {_BARE} <> '' AS ok, md5(CASE WHEN {_BARE} = '' THEN {_q(uploads.NO_TEXT['.docx'])} ELSE {_BARE} END) AS value_md5 FROM documents")
 def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word files made of the documents' lines, and their text read back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -405,4 +434,4 @@ def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         return column.map(lambda t: uploads.make_docx((t or "").split("\n")))
 
     got = docs.withColumn("content", made("text")).withColumn("got", uploads.extract_text(F.lit("cv.DOCX"), F.col("content")))
-    return got.select("doc_id", "got.ok", F.md5(F.col("got.value").cast("binary")).alias("value_md5"), (F.col("got.value") == texts.strip(F.col("text"))).alias("same"))
+    return got.select("doc_id", "got.ok", F.md5(F.col("got.value").cast("binary")).alias("value_md5"))

@@ -1,8 +1,12 @@
 """Guards, parsers, costs, markdown and prompts on literal cases."""
 
 import html
+import io
 import re
+import sys
+import types
 import unicodedata
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,10 +166,22 @@ def test_prompts(spark):
 def test_settings(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, 7, None)], "session_id long, total_questions int, jd_summary string")
     got = {r.session_id: r for r in sessions.with_defaults(rows).collect()}
+    assert set(got[1].asDict()) == {"session_id", *sessions.SESSION_DEFAULTS} and len(sessions.SESSION_DEFAULTS) == 15
+    assert (got[1].messages, got[1].scores, got[1].interview_done, got[1].question_count, got[1].last_cost) == ([], [], False, 1, None)
     assert (got[1].total_questions, got[1].jd_summary, got[1].cv_summary) == (4, "x", "") and (got[2].total_questions, got[2].jd_summary) == (7, "")
     assert many(spark, [label for label, _ in prompts.TECHNIQUES], prompts.technique_key) == [key for _, key in prompts.TECHNIQUES]
-    with pytest.raises(Exception, match="unknown technique"):
-        one(spark, "Ten-Shot", prompts.technique_key)
+    assert all(many(spark, [label for label, _ in prompts.TECHNIQUES], prompts.explanation))
+    for lookup in (prompts.technique_key, prompts.explanation):
+        with pytest.raises(Exception, match="unknown technique"):
+            one(spark, "Ten-Shot", lookup)
+
+
+def test_settings_are_filled_and_checked(spark):
+    columns = "technique string, persona_key string, model string, temperature double, max_tokens int"
+    given = [(None, None, None, None, None), ("Persona-Based", "Strict 😤", "gpt-4o", 2.0, 200), ("Zero-Shot", "Strict 😤", "gpt-9", 2.1, 199), ("Persona-Based", "nobody", "gpt-4.1", -0.1, 1500)]
+    rows = sessions.with_settings(spark.createDataFrame(given, columns)).withColumn("wrong", sessions.wrong_settings()).collect()
+    assert [sorted(r.wrong) for r in rows] == [[], [], ["max_tokens", "model", "temperature"], ["persona_key", "temperature"]]
+    assert (rows[0].model, rows[0].top_p, rows[0].difficulty, rows[1].persona_key, rows[2].persona_key) == ("gpt-4.1-mini", 0.9, "Medium", "Strict 😤", "Neutral 😐")
 
 
 def test_uploads(spark, tmp_path):
@@ -181,12 +197,55 @@ def test_uploads(spark, tmp_path):
     assert one(spark, "x.txt", lambda n: uploads.extract_text(n, F.lit(b"")).getField("value")) == uploads.UNSUPPORTED
 
 
+def test_docx_of_tab_stops_breaks_links_and_text_boxes():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = (
+        '<w:p><w:pPr><w:tabs><w:tab w:val="left" w:pos="9"/></w:tabs></w:pPr><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p>'
+        '<w:p><w:r><w:t>a</w:t><w:br/><w:t>b</w:t><w:br w:type="page"/><w:t>c</w:t><w:cr/><w:t>d</w:t><w:noBreakHyphen/></w:r><w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink></w:p>'
+        "<w:p><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:pict><w:t>end</w:t></w:r></w:p>"
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    assert uploads.docx_text(out.getvalue()) == "One\ttwo\na\nbc\nd-link\nend"
+
+
+def test_uploads_of_any_case_and_a_pdf_reader(spark, tmp_path, monkeypatch):
+    for name in ("a.pdf", "CV.PDF", "B.DOCX", "c.Docx", "notes.txt", "docx"):
+        (tmp_path / name).write_bytes(b"x")
+    assert {r.name for r in uploads.read_uploads(spark, str(tmp_path)).collect()} == {"a.pdf", "CV.PDF", "B.DOCX", "c.Docx"}
+    page = types.SimpleNamespace(extract_text=lambda: " page ")
+    monkeypatch.setitem(sys.modules, "fitz", None)
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=lambda stream: types.SimpleNamespace(pages=[page, page])))
+    assert uploads._extracted("A.Pdf", b"x") == (True, "page  page")
+
+
+def test_reports_are_written_and_downloaded(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "interview_report_20260105_1000.html", "<p>é</p>"), (2, "x.html", "y")], "session_id long, file_name string, html string")
+    report.write(rows, f"{tmp_path}/all")
+    path = report.download(spark.read.parquet(f"{tmp_path}/all"), 1, str(tmp_path))
+    assert (tmp_path / "interview_report_20260105_1000.html").read_text() == "<p>é</p>" and path.endswith("_1000.html")
+
+
+def test_markdown_of_many_lines_is_linear(spark):
+    text = "\n".join(f"- item **{i}**" if i % 3 else f"line {i}" for i in range(60_000))  # paired once: seconds; line by line over the whole: hours
+    assert one(spark, text, markdown.to_html) == naive_markdown(text)
+
+
 def test_replies(spark):
-    documents = spark.createDataFrame([(1, "x" * 7000), (2, "  "), (3, "short")], "key long, text string")
+    documents = spark.createDataFrame([(1, "x" * 7000), (2, " \n\t "), (3, "short"), (4, None)], "key long, text string")
     asked = replies.requests(documents, "cv")
-    assert {r.key: len(r.prompt) for r in asked.collect()} == {1: 6000, 3: 5}
-    told = replies.record(asked, lambda batch: [p[:2].upper() for p in batch["prompt"]])
+    before = len(replies._TEXTS["cv"])
+    assert {r.key: len(r.prompt) - before for r in asked.collect()} == {1: 6000, 3: 5}
+    assert {(r.model, r.system, r.temperature, r.max_tokens) for r in asked.collect()} == {("gpt-4.1-mini", replies.INSTRUCTIONS["cv"], 0.2, 600)}
+    told = replies.record(asked, lambda batch: [p[before : before + 2].upper() for p in batch["prompt"]])
     assert {r.key: r.reply for r in replies.recorded(asked, told).collect()} == {1: "XX", 3: "SH"}
-    prompted = spark.createDataFrame([(1, "S")], "session_id long, system_prompt string")
-    log = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], "session_id long, seq long, role string, content string")
+    jds = spark.createDataFrame([(1, "jd"), (3, ""), (5, "jd")], "key long, reply string")
+    gap = replies.gap_requests(told, jds).collect()
+    assert [(r.key, r.stage, r.temperature, r.max_tokens) for r in gap] == [(1, "gap", 0.3, 500)] and "XX" in gap[0].prompt and "jd" in gap[0].prompt
+    recorded = spark.createDataFrame([(1, "cv", "gpt-4o", "text", 1_000_000, 100_000)], "key long, stage string, model string, reply string, prompt_tokens long, completion_tokens long")
+    assert replies.cost_log(recorded).first().total_cost_usd == pytest.approx(3.5)
+    prompted = spark.createDataFrame([(1, "S", "gpt-4o"), (2, "S", "gpt-9")], "session_id long, system_prompt string, model string")
+    log = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "a")], "session_id long, seq long, role string, content string")
+    assert [(r.session_id, r.model, r.temperature, r.max_tokens) for r in replies.chat_requests(prompted, log).collect()] == [(1, "gpt-4o", 0.4, 700)]
     assert [(m.role, m.content) for m in replies.chat_requests(prompted, log).first().messages] == [("system", "S"), ("user", "a"), ("assistant", "b")]
