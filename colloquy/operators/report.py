@@ -39,10 +39,11 @@ def question_html(blocks: DataFrame) -> DataFrame:
     return by_question.withColumn("html", html).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "html"))), lambda q: q["html"]), "\n").alias("questions"))
 
 
-def bars_html(messages: DataFrame) -> DataFrame:
-    """(session_id, bars): a row of a table for each score."""
-    bar = F.concat(F.lit("<tr><th>"), F.col("label"), F.lit('</th><td><hr style="width:'), F.col("width"), F.lit("%;border-color:"), F.col("colour"), F.lit('"></td><td>'), F.col("score"), F.lit("</td></tr>"))
-    return scores.breakdown(messages).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", bar.alias("html")))), lambda b: b["html"]), "\n").alias("bars"))
+def bars() -> Column:
+    """The scores' rows of a table in order, as an aggregate over rows of ordinal and score."""
+    b = scores.bar()
+    row = F.concat(F.lit("<tr><th>"), b["label"], F.lit('</th><td><hr style="width:'), b["width"], F.lit("%;border-color:"), b["colour"], F.lit('"></td><td>'), F.col("score"), F.lit("</td></tr>"))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", row.alias("html")))), lambda x: x["html"]), "\n")
 
 
 def build(messages: DataFrame, sessions: DataFrame, generated: Column) -> DataFrame:
@@ -50,7 +51,7 @@ def build(messages: DataFrame, sessions: DataFrame, generated: Column) -> DataFr
 
     All free text is escaped, the role too.
     """
-    found = scores.summary(messages).join(question_html(report_blocks(messages)), "session_id", "left").join(bars_html(messages), "session_id", "left").join(sessions, "session_id")
+    found = scores.summary(messages, {"bars": bars()}).join(question_html(report_blocks(messages)), "session_id", "left").join(sessions, "session_id")
     given = html_escape(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("Not specified")))
     titled = html_escape(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("Candidate")))
     gap = gap_section(F.col("gap_analysis"), F.col("jd_summary"))

@@ -79,21 +79,29 @@ def score_list(messages: DataFrame) -> DataFrame:
     return rows.filter(F.col("score").isNotNull() & (F.col("ordinal") > 0)).groupBy("session_id", "ordinal").agg(F.max("score").alias("score"))
 
 
-def summary(messages: DataFrame) -> DataFrame:
-    """A row per session: average, shown average, best, worst, number of scores, tier and message; zeros without scores."""
+def summary(messages: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """A row per session: average, shown average, best, worst, number of scores, tier and message; zeros without scores.
+
+    ``more``: further aggregates over the session's rows of :func:`score_list`, by name.
+    """
+    others = more or {}
     sessions = messages.select("session_id").distinct()
-    by_session = score_list(messages).groupBy("session_id").agg(F.avg("score").alias("a"), F.max("score").alias("b"), F.min("score").alias("w"), F.count("score").alias("n"))
+    by_session = score_list(messages).groupBy("session_id").agg(F.avg("score").alias("a"), F.max("score").alias("b"), F.min("score").alias("w"), F.count("score").alias("n"), *[c.alias(name) for name, c in others.items()])
     average = F.coalesce("a", F.lit(0.0))
     return sessions.join(by_session, "session_id", "left").select(
         "session_id", F.round(average, 9).alias("avg_score"), one_decimal(average).alias("avg_shown"), F.coalesce("b", F.lit(0)).alias("best"), F.coalesce("w", F.lit(0)).alias("worst"),
-        F.coalesce("n", F.lit(0)).alias("n_scores"), tier(average).alias("tier"), tier_message(average).alias("message"), tier_colour(average).alias("colour"),
+        F.coalesce("n", F.lit(0)).alias("n_scores"), tier(average).alias("tier"), tier_message(average).alias("message"), tier_colour(average).alias("colour"), *others,
     )
 
 
 def breakdown(messages: DataFrame) -> DataFrame:
     """Bars: label, width in percent and colour of each score."""
-    s = F.col("score")
-    return score_list(messages).select("session_id", "ordinal", s, F.concat(F.lit("Q"), F.col("ordinal")).alias("label"), (s * 10).alias("width"), score_colour(s).alias("colour"))
+    return score_list(messages).select("session_id", "ordinal", "score", *[c.alias(name) for name, c in bar().items()])
+
+
+def bar() -> dict[str, Column]:
+    """A bar's label, width and colour, from ordinal and score."""
+    return {"label": F.concat(F.lit("Q"), F.col("ordinal")), "width": F.col("score") * 10, "colour": score_colour(F.col("score"))}
 
 
 def latest(messages: DataFrame) -> DataFrame:
