@@ -65,7 +65,7 @@ def build(messages: DataFrame, sessions: DataFrame, generated: Column) -> DataFr
         F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Session report: '), titled, F.lit("</title></head><body><header><h1>Session report</h1><p>"), F.date_format(generated, "yyyy-MM-dd HH:mm"), F.lit("</p></header><dl>"),
         fact("Role", given), fact("Interview", html_escape(F.col("interview_type"))), fact("Difficulty", html_escape(F.col("difficulty"))), fact("Technique", html_escape(F.col("technique"))), fact("Questions scored", F.col("n_scores").cast("string")),
         fact("Average", F.concat(F.col("avg_shown"), F.lit(" of 10"))), fact("Best", F.col("best").cast("string")), fact("Lowest", F.col("worst").cast("string")), F.lit('</dl><p style="color:'), F.col("colour"), F.lit('">'), message, F.lit("</p><table>"), F.coalesce("bars", F.lit("")), F.lit("</table>"),
-        shown_gap, F.lit("<main>"), F.coalesce("questions", F.lit("<p>No questions.</p>")), F.lit("</main></body></html>"),
+        shown_gap, F.lit("<main>"), F.coalesce("questions", F.lit("<p>No question data available.</p>")), F.lit("</main></body></html>"),
     ]
     return found.select("session_id", F.concat(F.lit("interview_report_"), F.date_format(generated, "yyyyMMdd_HHmm"), F.lit(".html")).alias("file_name"), F.concat(*[F.coalesce(p, F.lit("")) for p in parts]).alias("html"))
 
