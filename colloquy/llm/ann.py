@@ -11,6 +11,7 @@ blocks of vectors meet blocks of queries and are ranked exactly.
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -257,9 +258,8 @@ def fit(vectors: DataFrame, parts: int | None = None, sample: int = 8_192, below
 
 
 def routed(vectors: DataFrame, index: Index, probes: int = 0, after: int = 0) -> DataFrame:
-    """``vectors`` with column part: the one it is filed under, or a row for each of the ``probes`` likeliest but the first ``after``."""
+    """``vectors`` (vec_id, vector and others) with column part: the one it is filed under, or a row for each of the ``probes`` likeliest but the first ``after``."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
-    kind = vectors.schema["vector"].dataType.simpleString()
 
     def run(batches):
         for whole in batches:
@@ -269,21 +269,24 @@ def routed(vectors: DataFrame, index: Index, probes: int = 0, after: int = 0) ->
                 x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
                 found = shared.value.likeliest(x, probes)[:, after:] if probes else shared.value.file(x)[:, None]
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), lists.take(rows), pa.array(found.ravel().astype(np.int32))], names=["vec_id", "vector", "part"])
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), pa.array(found.ravel().astype(np.int32))], names=[*batch.schema.names, "part"])
 
-    return vectors.select("vec_id", "vector").mapInArrow(run, f"vec_id long, vector {kind}, part int")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInArrow(run, f"{fields}, part int")
 
 
 def nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """Each query's k best ids among a block's vectors other than of its own id: product in doubles, ties to the smaller id.
 
-    An id's rows count once, at their best score, before the cut to k.
+    An id's rows count once, at their best score, before the cut to k. Of a query
+    with a ``bound`` only scores that reach it are given.
     """
     if queries.empty or vectors.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
     vectors = vectors.sort_values("vec_id", kind="stable")
     q, v = (np.stack(list(x["vector"])).astype(np.float64) for x in (queries, vectors))
     own, ids = queries["vec_id"].to_numpy(), vectors["vec_id"].to_numpy()
+    bounds = queries["bound"].fillna(-np.inf).to_numpy(np.float64)
     first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # each id's first row
     slack = 1e-12 * np.abs(q).sum(1).max() * np.abs(v).max()
     whose, found, scores = [], [], []
@@ -294,10 +297,11 @@ def nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFram
         at = min(k, len(first)) - 1
         limit = -np.partition(-by_id, at, axis=1)[:, at]
         for i, row in enumerate(rough):
-            held = np.flatnonzero((row >= limit[i] - slack) & (row > -np.inf))
+            held = np.flatnonzero((row >= max(limit[i], bounds[a + i]) - slack) & (row > -np.inf))
             score = (v[held] * q[a + i]).sum(1)  # the same order of sums for every vector: equal vectors tie
+            held, score = held[score >= bounds[a + i]], score[score >= bounds[a + i]]
             best = np.lexsort((-score, ids[held]))
-            best = best[np.diff(ids[held][best], prepend=ids[0] - 1) != 0]  # of each id the best row
+            best = best[np.diff(ids[held][best], prepend=ids[0] - 1) != 0]  # of each id the best row; none of no rows
             best = best[np.lexsort((ids[held][best], -score[best]))][:k]
             whose.append(np.full(len(best), own[a + i]))
             found.append(ids[held][best])
@@ -310,7 +314,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None
 
     Nearest: the largest inner product, in doubles; ties go to the smaller id. All
     rows but the query's own are candidates. Rows of one id count as one vector,
-    at its best score. Vectors that :func:`usable` leaves out take no part. Queries
+    at its best score. Vectors that :func:`usable` leaves out take no part. A query
+    first asks the likeliest few of its parts, the root of their number; the others
+    then give only what reaches the k-th score found, which loses nothing and keeps
+    the rows found from growing with the parts asked. Queries
     whose parts hold fewer than k ids are sent on, to twice as many parts each time,
     until they have k or all parts were asked: where there are fewer than k
     candidates, all are returned; an empty table gives no rows. ``parts``: by default
@@ -350,13 +357,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return materialize(once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
 
-    best = ranked(near(routed(queries, index, probes)))
-    while probes < index.parts:
-        full = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-        short = queries.join(full, "vec_id", "left_anti")
-        if short.isEmpty():
-            break
-        had, best = best, ranked(best.select("query_id", "vec_id", "score").unionByName(near(routed(short, index, 2 * probes, probes))))
+    done = math.isqrt(probes)
+    best = ranked(near(routed(queries.withColumn("bound", F.lit(None).cast("double")), index, done)))
+    while done < index.parts:
+        full = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+        asked, upto = queries.join(full, "vec_id", "left").select("vec_id", "vector", "bound"), probes
+        if done >= probes:
+            asked, upto = asked.filter("bound IS NULL"), min(index.parts, 2 * done)
+            if asked.isEmpty():
+                break
+        had, best = best, ranked(best.select("query_id", "vec_id", "score").unionByName(near(routed(asked, index, upto, done))))
         discard(had)
-        probes = min(index.parts, 2 * probes)
+        done = upto
     return best
