@@ -421,6 +421,19 @@ def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.build(messages, sessions, F.lit("2026-01-05 10:00:00").cast("timestamp"))
 
 
+_BAR = f"'<tr><th>Q' || ordinal || '</th><td><hr style=\"width:' || score * 10 || '%;border-color:' || {_COLOUR} || '\"></td><td>' || score || '</td></tr>'"
+
+
+@_query(f"""WITH {_BLOCKS}, b AS (SELECT session_id, string_agg({_BAR}, chr(10) ORDER BY ordinal) AS bars FROM scores GROUP BY 1),
+q AS (SELECT session_id, count(DISTINCT number) AS n_questions, count(*) FILTER (WHERE coalesce(answer, '') <> '') AS n_answers FROM blocks GROUP BY 1)
+SELECT s.session_id, 'interview_report_20260105_1000.html' AS file_name, md5(coalesce(bars, '')) AS bars_md5, coalesce(n_questions, 0) AS n_questions, coalesce(n_answers, 0) AS n_answers FROM (SELECT DISTINCT session_id FROM messages) s LEFT JOIN b USING (session_id) LEFT JOIN q USING (session_id)""")
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be read off the finished reports: file name, bars, and how many questions and answers they show."""
+    html = F.col("html")
+    counts = [F.regexp_count(html, F.lit(p)).cast("long").alias(n) for n, p in (("n_questions", "<article><h3>"), ("n_answers", "<li><strong>Your (Improved )?Answer"))]
+    return html_report(spark, sf_dir).select("session_id", "file_name", F.md5(F.regexp_extract(html, "(?s)<table>(.*?)</table>", 1).cast("binary")).alias("bars_md5"), *counts)
+
+
 _BARE = _strip("coalesce(text, '')")
 
 
