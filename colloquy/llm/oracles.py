@@ -51,5 +51,25 @@ words AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d), places AS ({places}
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM d LEFT JOIN places USING (rid) GROUP BY rid"""
 
 
+def _resampling(percent: int = 25, least: int = 20, buckets: int = 10_000, seed: int = 7) -> str:
+    """Features are hashed once each: crc32 by its table, byte after byte."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+b AS (SELECT -row_number() OVER () AS rid, {words} AS w FROM benchmark),
+f AS MATERIALIZED (SELECT rid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM (SELECT rid, w FROM d UNION ALL SELECT rid, w FROM b)),
+crcs AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM (SELECT byte, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, byte) AS c FROM (SELECT unnest(range(256)) AS byte))),
+octets AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)),
+hashed AS MATERIALIZED (SELECT feature, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1),
+  lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295) % {buckets} AS bucket FROM octets, crcs),
+g AS MATERIALIZED (SELECT rid, bucket FROM f JOIN hashed USING (feature)),
+counts AS (SELECT bucket, count(*) FILTER (WHERE rid > 0) AS s, count(*) FILTER (WHERE rid < 0) AS t FROM g GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts)::DOUBLE + {buckets}) / ((s + 1) * ((SELECT sum(t) FROM counts)::DOUBLE + {buckets})))) AS gain FROM counts),
+means AS (SELECT rid, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM g JOIN gains USING (bucket) WHERE rid > 0 GROUP BY rid),
+scored AS (SELECT rid, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN means USING (rid)),
+pool AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, rid) AS place, count(*) OVER () AS all_rows FROM scored WHERE words >= {least} AND score IS NOT NULL)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= {percent} * all_rows // 100 THEN place END AS rank FROM scored LEFT JOIN pool USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"base_licenses": _base_licenses(), "op7_substring_dedup": _dedup(), "op9_secrets": _secrets()}
+    return {"base_licenses": _base_licenses(), "op7_substring_dedup": _dedup(), "op9_secrets": _secrets(), "op13_importance_resampling": _resampling()}

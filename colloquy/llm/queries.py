@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_id, license_scan, oracles, pieces, quality, secrets, simhash, substring_dedup, toxicity
+from . import ann, decontamination, html_text, importance, language_id, license_scan, oracles, periodic_runs, pieces, quality, secrets, simhash, substring_dedup, toxicity
 from .common import fold_of
 
 
@@ -71,8 +71,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic_runs.made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.detect(docs).drop("n_words")
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"), html_text.train(html_text.labelled_blocks(spark)))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, base_licenses, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op6_ann, op7_substring_dedup, op8_sentencepiece, op9_secrets, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, base_licenses, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op6_ann, op7_substring_dedup, op8_sentencepiece, op9_secrets, op10_toxicity, op11_periodic_runs, op12_html_extraction, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
