@@ -448,3 +448,6 @@ def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = docs.withColumn("content", made("text")).withColumn("got", uploads.extract_text(F.lit("cv.DOCX"), F.col("content")))
     return got.select("doc_id", "got.ok", F.md5(F.col("got.value").cast("binary")).alias("value_md5"))
+
+
+from . import flows  # noqa: E402,F401  registers its queries

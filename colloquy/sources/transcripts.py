@@ -37,3 +37,24 @@ def api_calls_of(conversations: DataFrame) -> DataFrame:
     rows = conversations.withColumn("input_tokens", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
     model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("conv_id") % 6 + 1).cast("int"))
     return rows.filter(F.col("role") == "assistant").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("call_seq"), model.alias("model"), "input_tokens", F.length("text").cast("long").alias("output_tokens"))
+
+
+def ui_events_of(conversations: DataFrame) -> DataFrame:
+    """Conversations as event logs, by fixed rules over ids and turns: (session_id, seq, event, text, reply, total_questions).
+
+    The first row of a conversation that is no system row starts the session.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    pick = (c * 5 + t * 3) % 12
+    answers = F.element_at(F.array(*[F.lit(e) for e in ("submit",) * 8 + ("skip", "skip", "improve", "next")]), (pick + 1).cast("int"))
+    moves = F.element_at(F.array(*[F.lit(e) for e in ("next",) * 5 + ("improve", "improve", "submit", "submit", "skip", "start", "reset")]), (pick + 1).cast("int"))
+    event = F.when(k == 1, F.lit("start")).when(F.col("role") == "user", answers).otherwise(moves)
+    score = F.when((c + t) % 6 != 0, F.concat(F.lit("**Score:** "), ((c * 7 + t * 3) % 11).cast("string"), F.lit("/10"))).otherwise(F.lit("no score"))
+    reply = F.concat(F.lit("---FEEDBACK---\n"), score, F.lit("\n---END FEEDBACK---\n---NEXT QUESTION---\n"), F.col("text"), F.lit("\n---END QUESTION---"))
+    rows = conversations.filter(F.col("role") != "system").withColumn("event", event)
+    start = F.col("event") == "start"
+    return rows.select(
+        c.alias("session_id"), t.alias("seq"), "event", F.when(start, F.when(c % 9 == 0, F.lit(" ")).otherwise(F.lit("Engineer"))).when((c + t) % 8 == 0, F.lit("a")).otherwise(F.col("text")).alias("text"),
+        F.when(start, F.concat(F.lit("---NEXT QUESTION---\n"), F.col("text"), F.lit("\n---END QUESTION---"))).otherwise(reply).alias("reply"), F.when(start, (F.lit(1) + c % 4).cast("int")).alias("total_questions"),
+    )
