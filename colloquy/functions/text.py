@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode's white space, and the four separators U+001C-1F.
@@ -38,3 +38,9 @@ def block(text: Column, begin: str, end: str) -> Column:
 
 def without_blocks(text: Column, begin: str, end: str) -> Column:
     return strip(F.regexp_replace(text, f"(?s){begin}.*?{end}", ""))
+
+
+def ordered_text(rows: DataFrame, by: list[str], value: str, order: str, name: str, separator: str = "") -> DataFrame:
+    """``by`` and ``name``: the texts of ``value`` joined in the order of a column; groups may have null keys, null texts are passed over."""
+    quoted = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return rows.groupBy(*by).agg(F.expr(f"listagg(`{value}`, '{quoted}') WITHIN GROUP (ORDER BY `{order}`)").alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_decimal
 from . import parsing
+from .folds import folded
 
 # Tiers by the least average, with message (on screen, in the report) and colour; bar colours by the least score.
 TIERS = (
@@ -74,34 +75,31 @@ def score_list(messages: DataFrame) -> DataFrame:
     A score of a first attempt opens an entry; later ones raise the latest entry,
     of whatever question, and are dropped where there is none.
     """
-    by_session = Window.partitionBy("session_id").orderBy("seq")
-    rows = attempts(messages).withColumn("ordinal", F.sum(F.when((F.col("attempt") == 0) & F.col("score").isNotNull(), 1).otherwise(0)).over(by_session))
-    return rows.filter(F.col("score").isNotNull() & (F.col("ordinal") > 0)).groupBy("session_id", "ordinal").agg(F.max("score").alias("score"))
+    return folded(messages).select("session_id", F.posexplode("scores").alias("at", "score")).select("session_id", (F.col("at") + 1).cast("long").alias("ordinal"), "score")
 
 
-def summary(messages: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
-    """A row per session: average, shown average, best, worst, number of scores, tier and message; zeros without scores.
+def summed(scores: Column) -> dict[str, Column]:
+    """Average, shown average, best, worst, number, tier, message and colour of an array of scores; zeros without any."""
+    average = F.coalesce(F.aggregate(scores, F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(F.size(scores), F.lit(0)), F.lit(0.0))
+    return {
+        "avg_score": F.round(average, 9), "avg_shown": one_decimal(average), "best": F.coalesce(F.array_max(scores), F.lit(0)), "worst": F.coalesce(F.array_min(scores), F.lit(0)),
+        "n_scores": F.size(scores).cast("long"), "tier": tier(average), "message": tier_message(average), "colour": tier_colour(average),
+    }
 
-    ``more``: further aggregates over the session's rows of :func:`score_list`, by name.
-    """
-    others = more or {}
-    sessions = messages.select("session_id").distinct()
-    by_session = score_list(messages).groupBy("session_id").agg(F.avg("score").alias("a"), F.max("score").alias("b"), F.min("score").alias("w"), F.count("score").alias("n"), *[c.alias(name) for name, c in others.items()])
-    average = F.coalesce("a", F.lit(0.0))
-    return sessions.join(by_session, "session_id", "left").select(
-        "session_id", F.round(average, 9).alias("avg_score"), one_decimal(average).alias("avg_shown"), F.coalesce("b", F.lit(0)).alias("best"), F.coalesce("w", F.lit(0)).alias("worst"),
-        F.coalesce("n", F.lit(0)).alias("n_scores"), tier(average).alias("tier"), tier_message(average).alias("message"), tier_colour(average).alias("colour"), *others,
-    )
+
+def summary(messages: DataFrame) -> DataFrame:
+    """A row per session: see :func:`summed`."""
+    return folded(messages).select("session_id", *[c.alias(name) for name, c in summed(F.col("scores")).items()])
 
 
 def breakdown(messages: DataFrame) -> DataFrame:
     """Bars: label, width in percent and colour of each score."""
-    return score_list(messages).select("session_id", "ordinal", "score", *[c.alias(name) for name, c in bar().items()])
+    return score_list(messages).select("session_id", "ordinal", "score", *[c.alias(name) for name, c in bar(F.col("ordinal"), F.col("score")).items()])
 
 
-def bar() -> dict[str, Column]:
-    """A bar's label, width and colour, from ordinal and score."""
-    return {"label": F.concat(F.lit("Q"), F.col("ordinal")), "width": F.col("score") * 10, "colour": score_colour(F.col("score"))}
+def bar(ordinal: Column, score: Column) -> dict[str, Column]:
+    """A score's label, width in percent and colour."""
+    return {"label": F.concat(F.lit("Q"), ordinal.cast("string")), "width": score * 10, "colour": score_colour(score)}
 
 
 def latest(messages: DataFrame) -> DataFrame:
@@ -112,24 +110,15 @@ def latest(messages: DataFrame) -> DataFrame:
 
 
 def progress(messages: DataFrame, total: int = 4) -> DataFrame:
-    """Question number, bar, whether it is the last question, and whether a skip ended the session.
+    """Question number, bar, whether it is the last question, and whether the session is over.
 
-    A fold over each session's moves in order: a request for the next question
-    counts up to the total; a skip counts up too, but at the last question it ends
-    the session, and what comes after counts no more. One shuffle, by session.
+    A request for the next question and a skip both count up to the total; at the last
+    question either ends the session, and what comes after counts no more.
     """
-    asks, skips = ((F.col("role") == "user") & (F.col("content") == m) for m in (parsing.SATISFIED, parsing.SKIPPED))
-    move = F.when(asks | skips, F.struct("seq", skips.alias("skip")))
-    begin = F.struct(F.lit(1).alias("number"), F.lit(False).alias("done"))
-
-    def step(s: Column, m: Column) -> Column:
-        over = s["done"] | (m["skip"] & (s["number"] >= total))
-        return F.struct(F.when(over, s["number"]).otherwise(F.least(s["number"] + 1, F.lit(total))).alias("number"), over.alias("done"))
-
-    moves = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(move)).alias("moves"))
-    folded = moves.select("session_id", F.aggregate("moves", begin, step).alias("s"))
-    number = F.col("s.number")
-    return folded.select("session_id", number.alias("q_num"), progress_bar(number, F.lit(total)).alias("progress"), (number == total).alias("is_last"), F.col("s.done").alias("done"))
+    moves = F.count_if((F.col("role") == "user") & F.col("content").isin(parsing.SATISFIED, parsing.SKIPPED))
+    counted = messages.groupBy("session_id").agg(moves.cast("int").alias("moves"))
+    number = F.least(F.col("moves") + 1, F.lit(total))
+    return counted.select("session_id", number.alias("q_num"), progress_bar(number, F.lit(total)).alias("progress"), (number == total).alias("is_last"), (F.col("moves") >= total).alias("done"))
 
 
 def progress_bar(number: Column, total: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import parsing
-from .scores import attempts, score_list
+from .folds import folded, listed
 
 
 def chat(messages: DataFrame, awaiting: DataFrame | None = None) -> DataFrame:
@@ -53,37 +53,9 @@ def report_blocks(messages: DataFrame) -> DataFrame:
     feedback and a question; only the latter kind closes a block. So a question
     that comes without feedback after the first does not open a block, and text
     around a question block counts as feedback. Scores are joined by position. A
-    block without attempts has one row with null attempt.
+    block without attempts has one row with null attempt. See :mod:`~colloquy.operators.folds`.
     """
-    whole = Window.partitionBy("session_id")
-    by_session = whole.orderBy("seq")
-    before = by_session.rowsBetween(Window.unboundedPreceding, -1)
-    content, said = F.col("content"), F.col("role") == "assistant"
-    rows = (
-        messages.filter(F.col("role").isin("user", "assistant"))
-        .withColumn("fb", F.when(said, parsing.report_feedback(content)))
-        .withColumn("nq", F.when(said, parsing.question(content)))
-        .withColumn("boundary", F.coalesce((F.col("fb") != "") & (F.col("nq") != ""), F.lit(False)))
-        .withColumn("opens", F.coalesce(F.col("boundary") | ((F.col("fb") == "") & ((F.col("nq") != "") | (content != ""))), F.lit(False)))
-        .withColumn("start_seq", F.min(F.when(F.col("opens"), F.col("seq"))).over(whole))
-        .withColumn("starts", said & ((F.col("seq") == F.col("start_seq")) | (F.col("boundary") & (F.col("seq") > F.col("start_seq")))))
-        .withColumn("ghost", F.max(F.when((F.col("seq") == F.col("start_seq")) & F.col("boundary"), 1).otherwise(0)).over(whole))
-        .withColumn("block", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(by_session))
-        .withColumn("block_before", F.coalesce(F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(before), F.lit(0)))
-        # An empty assistant row before the first question drops the answers so far.
-        .withColumn("reset_seq", F.max(F.when(said & (content == "") & (F.col("seq") < F.coalesce("start_seq", F.col("seq") + 1)), F.col("seq"))).over(whole))
-        .withColumn("tries", (F.col("role") == "user") & ~content.isin(*parsing.REPORT_INTERNAL))
-        .withColumn("try", F.sum(F.when(F.col("tries"), 1).otherwise(0)).over(by_session))
-    )
-    answers = rows.filter(F.col("tries") & ((F.col("block") > 0) | ((F.col("ghost") == 1) & (F.col("seq") > F.coalesce("reset_seq", F.lit(-(1 << 60)))))))
-    told = rows.filter(said & (F.col("fb") != "")).groupBy("session_id", "try", F.col("block_before").alias("block")).agg(F.max_by("fb", "seq").alias("feedback"))
-    number = F.col("block") + F.col("ghost")
-    tried = answers.join(told, ["session_id", "try", "block"], "left").select(
-        "session_id", number.alias("number"), F.row_number().over(Window.partitionBy("session_id", "block").orderBy("seq")).alias("attempt"), content.alias("answer"), F.coalesce("feedback", F.lit("")).alias("feedback")
-    )
-    opened = rows.filter("starts").select("session_id", number.alias("number"), F.when(F.col("nq") != "", F.col("nq")).otherwise(content).alias("question"))
-    ghosts = rows.filter((F.col("ghost") == 1) & F.col("starts") & (F.col("seq") == F.col("start_seq"))).select("session_id", F.lit(1).cast("long").alias("number"), F.lit("").alias("question"))
-    return _with_scores(opened.unionByName(ghosts), tried, score_list(messages).withColumnRenamed("ordinal", "number"))
+    return listed(folded(messages), "blocks")
 
 
 def repaired_blocks(messages: DataFrame) -> DataFrame:
@@ -92,36 +64,11 @@ def repaired_blocks(messages: DataFrame) -> DataFrame:
     Every question block opens a question; skipped answers are none; feedback
     stays with its answer; a block's score is the best of its own attempts.
     """
-    by_session = Window.partitionBy("session_id").orderBy("seq")
-    before = by_session.rowsBetween(Window.unboundedPreceding, -1)
-    content, said = F.col("content"), F.col("role") == "assistant"
-    rows = (
-        attempts(messages)
-        .withColumn("nq", F.when(said, parsing.question(content)))
-        .withColumn("fb", F.when(said, parsing.report_feedback(content)))
-        .withColumn("said_no", F.sum(F.when(said, 1).otherwise(0)).over(by_session))
-        .withColumn("starts", F.coalesce(said & ((F.col("said_no") == 1) | (F.col("nq") != "")), F.lit(False)))
-        .withColumn("number", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(by_session))
-        .withColumn("number_before", F.coalesce(F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(before), F.lit(0)))
-        .withColumn("tries", (F.col("role") == "user") & ~content.isin(*parsing.CHAT_INTERNAL))
-        .withColumn("try", F.sum(F.when(F.col("tries"), 1).otherwise(0)).over(by_session))
-    )
-    told = rows.filter(said & F.col("answers") & (F.col("fb") != "")).groupBy("session_id", "try", F.col("number_before").alias("number")).agg(F.max_by("fb", "seq").alias("feedback"))
-    tried = rows.filter(F.col("tries") & (F.col("number") > 0)).join(told, ["session_id", "try", "number"], "left").select(
-        "session_id", "number", F.row_number().over(Window.partitionBy("session_id", "number").orderBy("seq")).alias("attempt"), content.alias("answer"), F.coalesce("feedback", F.lit("")).alias("feedback")
-    )
-    opened = rows.filter("starts").select("session_id", "number", F.when(F.col("nq") != "", F.col("nq")).otherwise(content).alias("question"))
-    best = rows.filter(F.col("score").isNotNull()).groupBy("session_id", F.col("number_before").alias("number")).agg(F.max("score").alias("score"))
-    return _with_scores(opened, tried, best)
-
-
-def _with_scores(opened: DataFrame, tried: DataFrame, scores: DataFrame) -> DataFrame:
-    keys = ["session_id", "number"]
-    return opened.join(scores, keys, "left").join(tried, keys, "left").select("session_id", "number", "question", "score", "attempt", "answer", "feedback")
+    return listed(folded(messages), "repaired")
 
 
-def nested(blocks: DataFrame) -> DataFrame:
-    """A row per session: array of (number, question, score, attempts), in order."""
-    tried = F.when(F.col("attempt").isNotNull(), F.struct("attempt", "answer", "feedback"))
-    by_question = blocks.groupBy("session_id", "number").agg(F.first("question").alias("question"), F.first("score").alias("score"), F.array_sort(F.collect_list(tried)).alias("attempts"))
-    return by_question.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("number", "question", "score", "attempts"))).alias("questions"))
+def nested(messages: DataFrame) -> DataFrame:
+    """A row per session with literal blocks: array of (number, question, score, attempts of (attempt, answer, feedback)), in order."""
+    tries = lambda b: F.transform(b["tries"], lambda t, j: F.struct((j + 1).alias("attempt"), t["answer"].alias("answer"), t["feedback"].alias("feedback")))
+    blocks = F.transform("blocks", lambda b, i: F.struct((i + 1).cast("long").alias("number"), b["question"].alias("question"), b["score"].alias("score"), tries(b).alias("attempts")))
+    return folded(messages).filter(F.size("blocks") > 0).select("session_id", blocks.alias("questions"))

@@ -311,7 +311,7 @@ def _or(x: str, default: str = "-") -> str:
 SELECT session_id, count(*) AS n_questions, md5(string_agg(number || '#' || question || '#' || {_or('score')} || '#' || tries, '||' ORDER BY number)) AS blocks_md5 FROM t GROUP BY 1""")
 def report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested form, a row per session, read back in order."""
-    rows = transcript.nested(transcript.report_blocks(_marked(spark, sf_dir)))
+    rows = transcript.nested(_marked(spark, sf_dir))
     tried = lambda q: F.array_join(F.transform(q["attempts"], lambda t: F.concat(t["attempt"].cast("string"), F.lit(">"), t["answer"], F.lit(">"), t["feedback"])), "|")
     asked = F.transform("questions", lambda q: F.concat(q["number"].cast("string"), F.lit("#"), q["question"], F.lit("#"), F.coalesce(q["score"].cast("string"), F.lit("-")), F.lit("#"), tried(q)))
     return rows.select("session_id", F.size("questions").cast("long").alias("n_questions"), F.md5(F.array_join(asked, "||").cast("binary")).alias("blocks_md5"))
@@ -337,8 +337,8 @@ _MOVES = [(-1 - i, j, "user", parsing.SATISFIED if m == "n" else parsing.SKIPPED
 
 
 @_query(f"""WITH {_MARKED}, e AS (SELECT session_id, seq, role, content FROM messages UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {j}, {_q(k)}, {_q(c)})" for i, j, k, c in _MOVES)}) v(session_id, seq, role, content)),
-m AS (SELECT session_id, content = {_q(parsing.SKIPPED)} AS skip, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM e WHERE role = 'user' AND content IN ({_q(parsing.SATISFIED)}, {_q(parsing.SKIPPED)})),
-n AS (SELECT s.session_id, least(1 + count(i), 4) AS q_num, coalesce(bool_or(skip AND i >= 4), false) AS done FROM (SELECT DISTINCT session_id FROM e) s LEFT JOIN m USING (session_id) GROUP BY 1)
+m AS (SELECT session_id, seq AS i FROM e WHERE role = 'user' AND content IN ({_q(parsing.SATISFIED)}, {_q(parsing.SKIPPED)})),
+n AS (SELECT s.session_id, least(1 + count(i), 4) AS q_num, count(i) >= 4 AS done FROM (SELECT DISTINCT session_id FROM e) s LEFT JOIN m USING (session_id) GROUP BY 1)
 SELECT session_id, q_num, (q_num - 1) / 4.0::DOUBLE AS progress, q_num = 4 AS is_last, done FROM n""")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.createDataFrame(_MOVES, "session_id long, seq long, role string, content string")

@@ -176,5 +176,5 @@ def test_report_escapes_and_orders(spark):
     assert got[1].file_name == "interview_report_20260105_1000.html" and "<b>" not in got[1].html and "&lt;b&gt;" in got[1].html
     assert got[1].html.index("A1b") < got[1].html.index("A2<") and "Attempt 3" in got[1].html and "jd &amp; more" in got[1].html
     assert "No question data available." in got[2].html
-    nested = {r.session_id: r.questions for r in transcript.nested(transcript.report_blocks(messages)).collect()}
+    nested = {r.session_id: r.questions for r in transcript.nested(messages).collect()}
     assert [len(q.attempts) for q in nested[1]] == [3]
