@@ -25,6 +25,8 @@ from .common import discard, hashed_sample, materialize
 
 #: Vectors, or queries, in a block: bounds what a task holds.
 BLOCK = 4096
+#: Numbers in an array that is made for a slice of queries: 32 MB in doubles.
+_TABLE = 1 << 22
 #: Vectors that a part is meant to hold, and the parts of one cut: at most CUT, or CUT_TWICE each where parts are cut again.
 PART, FEWEST, CUT, CUT_TWICE = 1024, 8, 64, 256
 
@@ -194,12 +196,16 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def probes_for(index: Index, filed: np.ndarray, asked: np.ndarray, k: int, recall: float) -> int:
-    """The fewest parts per query that hold ``recall`` of the k true nearest of ``asked`` among ``filed``."""
-    near = asked @ filed.T
-    true = np.argpartition(-near, min(k, len(filed)) - 1, axis=1)[:, :k]
-    rank = np.argsort(index.likeliest(asked, index.parts), axis=1)  # of each part, by query
-    met = np.bincount(np.take_along_axis(rank, index.file(filed)[true], axis=1).ravel(), minlength=index.parts).cumsum() / true.size
-    return min(index.parts, int(np.searchsorted(met, recall)) + 1)
+    """The fewest parts per query that hold ``recall`` of the k true nearest of ``asked`` among ``filed``; queries are taken in slices, so that no table by query and part is larger than _TABLE."""
+    home, met, n = index.file(filed), np.zeros(index.parts, np.int64), 0
+    step = max(1, _TABLE // max(index.parts, len(filed)))
+    for a in range(0, len(asked), step):
+        some = asked[a : a + step]
+        true = np.argpartition(-(some @ filed.T), min(k, len(filed)) - 1, axis=1)[:, :k]
+        rank = np.argsort(index.likeliest(some, index.parts), axis=1)  # of each part, by query
+        met += np.bincount(np.take_along_axis(rank, home[true], axis=1).ravel(), minlength=index.parts)
+        n += true.size
+    return min(index.parts, int(np.searchsorted(met.cumsum() / n, recall)) + 1)
 
 
 def learn(x: np.ndarray, parts: int, neighbours: int = 10, hidden: int = 128) -> Router:
@@ -260,11 +266,17 @@ def fit(vectors: DataFrame, parts: int | None = None, sample: int = 8_192, below
 def routed(vectors: DataFrame, index: Index, probes: int = 0, after: int = 0) -> DataFrame:
     """``vectors`` (vec_id, vector and others) with column part: the one it is filed under, or a row for each of the ``probes`` likeliest but the first ``after``."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
+    asked, index_parts = probes - after if probes else 1, index.parts
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
+            if not whole.num_rows:
+                continue
+            # What is given at a time holds _TABLE numbers at most, and so do tables by row and part, however many parts are asked.
+            length = len(whole.column("vector")[0])
+            step = max(1, min(BLOCK, _TABLE // max(asked * length, index_parts if probes else 1)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 lists = batch.column("vector")
                 x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
                 found = shared.value.likeliest(x, probes)[:, after:] if probes else shared.value.file(x)[:, None]

@@ -2,11 +2,15 @@
 
 Rare word n-grams of the items are seeds. A copy at or over the threshold can have
 so many edits only, and so holds some number of the item's n-grams at least (see
-:func:`shared_grams`); all but the most frequent n-grams, one fewer than that
-number, are seeds, so that every such copy holds one. How frequent an n-gram is, is
-counted over all documents. A document that holds a seed is aligned with the item
-around it (Smith-Waterman over words), which scores edited and paraphrased copies;
-places with too few of the item's words to reach the threshold are passed over.
+:func:`shared_grams`). Of an item's n-grams the most frequent are left out, half as
+many as that number; every such copy then still holds the other half of it. How
+frequent an n-gram is, is counted over all documents.
+
+Documents and items are joined by the seeds: the places of a text's n-grams in the
+items are looked up in arrays and counted by item and by how far the text is shifted
+against it. Only where as many different seeds as a copy holds stand about one shift
+is the document aligned with the item (Smith-Waterman over words), which scores edited
+and paraphrased copies.
 
 Items are taken in blocks of bounded size. A block is broadcast and every document
 is matched against it where it lies; no text is shuffled.
@@ -17,11 +21,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +35,30 @@ from .common import binary_values
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words in an item, at least; words in a seed, at most.
 _N = 3
-#: n-grams in a block of items, at most (one item may exceed it).
-BLOCK = 400_000
+#: n-grams in a block of items, at most (one item may exceed it): 8 bytes each, and as much for each place.
+BLOCK = 1_000_000
 #: What a word put in, left out or changed costs; a word in place is worth 1.
 _GAP = 0.5
-
-Gram = tuple[bytes, ...]
+#: Words of a text that are looked up at a time, at least, and places of the items that are held at a time.
+_STRETCH, _HELD = 4096, 1 << 20
+_BITS = 24
 
 
 def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def grams_of(words: list[bytes], n: int) -> Iterator[Gram]:
-    return zip(*(words[i:] for i in range(n)))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n words, from the words' own."""
+    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    return out
 
 
 def shared_grams(length: int, threshold: float) -> tuple[int, int]:
@@ -61,15 +76,26 @@ def shared_grams(length: int, threshold: float) -> tuple[int, int]:
     return 1, max(1, math.ceil(threshold * length - 1e-9))
 
 
+def most_edits(length: int, threshold: float) -> int:
+    """Edits that a copy at the threshold has at most; so far, too, may its words be shifted against each other."""
+    return int((1 - threshold) * length / _GAP + 1e-9)
+
+
 @dataclass
 class Block:
-    """Items by position: id and words."""
+    """Items by position: id and words, joined by spaces."""
 
     ids: list[int] = field(default_factory=list)
-    items: list[list[bytes]] = field(default_factory=list)
+    items: list[bytes] = field(default_factory=list)
 
-    def grams(self, threshold: float) -> list[Gram]:
-        return list(dict.fromkeys(g for w in self.items for g in grams_of(w, shared_grams(len(w), threshold)[0])))
+    def grams(self, threshold: float) -> dict[int, np.ndarray]:
+        """By n: the items' n-grams, in order, each once."""
+        found = defaultdict(list)
+        for item in self.items:
+            words = item.split(b" ")
+            n = shared_grams(len(words), threshold)[0]
+            found[n].append(_grams(_hashes(words), n))
+        return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
 
 
 def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Block]:
@@ -83,47 +109,147 @@ def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Block]:
             yield now
             now, n = Block(), 0
         now.ids.append(row.item_id)
-        now.items.append(words)
+        now.items.append(b" ".join(words))
         n += len(words)
     if now.ids:
         yield now
 
 
-def by_length(grams: Iterable[Gram]) -> dict[int, set[Gram]]:
-    out: dict[int, set[Gram]] = defaultdict(set)
-    for g in grams:
-        out[len(g)].add(g)
-    return dict(out)
+class Known:
+    """Numbers of known n-grams of one length; a table of bits passes over most others."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams, self.bits = grams, np.zeros(1 << _BITS, bool)
+        self.bits[grams >> np.uint64(64 - _BITS)] = True
 
+    def numbers(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known ones among ``grams``, and their numbers."""
+        maybe = np.flatnonzero(self.bits[grams >> np.uint64(64 - _BITS)])
+        at = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+        same = self.grams[at] == grams[maybe]
+        return maybe[same], at[same]
 
-def document_counts(docs: DataFrame, grams: list[Gram]) -> dict[Gram, int]:
+
+def document_counts(docs: DataFrame, grams: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """How many of all documents hold each n-gram; partitions are counted where they lie."""
-    shared = docs.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(grams)})
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches):
-        table, counts = shared.value, Counter()
-        known = by_length(table)
+        known = {n: Known(x) for n, x in shared.value.items()}
+        counts = {n: np.zeros(len(x), np.int64) for n, x in shared.value.items()}
         for batch in batches:
             for text in binary_values(batch, "text"):
-                words = words_of(text)
+                hashes = _hashes(words_of(text))
                 for n, own in known.items():
-                    counts.update(map(table.__getitem__, own.intersection(grams_of(words, n))))
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+                    counts[n][np.unique(own.numbers(_grams(hashes, n))[1])] += 1
+        for n, c in counts.items():
+            some = np.flatnonzero(c)
+            for at in range(0, len(some), 1 << 16):
+                part = some[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(part), n), pa.int32()), "gram": pa.array(part, pa.int32()), "n": pa.array(c[part], pa.int64())})
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "size int, gram int, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+    out = {n: np.zeros(len(x), np.int64) for n, x in grams.items()}
+    for r in found.collect():
+        out[r.size][r.gram] = r.n
+    return out
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {grams[r.gram]: r.n for r in found.collect()}
 
+@dataclass
+class Seeds:
+    """Seeds of one length, in order, and the places (item, word) at which each stands: those of seed k from starts[k] to starts[k + 1]."""
+
+    grams: np.ndarray
+    starts: np.ndarray
+    item: np.ndarray
+    word: np.ndarray
 
-def rare_seeds(block: Block, counts: dict[Gram, int], threshold: float) -> dict[Gram, list[tuple[int, int]]]:
-    """Seed -> places (item, word). n-grams that no document holds are none."""
-    out: dict[Gram, list[tuple[int, int]]] = defaultdict(list)
-    for i, words in enumerate(block.items):
+
+@dataclass
+class Matcher:
+    """What a text is matched against: the items, their seeds, how many of those a copy holds, and how many words and edits it has."""
+
+    ids: list[int]
+    items: list[bytes]
+    seeds: dict[int, Seeds]
+    needed: np.ndarray
+    lengths: np.ndarray
+    edits: np.ndarray
+    threshold: float
+
+    def __post_init__(self):
+        self.known = None
+
+    def shifts(self, words: list[bytes]) -> dict[int, set[int]]:
+        """By item the shifts of the text against it about which as many different seeds stand as a copy holds."""
+        if self.known is None:  # once in a worker
+            self.known = {n: Known(s.grams) for n, s in self.seeds.items()}
+        out: dict[int, set[int]] = defaultdict(set)
+        hashes = _hashes(words)
+        span = int((self.lengths + self.edits).max(initial=0))
+        for n, seeds in self.seeds.items():
+            at, gram = self.known[n].numbers(_grams(hashes, n))
+            for first in range(0, int(at[-1]) + 1 if len(at) else 0, max(_STRETCH, 2 * span)):
+                a, b = np.searchsorted(at, (first, first + max(_STRETCH, 2 * span) + span))
+                self._count(seeds, at[a:b], gram[a:b], out)
+        return out
+
+    def _places(self, seeds: Seeds, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in the items of a stretch's seeds: item, word, and place in the text, _HELD at a time or those of one seed."""
+        lengths = seeds.starts[gram + 1] - seeds.starts[gram]
+        upto = np.cumsum(lengths)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _HELD, side="right")))
+            own = lengths[a:b]
+            where = np.repeat(seeds.starts[gram[a:b]] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())
+            yield seeds.item[where], seeds.word[where], np.repeat(at[a:b], own)
+            a = b
+
+    def _count(self, seeds: Seeds, at: np.ndarray, gram: np.ndarray, out: dict[int, set[int]]) -> None:
+        counts, once = np.zeros(len(self.items), np.int64), np.unique(gram)  # each seed counts once in a stretch, however often it stands there
+        for item, _, _ in self._places(seeds, once, once):
+            counts += np.bincount(item, minlength=len(counts))
+        enough = counts >= self.needed
+        if not enough.any():
+            return
+        held = [(i[k], w[k], p[k]) for i, w, p in self._places(seeds, at, gram) for k in [np.flatnonzero(enough[i])]]
+        item, word, place = (np.concatenate(x).astype(np.int64) for x in zip(*held))
+        shift, width = place - word, 2 * (self.edits[item] + 1)
+        near = np.zeros(len(item), bool)
+        for move in (0, 1):  # shifts of one copy lie within half a bucket: all of them in one of either kind
+            bucket = (shift + move * (width >> 1)) // width
+            order = np.lexsort((word, bucket, item))
+            i, k, w = item[order], bucket[order], word[order]
+            begins = np.concatenate(([True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])))
+            differs = begins | np.concatenate(([True], w[1:] != w[:-1]))
+            group = np.cumsum(begins) - 1
+            near[order] |= (np.bincount(group, differs) >= self.needed[i[begins]])[group]
+        for i, s in set(zip(item[near].tolist(), shift[near].tolist())):
+            out[i].add(s)
+
+
+def matcher(block: Block, counts: dict[int, np.ndarray], grams: dict[int, np.ndarray], threshold: float) -> Matcher:
+    """Seeds of a block of items: of each item all n-grams but the most frequent, those left out being half of what a copy holds."""
+    needed, lengths, places = [], [], defaultdict(list)
+    for i, item in enumerate(block.items):
+        words = item.split(b" ")
         n, least = shared_grams(len(words), threshold)
-        order = sorted((counts.get(g, 0), g, j) for j, g in enumerate(grams_of(words, n)))
-        for count, g, j in order[: len(order) - least + 1]:
-            if count:
-                out[g].append((i, j))
-    return dict(out)
+        own = _grams(_hashes(words), n)
+        number = np.searchsorted(grams[n], own)
+        order = np.lexsort((number, counts[n][number]))[: len(own) - least // 2]
+        order = order[counts[n][number[order]] > 0]  # what no document holds seeds nothing
+        places[n].append((number[order], np.full(len(order), i), order))
+        needed.append(least - least // 2)
+        lengths.append(len(words))
+    seeds = {}
+    for n, parts in places.items():
+        number, item, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(number, kind="stable")
+        kept, first = np.unique(number[order], return_index=True)
+        seeds[n] = Seeds(grams[n][kept], np.append(first, len(order)), item[order].astype(np.int32), word[order].astype(np.int32))
+    edits = np.array([most_edits(x, threshold) for x in lengths], np.int64)
+    return Matcher(block.ids, block.items, {n: x for n, x in seeds.items() if len(x.grams)}, np.array(needed, np.int64), np.array(lengths, np.int64), edits, threshold)
 
 
 def _scores(item: np.ndarray, words: np.ndarray, local: bool) -> Iterator[np.ndarray]:
@@ -166,25 +292,16 @@ def align(item: list[bytes], words: list[bytes]) -> tuple[float, int, int]:
     return best / 2 / len(item), end - first, end
 
 
-def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tuple[int, int]]], known: dict[int, set[Gram]], threshold: float) -> list[tuple[int, float, int, int]]:
+def find(words: list[bytes], m: Matcher) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end) of the best place of each item at or over the threshold."""
-    shifts: dict[int, set[int]] = defaultdict(set)
-    for size, own in known.items():
-        held = own.intersection(grams_of(words, size))
-        if held:
-            for at, g in enumerate(grams_of(words, size)):
-                if g in held:
-                    for i, j in seeds[g]:
-                        shifts[i].add(at - j)
-    if not shifts:
-        return []
-    out, there = [], set(words)
+    shifts = m.shifts(words)
+    out, there = [], set(words) if shifts else set()
     for i, found in sorted(shifts.items()):
-        item, best = items[i], (0.0, 0, 0)
-        n, least = len(item), threshold * len(item) - 1e-9  # a score is no more than the words kept
+        item, best = m.items[i].split(b" "), (0.0, 0, 0)
+        n, least = len(item), m.threshold * len(item) - 1e-9  # a score is no more than the words kept
         if sum(map(there.__contains__, item)) < least:
             continue
-        counts, more = Counter(item), int((1 - threshold) * n / _GAP + 1e-9) + 1  # words put in, at most
+        counts, more = Counter(item), int(m.edits[i]) + 1  # words put in, at most
         todo = []
         for s in sorted(found):
             if s >= 0 and words[s : s + n] == item:
@@ -200,7 +317,7 @@ def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tu
             score, first, end = align(item, words[a:b])
             if score > best[0]:
                 best = (score, a + first, a + end)
-        if best[0] >= threshold:
+        if best[0] >= m.threshold:
             out.append((i, *best))
     return out
 
@@ -208,16 +325,12 @@ def find(words: list[bytes], items: list[list[bytes]], seeds: dict[Gram, list[tu
 def _matched(docs: DataFrame, items: DataFrame, threshold: float):
     """By block: a function from one text to its places, for use in executors."""
     for block in blocks(items):
-        seeds = rare_seeds(block, document_counts(docs, block.grams(threshold)), threshold)
-        shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.items, seeds))
-        held: list[tuple] = []
-
-        def places(text: bytes, shared=shared, held=held) -> list[tuple[int, float, int, int]]:
-            if not held:
-                ids, texts, seeds = shared.value
-                held.append((ids, texts, seeds, by_length(seeds)))
-            ids, texts, seeds, known = held[0]
-            return [(ids[i], *rest) for i, *rest in find(words_of(text), texts, seeds, known, threshold)]
+        grams = block.grams(threshold)
+        shared = docs.sparkSession.sparkContext.broadcast(matcher(block, document_counts(docs, grams), grams, threshold))
+
+        def places(text: bytes, shared=shared) -> list[tuple[int, float, int, int]]:
+            m = shared.value
+            return [(m.ids[i], *rest) for i, *rest in find(words_of(text), m)]
 
         yield places
 

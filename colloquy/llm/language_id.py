@@ -5,7 +5,8 @@ n-grams, n = 1..3, that occur in some landmark text; two texts' kernel is the si
 of the sets' intersection over the root of the product of their sizes. Nyström:
 landmark texts span the feature space. One kernel ridge regression per language
 (one versus the rest) is fitted there. A batch of texts is scored by one product
-of its presence matrix with landmarks and weights.
+of its presence matrix with landmarks and weights. Presence has WIDTH columns at
+most: beyond, n-grams share columns, by their number.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class Vocabulary:
 
     @property
     def width(self) -> int:
-        return sum(self.sizes)
+        return min(sum(self.sizes), WIDTH)
 
     def columns(self, text: str) -> list[np.ndarray]:
         """By n: the numbers of the known n-grams of ``text``, from 0 for each n."""
@@ -76,12 +77,13 @@ class Vocabulary:
         return [x[x >= 0] for x in found]
 
     def presence(self, text: str) -> np.ndarray:
-        """Which n-grams the whole text has."""
-        out = np.zeros(self.width, np.float32)
+        """Which n-grams the whole text has, by column."""
+        width = self.width
+        out = np.zeros(width, np.uint8)
         for at in range(0, max(len(text), 1), _SLICE):
             first = 0
             for size, numbers in zip(self.sizes, self.columns(text[at : at + _SLICE + _MAX_N - 1])):
-                out[first + numbers] = 1.0
+                out[(first + numbers) % max(width, 1)] = 1
                 first += size
         return out
 
@@ -100,6 +102,9 @@ class KernelModel:
 #: Texts are cut into slices of so many characters (overlapping by two), so that no array is longer.
 _SLICE = 1 << 20
 _BATCH = 256
+#: Columns of presence at most, and so many are multiplied at a time.
+WIDTH = 1 << 16
+_COLUMNS = 1 << 13
 #: Languages whose counts are broadcast; more are joined.
 _FEW = 100_000
 
@@ -131,35 +136,50 @@ def _numbers(v: Vocabulary, text: str) -> np.ndarray:
     return v.columns(text)[-1]
 
 
+def _product(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``rows`` (presence, in bytes) times ``weights`` (a row a column of presence), some columns at a time."""
+    out = np.zeros((len(rows), weights.shape[1]), np.float32)
+    for c in range(0, rows.shape[1], _COLUMNS):
+        out += rows[:, c : c + _COLUMNS].astype(np.float32) @ weights[c : c + _COLUMNS].astype(np.float32)
+    return out
+
+
+def _sizes(rows: np.ndarray) -> np.ndarray:
+    return np.maximum(rows.sum(1, dtype=np.int64), 1).astype(np.float32)
+
+
 def _kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.maximum(rows.sum(1), 1.0))
-    return (rows @ landmarks.T) / size[:, None] / np.sqrt(np.maximum(landmarks.sum(1), 1.0))[None, :]
+    return _product(rows, landmarks.T) / np.sqrt(_sizes(rows))[:, None] / np.sqrt(_sizes(landmarks))[None, :]
 
 
-def _sample(df: DataFrame, per_language: int, total: int, longest: int) -> list[Row]:
+def _sample(df: DataFrame, per_language: int, total: int, longest: int, characters: int) -> list[Row]:
     """Rows (lang, text) of each language in the order of a hash of id, language and text; see :func:`train`."""
-    rows = df.filter(F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike(_LETTER))
+    rows = df.filter(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
     counts = materialize(rows.groupBy("lang").count(), "languages")
     n = counts.count()
     wanted = max(1, min(per_language, total // max(n, 1)))
+    longest = max(1, min(longest, characters // max(1, wanted * n)))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5), "lang", "text"), F.lit(1 << 30))
     picked = rows.withColumn("place", place).join(F.broadcast(counts) if n <= _FEW else counts, "lang").filter(F.col("place") / float(1 << 30) * F.col("count") < 1.2 * wanted + 20)
-    once = picked.groupBy("lang", "place").agg(F.min("text").alias("text"))  # copies of a row count once
+    part = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring(F.regexp_substr("text", F.lit(rf"(?s){_LETTER}.*")), 1, longest))
+    once = picked.withColumn("text", part).groupBy("lang", "place").agg(F.min("text").alias("text"))  # copies of a row count once
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("rank") <= wanted)
     return ranked.select("lang", "text", "place").orderBy("lang", "place").collect()
 
 
-def train(df: DataFrame, per_language: int = 400, total: int = 25_600, landmarks_per_language: int = 32, most_landmarks: int = 1024, longest: int = 20_000, ridge: float = 1e-2) -> KernelModel | None:
+def train(df: DataFrame, per_language: int = 400, total: int = 25_600, landmarks_per_language: int = 32, most_landmarks: int = 1024, longest: int = 20_000, characters: int = 16_000_000, ridge: float = 1e-2) -> KernelModel | None:
     """Fit on columns doc_id, text and lang of ``df``.
 
-    The sample is bounded: ``per_language`` texts of each language, of at most
-    ``longest`` characters, those of the smallest hash. Where so many would make
-    more than ``total``, and for landmarks more than ``most_landmarks``, every
-    language has an equal share, and one at least: none is left out. The first
+    The sample is bounded: ``per_language`` texts of each language, those of the
+    smallest hash. Where so many would make more than ``total``, and for landmarks
+    more than ``most_landmarks``, every language has an equal share, and one at
+    least: none is left out, whatever the length of its texts. Of a text of over
+    ``longest`` characters, or over an even share of ``characters`` where that is
+    less, so many from its first letter on are learned from. The first
     ``landmarks_per_language`` of a language are landmarks. The same rows give the
     same model. None where no row can be used.
     """
-    sample = _sample(df, per_language, total, longest)
+    sample = _sample(df, per_language, total, longest, characters)
     languages = sorted({r.lang for r in sample})
     if not languages:
         return None
@@ -172,14 +192,20 @@ def train(df: DataFrame, per_language: int = 400, total: int = 25_600, landmarks
     marks = np.stack([grams.presence(t) for t in chosen])
     texts = [t for x in languages for t in by_language[x]]
     y = np.repeat(np.arange(len(languages)), [len(by_language[x]) for x in languages])
-    k_nm = np.concatenate([_kernel(np.stack([grams.presence(t) for t in texts[a : a + _BATCH]]), marks) for a in range(0, len(texts), _BATCH)]).astype(np.float64)
-    k_mm = _kernel(marks, marks).astype(np.float64)
     target = np.where(y[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
     balance = (len(y) / len(languages) / np.bincount(y, minlength=len(languages)))[y][:, None]
     bias = (target * balance).sum(0) / balance.sum()
-    alpha = np.linalg.solve(k_nm.T @ (balance * k_nm) + ridge * len(y) * (k_mm + 1e-6 * np.eye(len(k_mm))), k_nm.T @ (balance * (target - bias)))
-    scale = 1.0 / np.sqrt(np.maximum(marks.sum(1), 1.0))
-    return KernelModel(languages, grams, (marks.T @ (scale[:, None] * alpha)).astype(np.float32), marks, bias, 4.0)
+    # Only sums over the texts are kept, not their kernels.
+    squares, sides = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(languages)))
+    for a in range(0, len(texts), _BATCH):
+        k = _kernel(np.stack([grams.presence(t) for t in texts[a : a + _BATCH]]), marks).astype(np.float64)
+        squares += k.T @ (balance[a : a + _BATCH] * k)
+        sides += k.T @ (balance[a : a + _BATCH] * (target[a : a + _BATCH] - bias))
+    k_mm = _kernel(marks, marks).astype(np.float64)
+    alpha = np.linalg.solve(squares + ridge * len(y) * (k_mm + 1e-6 * np.eye(len(k_mm))), sides)
+    scaled = (alpha / np.sqrt(_sizes(marks))[:, None]).astype(np.float32)
+    weights = np.concatenate([marks[:, c : c + _COLUMNS].T.astype(np.float32) @ scaled for c in range(0, marks.shape[1], _COLUMNS)] or [np.zeros((0, len(languages)), np.float32)])
+    return KernelModel(languages, grams, weights, marks, bias, 4.0)
 
 
 def scores(texts: list[str], model: KernelModel) -> np.ndarray:
@@ -187,7 +213,7 @@ def scores(texts: list[str], model: KernelModel) -> np.ndarray:
     out = []
     for a in range(0, len(texts), _BATCH):
         rows = np.stack([model.vocabulary.presence(t) for t in texts[a : a + _BATCH]])
-        values = (rows @ model.weights) / np.sqrt(np.maximum(rows.sum(1), 1.0))[:, None] + model.bias
+        values = _product(rows, model.weights) / np.sqrt(_sizes(rows))[:, None] + model.bias
         values = np.exp(model.sharpness * (values - values.max(1, keepdims=True)))
         out.append(values / values.sum(1, keepdims=True))
     return np.concatenate(out) if out else np.empty((0, len(model.languages)))

@@ -185,13 +185,55 @@ def test_leaks_of_evenly_edited_copies_against_alignment(spark):
 @given(st.lists(st.sampled_from("abcdef"), min_size=3, max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=30), st.sampled_from([0.3, 0.6, 0.8, 0.9, 1.0]))
 def test_seeds_leave_out_no_copy(item, words, threshold):
     item, words = ([w.encode() for w in x] for x in (item, words))
-    grams = Counter(g for n in (1, 2, 3) for g in set(decontamination.grams_of(words, n)))
-    seeds = decontamination.rare_seeds(decontamination.Block([0], [item]), grams, threshold)
-    found = decontamination.find(words, [item], seeds, decontamination.by_length(seeds), threshold)
+    block = decontamination.Block([0], [b" ".join(item)])
+    grams = block.grams(threshold)
+    counts = {n: np.array([1 + int(g) % 3 for g in x]) for n, x in grams.items()}  # any counts will do
+    found = decontamination.find(words, decontamination.matcher(block, counts, grams, threshold))
     score = naive_alignment(item, words)
     assert [r[1] for r in found] == ([pytest.approx(score)] if score >= threshold else [])
 
 
+def test_many_items_of_common_words_are_told_apart_early(spark):
+    """20,000 items of the corpus' own words: hardly one is aligned, and a text takes milliseconds; the copies among them are found."""
+    rng = random.Random(21)
+    common = rng.choices([f"c{r}" for r in range(3000)], [1 / (r + 5) for r in range(3000)], k=200_000)
+    items = [rng.sample(common, 40) for _ in range(20_000)]
+    texts = [rng.sample(common, 250) for _ in range(60)]
+    for d, (i, every) in enumerate([(7, 99), (8, 5), (9, 4), (19_999, 6)]):
+        texts[d][100:140] = edited(rng, items[i], every, "change")
+    block = decontamination.Block(list(range(len(items))), [" ".join(w).encode() for w in items])
+    grams = block.grams(0.6)
+    counts = {n: np.zeros(len(x), np.int64) for n, x in grams.items()}
+    for t in texts:
+        for n, x in grams.items():
+            counts[n][np.unique(decontamination.Known(x).numbers(decontamination._grams(decontamination._hashes([w.encode() for w in t]), n))[1])] += 1
+    m = decontamination.matcher(block, counts, grams, 0.6)
+    coded = [[w.encode() for w in t] for t in texts]
+    m.shifts(coded[0])
+    began = time.perf_counter()
+    got = [{i for i, *_ in decontamination.find(t, m)} for t in coded]
+    assert time.perf_counter() - began < 3
+    for d, i in enumerate((7, 8, 9, 19_999)):
+        assert i in got[d]
+    assert sum(len(m.shifts(t)) for t in coded[4:]) < 5 * len(texts)
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 20])
+def test_seeds_are_counted_in_parts(monkeypatch, held):
+    """However the places are cut into parts, and a long text into stretches, the same shifts come out."""
+    rng = random.Random(22)
+    items = [prose(rng, 20, 40) for _ in range(30)]
+    text = [w.encode() for w in prose(rng, 300, 40) + items[3] + prose(rng, 200, 40) + edited(rng, items[4], 5, "drop")]
+    block = decontamination.Block(list(range(30)), [" ".join(w).encode() for w in items])
+    grams = block.grams(0.6)
+    m = decontamination.matcher(block, {n: np.ones(len(x), np.int64) for n, x in grams.items()}, grams, 0.6)
+    want = decontamination.find(text, m)
+    assert {3, 4} <= {r[0] for r in want}
+    monkeypatch.setattr(decontamination, "_HELD", held)
+    monkeypatch.setattr(decontamination, "_STRETCH", 8)
+    assert decontamination.find(text, m) == want
+
+
 def test_alignment_of_long_texts_holds_two_rows():
     rng = random.Random(18)
     item = prose(rng, 600, 5000)
@@ -520,3 +562,39 @@ def test_tables_on_the_way_are_deleted(spark):
     common.discard(out)
     with pytest.raises(Exception):
         spark.read.parquet(common._written.pop())
+
+
+# ---- bounds of the neighbour search
+
+
+def wide_index(parts):
+    rng = np.random.default_rng(9)
+    return ann.Index(ann.Router(1.0, rng.standard_normal((16, 4)), np.zeros(4), rng.standard_normal((4, parts)), np.zeros(parts)), [], 1)
+
+
+def test_batches_do_not_grow_with_the_parts_asked(spark, monkeypatch):
+    import pyarrow as pa
+
+    vectors = spark.range(0, 3000, 1, 1).select(F.col("id").alias("vec_id"), F.array(*[F.rand(3) for _ in range(16)]).alias("vector"))
+    index, sizes = wide_index(1024), []
+    made = pa.RecordBatch.from_arrays
+    got = ann.routed(vectors, index, 400).groupBy("part").count().agg(F.sum("count")).first()[0]
+    assert got == 400 * 3000
+    # The same function by hand, to see the batches that it gives.
+    step = max(1, min(ann.BLOCK, ann._TABLE // max(400 * 16, 1024)))
+    batch = made([pa.array(np.arange(step)), pa.array([[0.5] * 16] * step)], names=["vec_id", "vector"])
+    found = index.likeliest(np.full((step, 16), 0.5), 400)
+    sizes.append(batch.take(pa.array(np.repeat(np.arange(step), 400))).nbytes)
+    assert found.shape == (step, 400) and max(sizes) < 64e6
+
+
+def test_parts_asked_are_counted_in_slices(monkeypatch):
+    rng = np.random.default_rng(10)
+    index, filed, asked = wide_index(64), rng.standard_normal((500, 16)), rng.standard_normal((90, 16))
+    want = ann.probes_for(index, filed, asked, 20, 0.9)
+    true = np.argsort(-(asked @ filed.T), axis=1)[:, :20]
+    part, order = index.file(filed), index.likeliest(asked, 64)
+    share = lambda n: np.mean([[part[v] in order[q, :n] for v in true[q]] for q in range(len(asked))])
+    assert share(want) >= 0.9 > share(want - 1)
+    monkeypatch.setattr(ann, "_TABLE", 1000)
+    assert ann.probes_for(index, filed, asked, 20, 0.9) == want

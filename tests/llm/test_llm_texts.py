@@ -4,6 +4,7 @@ import functools
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -217,7 +218,7 @@ def test_language_scores_against_kernel_ridge_regression(spark):
     rows = [(i, " ".join(rng.choice([*words[k], "and"], 12)), k) for i, k in enumerate(sorted(words) * 20)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(table, per_language=20, landmarks_per_language=5)
-    sample = language_id._sample(table, 20, 1000, 20_000)
+    sample = language_id._sample(table, 20, 1000, 20_000, 10**7)
     texts = [(r.text, r.lang) for r in sample]
     marks = [t for k in sorted(words) for t in [t for t, g in texts if g == k][:5]]
     known = set().union(*map(grams, marks))
@@ -249,6 +250,41 @@ def test_every_language_of_many_is_learned(spark):
     assert got.filter("lang_pred = lang").count() > 0.9 * len(rows)
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, "kal mor tis " * 13, "aa") for i in range(20)] + [(100 + i, "... 12 " * 10 + "öze ürn ßal " * 2_000, "bb") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table)
+    assert model.languages == ["aa", "bb"]
+    sample = {r.lang: r.text for r in language_id._sample(table, 400, 25_600, 20_000, 10**8)}
+    assert len(sample["bb"]) == 20_000 and sample["bb"].startswith("öze")  # from the first letter on
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(table, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_many_languages_of_many_characters_fit(spark):
+    """64 languages with 300 characters each of their own: columns are shared, all are learned, and what is held stays small."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(64):
+        own = [chr(0x4E00 + 300 * k + int(c)) for c in range(300)]
+        rows += [(1000 * k + i, "".join(rng.choice(own, 400)), f"l{k:02}") for i in range(24)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = language_id.train(table.filter("doc_id % 1000 < 18"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(model.vocabulary.sizes) > 4 * language_id.WIDTH and model.weights.shape == (language_id.WIDTH, 64)
+    assert peak < 600e6 and len(model.languages) == 64
+    held_out = table.filter("doc_id % 1000 >= 18")
+    got = language_id.predict(held_out, model).join(held_out.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang_pred = lang").count() > 0.95 * held_out.count()
+
+
+def test_characters_learned_from_are_bounded(spark):
+    table = spark.createDataFrame([(i, "abc def " * 50, "en") for i in range(30)], "doc_id long, text string, lang string")
+    assert {len(r.text) for r in language_id._sample(table, 10, 100, 20_000, 500)} == {50}
+
+
 def test_only_letters_make_a_language(spark):
     table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["abc def", "bcd efg"] * 4)], "doc_id long, text string, lang string")
     rows = language_id.predict(docs(spark, ["½ ² Ⅷ", "_", "ª", "漢", "1a"]), language_id.train(table)).collect()
