@@ -105,8 +105,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     only where both sides are exchanged for the join. A hash of the keys as a
     further key asks for that; ``right`` has one row a key and moves cheaply.
     """
-    h = F.xxhash64(*on)
-    return left.withColumn("__h", h).join(right.withColumn("__h", h), ["__h", *on], how).drop("__h")
+    h, name = F.xxhash64(*on), free_name(left, free_name(right, "__h"))
+    return left.withColumn(name, h).join(right.withColumn(name, h), [name, *on], how).drop(name)
 
 
 def hashed_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:

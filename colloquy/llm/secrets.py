@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, to_ascii_lower
+from .common import free_name, materialize, spread_join, to_ascii_lower
 from .trigrams import ALWAYS, query_of
 
 
@@ -136,7 +136,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     trigrams = sorted({t for q in queries if q != ALWAYS for c in q for t in c})
     if trigrams:
         postings = index(keyed.select(F.col(key).alias("key"), F.col(whole).alias("text")), trigrams)
-        keyed = keyed.join(candidates(postings, trigrams, rules).withColumnsRenamed({"key": key, "rules": met}), key, "left")
+        keyed = spread_join(keyed, candidates(postings, trigrams, rules).withColumnsRenamed({"key": key, "rules": met}), [key], "left")
     else:
         keyed = keyed.withColumn(met, F.array().cast("array<int>"))
     none = F.array().cast("array<struct<start:int,rule:int,stop:int>>")

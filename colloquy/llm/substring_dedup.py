@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, discard, materialize
+from .common import binary_values, discard, materialize, spread_join
 from .fm_index import DEPTH, FMIndex
 
 _GRAM = 8
@@ -327,5 +327,5 @@ def dedup(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str
                 removed.append([{"first": a, "stop": b} for a, b in merged])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(removed, span)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
-    joined = docs.join(spans, _ROW, "left").select("doc_id", "doc", "spans")
+    joined = spread_join(docs, spans, _ROW, "left").select("doc_id", "doc", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,stop:int>>")
