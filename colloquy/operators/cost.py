@@ -43,9 +43,24 @@ def call_cost(calls: DataFrame) -> DataFrame:
     return costed.withColumn("formatted", F.concat(F.lit("🪙 **This call:** "), _grouped(F.col("total_tokens")), F.lit(" tokens ($"), _dollars(F.col("total_cost_usd")), F.lit(")")))
 
 
+def in_order(value: Column, order: Column) -> Column:
+    """Aggregate: the sum of ``value`` in ``order``, so that it is the same to the last bit however rows are dealt out.
+
+    A group's numbers are gathered in one row and folded; nulls are passed over.
+    """
+    sorted_values = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("order"), value.alias("value")))))
+    return F.aggregate(sorted_values, F.lit(0.0), lambda total, x: total + x["value"])
+
+
 def session_cost(calls: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Calls, tokens and dollars by session; with ``sessions`` (session_id) those without calls too."""
-    summed = call_cost(calls).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"), F.sum("total_tokens").alias("total_tokens"), F.sum("total_cost_usd").alias("total_cost_usd"))
+    """Calls, tokens and dollars by session; with ``sessions`` (session_id) those without calls too.
+
+    Dollars are summed in the order of call_seq, or of the calls' own values where
+    there is no such column.
+    """
+    costed = call_cost(calls)
+    order = F.struct(*[c for c in ("call_seq", "model", "input_tokens", "output_tokens") if c in calls.columns])
+    summed = costed.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"), F.sum("total_tokens").alias("total_tokens"), in_order(F.col("total_cost_usd"), order).alias("total_cost_usd"))
     if sessions is not None:
         summed = sessions.select("session_id").distinct().join(summed, "session_id", "left").fillna(0, ["n_calls", "total_tokens"]).fillna(0.0, ["total_cost_usd"])
     text = F.concat(F.lit("📊 **Session total:** "), F.col("n_calls"), F.lit(" call(s) | "), _grouped(F.col("total_tokens")), F.lit(" tokens | $"), _dollars(F.col("total_cost_usd")), F.lit(" USD"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.schemas import EVENTS, checked
 from . import guards, parsing
 from .scores import show_improve
 
@@ -39,7 +40,7 @@ def read(events: DataFrame) -> DataFrame:
     kept = F.when(event == "submit", parsing.without_question(reply)).when(event.isin("next", "skip"), parsing.without_feedback(reply)).otherwise(reply)
     said = F.when(event == "start", F.lit(parsing.READY)).when(event == "submit", text).when(event == "next", F.lit(parsing.SATISFIED)).when(event == "skip", F.lit(parsing.SKIPPED))
     total = F.when(event == "start", F.coalesce("total_questions", F.lit(DEFAULT_TOTAL)))
-    found = events.select("session_id", "seq", "event", refused.alias("refused"), said.alias("said"), kept.alias("reply"), total.cast("int").alias("total_questions"))
+    found = checked(events, EVENTS).select("session_id", "seq", "event", refused.alias("refused"), said.alias("said"), kept.alias("reply"), total.cast("int").alias("total_questions"))
     return found.withColumn("score", parsing.score(F.col("reply")))
 
 

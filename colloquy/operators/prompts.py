@@ -60,16 +60,16 @@ def _given(text: Column) -> Column:
 def context(role: Column, interview_type: Column, difficulty: Column, jd_summary: Column, cv_summary: Column, gap_analysis: Column) -> Column:
     """Header and the sections whose text is not empty; nulls count as empty."""
     named = F.when(_given(role), role).otherwise(F.lit(NO_ROLE))
-    header = F.concat(F.lit("You are preparing a candidate for a **"), difficulty, F.lit("** difficulty **"), interview_type, F.lit("** interview for the role of **"), named, F.lit("**.\n\n"))
+    header = F.concat(F.lit("Hold a mock interview. Role: **"), named, F.lit("**. Kind: **"), interview_type, F.lit("**. Level: **"), difficulty, F.lit("**.\n\n"))
 
     def section(title: str, text: Column, after: str = "") -> Column:
         return F.when(_given(text), F.concat(F.lit(f"### {title}:\n"), text, F.lit("\n\n" + after))).otherwise(F.lit(""))
 
     return F.concat(
         header,
-        section("Job Description Analysis", jd_summary),
-        section("Candidate CV Summary", cv_summary),
-        section("Gap Analysis (use this to prioritise question topics)", gap_analysis, "Put the gaps above first when you choose questions.\n\n"),
+        section("What the position asks for", jd_summary),
+        section("What the candidate brings", cv_summary),
+        section("Where the two differ", gap_analysis, "Put the gaps above first when you choose questions.\n\n"),
     )
 
 
@@ -86,38 +86,49 @@ def default_personas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PERSONAS, "persona_key string, persona_name string, persona_description string, style_instructions string")
 
 
-def technique_key(label: Column) -> Column:
-    """Key of a technique's label; an unknown label is an error."""
-    found = F.lit(None).cast("string")
-    for name, key in TECHNIQUES:
-        found = F.when(label == name, F.lit(key)).otherwise(found)
-    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown technique: "), F.coalesce(label, F.lit(""))))).otherwise(found)
+def default_techniques(spark: SparkSession) -> DataFrame:
+    """(technique, technique_key, explanation), a row per label."""
+    told = dict(EXPLANATIONS)
+    return spark.createDataFrame([(label, key, told[label]) for label, key in TECHNIQUES], "technique string, technique_key string, explanation string")
 
 
-def explanation(label: Column) -> Column:
-    """What is shown beside a technique's label; an unknown label is an error."""
-    found = F.lit(None).cast("string")
-    for name, text in EXPLANATIONS:
-        found = F.when(label == name, F.lit(text)).otherwise(found)
-    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown technique: "), F.coalesce(label, F.lit(""))))).otherwise(found)
+def looked_up(rows: DataFrame, table: DataFrame, key: str, needed: Column | None = None) -> DataFrame:
+    """``rows`` with the columns of a table of one row a key; a key that it lacks, or a null, is an error.
+
+    ``needed``: where that doesn't hold, a missing key is none and gives nulls. The
+    check is a filter, so that it is made whichever columns are read.
+    """
+    found = free = "__found"
+    while found in rows.columns or found in table.columns:
+        found = free = f"_{free}"
+    joined = rows.join(table.withColumn(found, F.lit(True)), key, "left")
+    missing = F.col(found).isNull() if needed is None else F.col(found).isNull() & F.coalesce(needed, F.lit(False))
+    message = F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return joined.filter(F.assert_true(~missing, message).isNull()).drop(found)
+
+
+def techniques_of(rows: DataFrame, techniques: DataFrame | None = None) -> DataFrame:
+    """``rows`` with technique_key and explanation of their technique, a label."""
+    return looked_up(rows, techniques if techniques is not None else default_techniques(rows.sparkSession), "technique")
 
 
 def system_prompt(sessions: DataFrame, templates: DataFrame | None = None, personas: DataFrame | None = None, feedback_rules: str = FEEDBACK_RULES) -> DataFrame:
     """``sessions`` with system_prompt.
 
     Reads technique_key, role, interview_type, difficulty, persona_key, the three
-    summaries and is_last. An unknown technique gets the zero-shot template; a
-    persona technique with an unknown persona is an error. Both tables are small
-    dimensions (a row per technique, per persona) and joined by key.
+    summaries and is_last. An unknown technique gets the zero-shot template, and is
+    an error where the table has none; a persona technique with an unknown persona is
+    an error. Both tables are small dimensions (a row per technique, per persona) and
+    joined by key; the zero-shot template is a scalar subquery of its table.
     """
     spark = sessions.sparkSession
-    templates = templates or default_templates(spark)
-    personas = personas or default_personas(spark)
-    fallback = templates.filter(F.col("key") == DEFAULT_KEY).select(F.col("template").alias("__zero"))
-    rows = sessions.join(templates.select(F.col("key").alias("technique_key"), "template"), "technique_key", "left").join(personas, "persona_key", "left")
-    rows = rows.withColumn("template", F.coalesce("template", F.lit(fallback.first()[0])))
-    known = F.when((F.col("technique_key") == PERSONA_KEY) & F.col("persona_name").isNull(), F.raise_error(F.concat(F.lit("unknown persona: "), F.coalesce("persona_key", F.lit(""))))).otherwise(F.lit(""))
+    templates = templates if templates is not None else default_templates(spark)
+    personas = personas if personas is not None else default_personas(spark)
+    zero_shot = templates.filter(F.col("key") == DEFAULT_KEY).select("template").scalar()
+    rows = sessions.join(templates.select(F.col("key").alias("technique_key"), "template"), "technique_key", "left")
+    rows = looked_up(rows, personas, "persona_key", F.col("technique_key") == PERSONA_KEY).withColumn("template", F.coalesce("template", zero_shot))
+    rows = rows.filter(F.assert_true(F.col("template").isNotNull(), F.lit("there is no zero-shot template")).isNull())
     values = {n: F.coalesce(F.col(n), F.lit("")) for n in ("persona_name", "persona_description", "style_instructions")} | {"feedback_format": F.lit(feedback_rules)}
     head = context(*[F.col(n) for n in ("role", "interview_type", "difficulty", "jd_summary", "cv_summary", "gap_analysis")])
     suffix = F.when(F.coalesce("is_last", F.lit(False)), F.lit(LAST_QUESTION)).otherwise(F.lit(""))
-    return rows.withColumn("system_prompt", F.concat(known, head, _filled(F.col("template"), values), suffix)).drop("template", "persona_name", "persona_description", "style_instructions")
+    return rows.withColumn("system_prompt", F.concat(head, _filled(F.col("template"), values), suffix)).drop("template", "persona_name", "persona_description", "style_instructions")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import events
-from ..sources import transcripts
-from .registry import _INJECTED, _LENGTH, _NQ, _POOR, _SCORE, _S, _q, _query, _table, _without
+from ..functions.text import ordered_text
+from ..operators import cost, events, guards, patterns, prompts, report, scores, transcript
+from ..sources import ledger, replies, sessions, transcripts
+from .registry import _BAR, _BLOCKS, _INJECTED, _LENGTH, _NQ, _POOR, _SCORE, _S, _SESSIONS, _TECHNIQUES, _ANSWERS, _answers, _marked, _pick, _q, _query, _table, _without
 
 #: Literal logs, a letter an event: T start, digits and x submissions by their score (x: none, a: 10), n next, s skip, i improve, r reset, b an answer that is refused.
 _LOGS = ["T5n", "T3i8n7i9n", "Tx4nni2", "TaiTn", "b5", "T5s6s7s8s", "sss", "Tsssss", "T5n6n7n8n", "T5n6n7n8in", "T5rT6", "T2n3rrn", "Tb5bni", "T8i3i9ix", "T4s", "TsiT7n"]
@@ -67,3 +68,109 @@ SELECT session_id, started, done, question_count, total_questions, attempt, awai
 @_query(_states_sql())
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.final_states(_events(spark, sf_dir)).withColumn("scores", F.array_join(F.col("scores").cast("array<string>"), ","))
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations")
+
+
+# ---- lookups, settings, sections
+
+
+@_query(f"WITH {_SESSIONS}, {_TECHNIQUES} SELECT session_id, technique, technique_key, explanation FROM sessions JOIN techniques USING (technique)")
+def technique_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.techniques_of(transcripts.sessions_of(_conversations(spark, sf_dir))).select("session_id", "technique", "technique_key", "explanation")
+
+
+_KNOWN = {name: ", ".join(map(_q, labels)) for name, labels in sessions.LABELS.items()}
+_PERSONAS = ("technique = 'Persona-Based'", "coalesce(p, 'Neutral 😐')", "'Neutral 😐'")
+
+
+@_query(f"""WITH g AS (SELECT DISTINCT conv_id AS c FROM conversations),
+given AS (SELECT c AS session_id, coalesce({_pick((None, "Zero-Shot", "Persona-Based", "Ten-Shot"), "c")}, 'Zero-Shot') AS technique, {_pick((None, "Strict 😤", "nobody"), "c")} AS p, coalesce({_pick((*transcripts.MODELS, None), "c")}, 'gpt-4.1-mini') AS model,
+  CASE WHEN c % 4 <> 0 THEN (c % 25) / 10.0::DOUBLE ELSE 0.4::DOUBLE END AS temperature, CASE WHEN c % 3 <> 0 THEN (c % 12) / 10.0::DOUBLE ELSE 0.9::DOUBLE END AS top_p, CASE WHEN c % 5 <> 0 THEN 100 + c % 16 * 100 ELSE 700 END AS max_tokens, CASE WHEN c % 6 <> 0 THEN c % 13 ELSE 4 END AS total_questions FROM g),
+filled AS (SELECT *, CASE WHEN {_PERSONAS[0]} THEN {_PERSONAS[1]} ELSE {_PERSONAS[2]} END AS persona_key FROM given)
+SELECT session_id, technique, persona_key, model, temperature, top_p, max_tokens, total_questions, 'Behavioral' AS interview_type, 0.3::DOUBLE AS frequency_penalty, concat_ws(',', CASE WHEN technique NOT IN ({_KNOWN["technique"]}) THEN 'technique' END, CASE WHEN persona_key NOT IN ({_KNOWN["persona_key"]}) THEN 'persona_key' END,
+  CASE WHEN model NOT IN ({_KNOWN["model"]}) THEN 'model' END, CASE WHEN total_questions NOT BETWEEN 1 AND 10 THEN 'total_questions' END, CASE WHEN temperature > 2 THEN 'temperature' END, CASE WHEN top_p NOT BETWEEN 0.1 AND 1 THEN 'top_p' END, CASE WHEN max_tokens NOT BETWEEN 200 AND 1500 THEN 'max_tokens' END) AS wrong FROM filled""")
+def session_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sessions.with_settings(transcripts.settings_of(_conversations(spark, sf_dir)))
+    shown = ("session_id", "technique", "persona_key", "model", "temperature", "top_p", "max_tokens", "total_questions", "interview_type", "frequency_penalty")
+    return rows.select(*shown, F.array_join(sessions.wrong_settings(), ",").alias("wrong"))
+
+
+@_query(f"""WITH {_SESSIONS} SELECT session_id, false AS interview_started, false AS interview_done, 1 AS question_count, CASE WHEN session_id % 6 <> 0 THEN session_id % 13 ELSE 4 END AS total_questions, 0 AS attempt, 0 AS n_messages, 0 AS n_scores, NULL::VARCHAR AS last_cost,
+jd_summary, coalesce(cv_summary, '') AS cv_summary, coalesce(gap_analysis, '') AS gap_analysis, '' AS jd_text FROM sessions""")
+def session_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _conversations(spark, sf_dir)
+    given = transcripts.sessions_of(conversations).join(transcripts.settings_of(conversations).select("session_id", "total_questions"), "session_id")
+    kept = ("session_id", "interview_started", "interview_done", "question_count", "total_questions", "attempt", "last_cost", "jd_summary", "cv_summary", "gap_analysis", "jd_text")
+    return sessions.with_defaults(given).select(*kept, F.size("messages").alias("n_messages"), F.size("scores").alias("n_scores"))
+
+
+@_query(f"""WITH {_SESSIONS} SELECT session_id, CASE WHEN coalesce(gap_analysis, '') <> '' THEN {_q(report.GAP_TITLE)} WHEN jd_summary <> '' THEN {_q(report.JD_TITLE)} END AS title,
+CASE WHEN coalesce(gap_analysis, '') <> '' THEN gap_analysis WHEN jd_summary <> '' THEN jd_summary END AS text, coalesce(jd_summary, '') <> '' AND coalesce(cv_summary, '') <> '' AS asks_for_gap FROM sessions""")
+def gap_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that a report shows of the analyses, and whether a gap analysis can be asked for."""
+    found = report.gap_section(F.col("gap_analysis"), F.col("jd_summary"))
+    return transcripts.sessions_of(_conversations(spark, sf_dir)).select("session_id", found["title"].alias("title"), found["text"].alias("text"), prompts.gap_stage(F.col("jd_summary"), F.col("cv_summary")).alias("asks_for_gap"))
+
+
+@_query(f"""WITH s AS (SELECT doc_id // 2 AS key, doc_id % 2 = 0 AS cv, CASE WHEN doc_id % 10 = 0 THEN '' ELSE substring(text, 1, 200) END AS reply FROM documents)
+SELECT c.key, 'gap' AS stage, 0.3::DOUBLE AS temperature, 500 AS max_tokens, md5({_q(replies._PAIR[0])} || c.reply || {_q(replies._PAIR[1])} || j.reply) AS prompt_md5 FROM s c JOIN s j ON c.key = j.key AND c.cv AND NOT j.cv WHERE c.reply <> '' AND j.reply <> ''""")
+def gap_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of documents taken in pairs: of even ids as CVs, of the next ones as postings."""
+    doc_id = F.col("doc_id")
+    told = _table(spark, sf_dir, "documents").select(F.floor(doc_id / 2).cast("long").alias("key"), (doc_id % 2 == 0).alias("cv"), F.when(doc_id % 10 == 0, F.lit("")).otherwise(F.substring("text", 1, 200)).alias("reply"))
+    asked = replies.gap_requests(told.filter("cv").select("key", "reply"), told.filter("NOT cv").select("key", "reply"))
+    return asked.select("key", "stage", "temperature", "max_tokens", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+# ---- replies
+
+
+@_query(f"""WITH ends AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS said FROM conversations GROUP BY 1),
+log AS (SELECT conv_id, string_agg(role || chr(1) || text, chr(2) ORDER BY turn) AS sent, sum(length(text))::BIGINT AS chars FROM conversations JOIN ends USING (conv_id) WHERE said IS NULL OR turn < said GROUP BY 1),
+asked AS (SELECT conv_id, {_pick(transcripts.MODELS, "conv_id")} AS model, 'S' || conv_id % 3 AS system, coalesce(sent, '') AS sent, coalesce(chars, 0) AS chars, text AS reply FROM ends LEFT JOIN log USING (conv_id) LEFT JOIN conversations c USING (conv_id) WHERE (said IS NULL AND c.turn = (SELECT min(turn) FROM conversations x WHERE x.conv_id = ends.conv_id) OR c.turn = said)),
+a2 AS (SELECT a.conv_id, model, system, sent, chars, CASE WHEN said IS NOT NULL THEN reply END AS reply FROM asked a JOIN ends USING (conv_id) WHERE model <> 'unknown'),
+told AS (SELECT model, system, sent, min(reply) AS reply, any_value(chars) AS chars FROM a2 WHERE reply IS NOT NULL GROUP BY ALL),
+rates AS (SELECT * FROM (VALUES {', '.join(f"({_q(m)}, {i}::DOUBLE, {o}::DOUBLE)" for m, i, o in cost.RATES)}) v(model, i, o)),
+r AS (SELECT conv_id, model, t.reply, coalesce(t.chars, 0) AS p, coalesce(length(t.reply), 0) AS c FROM a2 LEFT JOIN told t USING (model, system, sent))
+SELECT conv_id AS session_id, model, md5(reply) AS reply_md5, p AS input_tokens, c AS output_tokens, round((p / 1e6) * i + (c / 1e6) * o, 12) AS total_cost_usd FROM r JOIN rates USING (model)""")
+def reply_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats up to their last reply as requests, that reply as what a ledger holds of them, and what it cost; open requests have none."""
+    conversations = _conversations(spark, sf_dir)
+    ends = conversations.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("said"))
+    log = conversations.join(ends, "conv_id").filter(F.col("said").isNull() | (F.col("turn") < F.col("said")))
+    c = F.col("conv_id")
+    prompted = ends.select(c.alias("session_id"), F.concat(F.lit("S"), (c % 3).cast("string")).alias("system_prompt"), transcripts._one_of(transcripts.MODELS, c).alias("model"))
+    asked = ledger.keyed(replies.chat_requests(prompted, transcripts.messages_of(log)))
+    chars = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.when(m["seq"] >= 0, F.length(m["content"])).otherwise(0))
+    last = conversations.join(ends, "conv_id").filter(F.col("turn") == F.col("said")).select(c.alias("session_id"), F.col("text").alias("reply"))
+    told = asked.join(last, "session_id").groupBy("request").agg(F.min(F.struct("reply", chars.alias("prompt_tokens"), F.length("reply").cast("long").alias("completion_tokens"))).alias("r")).select("request", "r.*")
+    costs = replies.cost_log(ledger.answered(asked, told))
+    return costs.select("session_id", "model", F.md5(F.col("reply").cast("binary")).alias("reply_md5"), "input_tokens", "output_tokens", F.round("total_cost_usd", 12).alias("total_cost_usd"))
+
+
+# ---- patterns, strings in order
+
+
+def _pattern_hit(p: str) -> str:
+    return "contains(replace(lower(text), 'act as interview', chr(1)), 'act as ')" if "(?!" in p else f"regexp_matches(lower(text), {_q(p)})"
+
+
+@_query(f"""WITH {_ANSWERS}, f AS (SELECT id, n, CASE {' '.join(f"WHEN {_pattern_hit(p)} THEN {i}" for i, p in enumerate(guards.INJECTION_PATTERNS))} END AS position FROM r)
+SELECT id, n, position, [{', '.join(map(_q, guards.INJECTION_PATTERNS))}][position + 1] AS pattern FROM f""")
+def first_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.createDataFrame([(i, p, None) for i, p in enumerate(guards.INJECTION_PATTERNS)], "position int, pattern string, label string")
+    found = patterns.matcher(table).found(F.lower("text"))
+    return _answers(spark, sf_dir).select("id", "n", found.alias("f")).select("id", "n", "f.position", "f.pattern")
+
+
+@_query(f"""WITH {_BLOCKS}, b AS (SELECT session_id, string_agg({_BAR}, chr(10) ORDER BY ordinal) AS bars FROM scores GROUP BY 1),
+q AS (SELECT session_id, string_agg(number || '. ' || question, chr(10) ORDER BY number) AS questions FROM (SELECT DISTINCT session_id, number, question FROM blocks) GROUP BY 1)
+SELECT session_id, bars, questions FROM b FULL JOIN q USING (session_id)""")
+def listed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars and questions of a session as one text each, by ordered string aggregates."""
+    messages = _marked(spark, sf_dir)
+    asked = transcript.report_blocks(messages).select("session_id", "number", F.concat(F.col("number").cast("string"), F.lit(". "), F.col("question")).alias("line")).distinct()
+    return report.listed_bars(scores.breakdown(messages)).join(ordered_text(asked, ["session_id"], "line", "number", "questions", "\n"), "session_id", "full")

@@ -212,11 +212,19 @@ _FILES = [("cv.PDF", 5242880), ("cv.pdf", 5242881), ("x.tar.docx", 10), (".pdf",
 _EXT = "CASE WHEN contains(name, '.') THEN '.' || lower(list_last(string_split(name, '.'))) ELSE '' END"
 
 
-@_query(f"""WITH f AS (SELECT * FROM (VALUES {', '.join(f"({i}, {'NULL' if n is None else _q(n)}, {s})" for i, (n, s) in enumerate(_FILES))}) v(id, name, size)),
+#: Names of files that a document may come in; some are refused.
+_ENDINGS = (".pdf", ".PDF", ".docx", ".tar.docx", ".txt", "", ".pdf.exe", ".")
+
+
+@_query(f"""WITH f AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 < 8 THEN 'cv' || doc_id || [{', '.join(map(_q, _ENDINGS))}][doc_id % 9 + 1] END AS name, length(text) * 4099 + doc_id AS size FROM documents
+UNION ALL SELECT * FROM (VALUES {', '.join(f"({-1 - i}, {'NULL' if n is None else _q(n)}, {s})" for i, (n, s) in enumerate(_FILES))}) v(id, name, size)),
 c AS (SELECT *, {_EXT} AS extension, CASE WHEN name IS NULL THEN 'ok' WHEN {_EXT} NOT IN ('.pdf', '.docx') THEN 'unsupported' WHEN size / 1048576.0 > 5 THEN 'large' ELSE 'ok' END AS code FROM f)
 SELECT id, code = 'ok' AS ok, code, CASE code WHEN 'unsupported' THEN {_q(guards.UNSUPPORTED[0])} || extension || {_q(guards.UNSUPPORTED[1])} WHEN 'large' THEN {_q(guards.TOO_LARGE[0])} || printf('%.1f', (size / 1048576.0)::DOUBLE) || {_q(guards.TOO_LARGE[1])} ELSE '' END AS reason FROM c""")
 def cv_file_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(_FILES)], "id int, name string, size long")
+    doc_id = F.col("doc_id")
+    name = F.when(doc_id % 9 < 8, F.concat(F.lit("cv"), doc_id.cast("string"), F.get(F.array(*map(F.lit, _ENDINGS)), (doc_id % 9).cast("int"))))
+    files = _table(spark, sf_dir, "documents").select(doc_id.alias("id"), name.alias("name"), (F.length("text").cast("long") * 4099 + doc_id).alias("size"))
+    files = files.unionByName(spark.createDataFrame([(-1 - i, n, s) for i, (n, s) in enumerate(_FILES)], "id long, name string, size long"))
     return files.select("id", guards.cv_file_guard(F.col("name"), F.col("size")).alias("v")).select("id", "v.*")
 
 
@@ -374,7 +382,7 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SESSION_ROWS = [
-    (i, key, role, kind, level, persona, jd, cv, gap, last)
+    (-1 - i, key, role, kind, level, persona, jd, cv, gap, last)
     for i, (key, role, kind, level, persona, jd, cv, gap, last) in enumerate([
         ("zero_shot", "Engineer", "Technical", "Easy", "Neutral 😐", "", "", "", False), ("few_shot", "", "Behavioural", "Hard", "Neutral 😐", "jd", "", "", False),
         ("chain_of_thought", "  ", "Mixed", "Medium", "Neutral 😐", "jd", "cv", "gap", True), ("persona", "Cook", "Mixed", "Easy", "Strict 😤", None, "cv", None, False),
@@ -383,6 +391,17 @@ _SESSION_ROWS = [
 ]
 
 
+def _pick(values: tuple, at: str) -> str:
+    return f"[{', '.join('NULL' if v is None else _q(v) for v in values)}][({at}) % {len(values)} + 1]"
+
+
+_SESSIONS = f"""ends AS (SELECT conv_id AS session_id, arg_min(text, turn) AS first, arg_max(text, turn) AS last FROM conversations GROUP BY 1),
+sessions AS (SELECT session_id, {_pick(tuple(t[0] for t in prompts.TECHNIQUES), "session_id")} AS technique, {_pick(("", None, "  ", "Engineer"), "session_id")} AS role,
+  {_pick(("Behavioral", "Technical", "Mixed (Behavioral + Technical)"), "session_id")} AS interview_type, {_pick(("Easy", "Medium", "Hard"), "session_id + 1")} AS difficulty, {_pick(("Friendly 😊", "Neutral 😐", "Strict 😤"), "session_id")} AS persona_key,
+  CASE WHEN session_id % 2 = 1 THEN first ELSE '' END AS jd_summary, CASE WHEN session_id % 3 <> 0 THEN last END AS cv_summary, CASE WHEN session_id % 5 = 0 THEN 'gap: ' || first END AS gap_analysis, session_id % 2 = 0 AS is_last FROM ends)"""
+_TECHNIQUES = f"techniques AS (SELECT * FROM (VALUES {', '.join(f'({_q(t)}, {_q(k)}, {_q(dict(prompts.EXPLANATIONS)[t])})' for t, k in prompts.TECHNIQUES)}) v(technique, technique_key, explanation))"
+
+
 def _prompt_sql() -> str:
     def lit(x: object) -> str:
         return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else _q(x)
@@ -398,10 +417,11 @@ def _prompt_sql() -> str:
     def section(title: str, c: str, after: str = "") -> str:
         return f"CASE WHEN coalesce({c}, '') <> '' THEN {_q(f'### {title}:' + chr(10))} || {c} || {_q(chr(10) * 2 + after)} ELSE '' END"
 
-    head = f"'You are preparing a candidate for a **' || difficulty || '** difficulty **' || interview_type || '** interview for the role of **' || CASE WHEN coalesce(role, '') <> '' THEN role ELSE {_q(prompts.NO_ROLE)} END || {_q('**.' + chr(10) * 2)}"
-    sections = [section("Job Description Analysis", "jd_summary"), section("Candidate CV Summary", "cv_summary"), section("Gap Analysis (use this to prioritise question topics)", "gap_analysis", "Put the gaps above first when you choose questions.\n\n")]
+    head = f"'Hold a mock interview. Role: **' || CASE WHEN coalesce(role, '') <> '' THEN role ELSE {_q(prompts.NO_ROLE)} END || '**. Kind: **' || interview_type || '**. Level: **' || difficulty || {_q('**.' + chr(10) * 2)}"
+    sections = [section("What the position asks for", "jd_summary"), section("What the candidate brings", "cv_summary"), section("Where the two differ", "gap_analysis", "Put the gaps above first when you choose questions.\n\n")]
     whole = " || ".join([head, *sections, filled, f"CASE WHEN is_last THEN {_q(prompts.LAST_QUESTION)} ELSE '' END"])
-    return f"""WITH s AS (SELECT * FROM (VALUES {rows}) v(session_id, technique_key, role, interview_type, difficulty, persona_key, jd_summary, cv_summary, gap_analysis, is_last)),
+    return f"""WITH {_SESSIONS}, {_TECHNIQUES}, s AS (SELECT session_id, technique_key, role, interview_type, difficulty, persona_key, jd_summary, cv_summary, gap_analysis, is_last FROM sessions JOIN techniques USING (technique)
+UNION ALL SELECT * FROM (VALUES {rows}) v(session_id, technique_key, role, interview_type, difficulty, persona_key, jd_summary, cv_summary, gap_analysis, is_last)),
 t AS (SELECT * FROM (VALUES {templates}) v(technique_key, template)), p AS (SELECT * FROM (VALUES {personas}) v(persona_key, persona_name, persona_description, style_instructions)),
 f AS (SELECT s.*, template, persona_name, persona_description, style_instructions, (SELECT template FROM t WHERE technique_key = 'zero_shot') AS z FROM s LEFT JOIN t USING (technique_key) LEFT JOIN p USING (persona_key))
 SELECT session_id, {whole} AS system_prompt FROM f"""
@@ -409,8 +429,10 @@ SELECT session_id, {whole} AS system_prompt FROM f"""
 
 @_query(_prompt_sql())
 def system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = "session_id int, technique_key string, role string, interview_type string, difficulty string, persona_key string, jd_summary string, cv_summary string, gap_analysis string, is_last boolean"
-    return prompts.system_prompt(spark.createDataFrame(_SESSION_ROWS, columns)).select("session_id", "system_prompt")
+    columns = "session_id long, technique_key string, role string, interview_type string, difficulty string, persona_key string, jd_summary string, cv_summary string, gap_analysis string, is_last boolean"
+    edges = spark.createDataFrame(_SESSION_ROWS, columns)
+    given = prompts.techniques_of(transcripts.sessions_of(_table(spark, sf_dir, "conversations"))).select(edges.columns)
+    return prompts.system_prompt(given.unionByName(edges)).select("session_id", "system_prompt")
 
 
 @_query()

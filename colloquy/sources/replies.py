@@ -1,14 +1,12 @@
 """Replies of a language model, recorded or live.
 
-A query reads recorded replies: a table joined by key, so that results can be
-had again. A live client runs once, outside queries, to record them.
+A query reads recorded replies: a table joined by request, so that results can be
+had again. A live client runs once, outside queries, to record them; see
+:mod:`~colloquy.sources.ledger`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +52,9 @@ def gap_requests(cvs: DataFrame, jds: DataFrame) -> DataFrame:
 
 
 def cost_log(replies: DataFrame) -> DataFrame:
-    """What each recorded reply (model, prompt_tokens, completion_tokens and others) cost; see :func:`~colloquy.operators.cost.call_cost`."""
-    return call_cost(replies.withColumnsRenamed({"prompt_tokens": "input_tokens", "completion_tokens": "output_tokens"}))
+    """What each recorded reply (model, prompt_tokens, completion_tokens and others) cost; rows without a reply's tokens cost nothing; see :func:`~colloquy.operators.cost.call_cost`."""
+    tokens = {new: F.coalesce(F.col(old), F.lit(0)).cast("long") for new, old in (("input_tokens", "prompt_tokens"), ("output_tokens", "completion_tokens"))}
+    return call_cost(replies.withColumns(tokens).drop("prompt_tokens", "completion_tokens"))
 
 
 def chat_requests(sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -70,19 +69,3 @@ def chat_requests(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     log = first.unionByName(messages.join(asking.select("session_id"), "session_id", "left_semi").select("session_id", "seq", "role", "content"))
     logs = log.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("messages"))
     return asking.select("session_id", *settings).join(logs, "session_id")
-
-
-def recorded(asked: DataFrame, replies: DataFrame) -> DataFrame:
-    """Requests with their reply (key, stage, reply); null where none is recorded."""
-    return asked.join(replies.select("key", "stage", "reply"), ["key", "stage"], "left")
-
-
-def record(asked: DataFrame, client: Callable[[pd.DataFrame], list[str]]) -> DataFrame:
-    """Ask a client batch by batch; write the result before any query reads it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "stage": batch["stage"], "reply": client(batch)})
-
-    kind = asked.schema["key"].dataType.simpleString()
-    return asked.mapInPandas(run, f"key {kind}, stage string, reply string")

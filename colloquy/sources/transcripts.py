@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import parsing
@@ -58,3 +58,27 @@ def ui_events_of(conversations: DataFrame) -> DataFrame:
         c.alias("session_id"), t.alias("seq"), "event", F.when(start, F.when(c % 9 == 0, F.lit(" ")).otherwise(F.lit("Engineer"))).when((c + t) % 8 == 0, F.lit("a")).otherwise(F.col("text")).alias("text"),
         F.when(start, F.concat(F.lit("---NEXT QUESTION---\n"), F.col("text"), F.lit("\n---END QUESTION---"))).otherwise(reply).alias("reply"), F.when(start, (F.lit(1) + c % 4).cast("int")).alias("total_questions"),
     )
+
+
+def _one_of(values: tuple, at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+
+
+def sessions_of(conversations: DataFrame) -> DataFrame:
+    """A session's settings and summaries for each conversation, by fixed rules over ids; the summaries are its first and last texts."""
+    c = F.col("session_id")
+    ends = conversations.groupBy(F.col("conv_id").alias("session_id")).agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    return ends.select(
+        "session_id", _one_of(("Zero-Shot", "Few-Shot", "Chain-of-Thought", "Persona-Based", "Structured Output"), c).alias("technique"), _one_of(("", None, "  ", "Engineer"), c).alias("role"),
+        _one_of(("Behavioral", "Technical", "Mixed (Behavioral + Technical)"), c).alias("interview_type"), _one_of(("Easy", "Medium", "Hard"), c + 1).alias("difficulty"), _one_of(("Friendly 😊", "Neutral 😐", "Strict 😤"), c).alias("persona_key"),
+        F.when(c % 2 == 1, F.col("first")).otherwise(F.lit("")).alias("jd_summary"), F.when(c % 3 != 0, F.col("last")).alias("cv_summary"), F.when(c % 5 == 0, F.concat(F.lit("gap: "), F.col("first"))).alias("gap_analysis"), (c % 2 == 0).alias("is_last"),
+    )
+
+
+def settings_of(conversations: DataFrame) -> DataFrame:
+    """Settings as a user may leave them, by fixed rules over ids: missing, known, unknown, within bounds and beyond."""
+    c = F.col("session_id")
+    return conversations.select(F.col("conv_id").alias("session_id")).distinct().select(
+        "session_id", _one_of((None, "Zero-Shot", "Persona-Based", "Ten-Shot"), c).alias("technique"), _one_of((None, "Strict 😤", "nobody"), c).alias("persona_key"), _one_of((*MODELS, None), c).alias("model"),
+        F.when(c % 4 != 0, (c % 25) / F.lit(10.0)).alias("temperature"), F.when(c % 3 != 0, (c % 12) / F.lit(10.0)).alias("top_p"), F.when(c % 5 != 0, (F.lit(100) + c % 16 * 100).cast("int")).alias("max_tokens"), F.when(c % 6 != 0, (c % 13).cast("int")).alias("total_questions"),
+    )

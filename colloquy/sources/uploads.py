@@ -20,12 +20,40 @@ UNSUPPORTED = "⚠️ Unsupported file type. Please upload a PDF or .docx file."
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_uploads(spark: SparkSession, path: str, pattern: str = "*.{[pP][dD][fF],[dD][oO][cC][xX]}") -> DataFrame:
-    """Files as (name, size, content); by default those of either kind, in any case of letters. Spark leaves out files of no bytes."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+_PATTERN = "*.{[pP][dD][fF],[dD][oO][cC][xX]}"
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _named(found: DataFrame) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 
 
+def read_uploads(spark: SparkSession, path: str, pattern: str = _PATTERN) -> DataFrame:
+    """Files as (name, size, content); by default those of either kind, in any case of letters. Spark leaves out files of no bytes."""
+    return _named(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
+def stream_uploads(spark: SparkSession, path: str, pattern: str = _PATTERN) -> DataFrame:
+    """The same as a stream: files are read as they come."""
+    return _named(spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", pattern).load(path))
+
+
+def new_texts(uploads: DataFrame) -> DataFrame:
+    """(content_hash, name, size, ok, value) of a stream of uploads: each different content is extracted once, under the first name it comes by.
+
+    What is remembered of a content is its hash and ending, since the ending says how it is read.
+    """
+    ending = F.lower(F.substring_index("name", ".", -1))
+    once = uploads.withColumns({"content_hash": F.sha2("content", 256), "ending": ending}).dropDuplicates(["content_hash", "ending"])
+    return once.withColumn("got", extract_text(F.col("name"), F.col("content"))).select("content_hash", "name", "size", "got.ok", "got.value")
+
+
+def extract_new(spark: SparkSession, path: str, out: str, checkpoint: str, pattern: str = _PATTERN) -> None:
+    """Add the texts of files that have come into ``path`` since the last run with this checkpoint to the Parquet table ``out``."""
+    run = new_texts(stream_uploads(spark, path, pattern)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+
+
 def _run_text(run: ElementTree.Element) -> str:
     """Text of a run's own children; page and column breaks, drawings and text boxes give none."""
     out = []

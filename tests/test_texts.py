@@ -159,7 +159,7 @@ def test_prompts(spark):
     assert "###" not in plain and dict(prompts.TEMPLATES)["zero_shot"].split("{")[0] in plain
     assert "an exacting coach" in other and other.index("J\n") < other.index("G\n") and other.endswith(prompts.LAST_QUESTION) and "{" not in other
     bad = spark.createDataFrame([("persona", "x", "T", "Easy", "nobody", "", "", "", False)], columns)
-    with pytest.raises(Exception, match="unknown persona"):
+    with pytest.raises(Exception, match="unknown persona_key: nobody"):
         prompts.system_prompt(bad).collect()
 
 
@@ -169,11 +169,29 @@ def test_settings(spark):
     assert set(got[1].asDict()) == {"session_id", *sessions.SESSION_DEFAULTS} and len(sessions.SESSION_DEFAULTS) == 15
     assert (got[1].messages, got[1].scores, got[1].interview_done, got[1].question_count, got[1].last_cost) == ([], [], False, 1, None)
     assert (got[1].total_questions, got[1].jd_summary, got[1].cv_summary) == (4, "x", "") and (got[2].total_questions, got[2].jd_summary) == (7, "")
-    assert many(spark, [label for label, _ in prompts.TECHNIQUES], prompts.technique_key) == [key for _, key in prompts.TECHNIQUES]
-    assert all(many(spark, [label for label, _ in prompts.TECHNIQUES], prompts.explanation))
-    for lookup in (prompts.technique_key, prompts.explanation):
+
+
+def test_lookups_must_match(spark):
+    labels = spark.createDataFrame([(label, i) for i, (label, _) in enumerate(prompts.TECHNIQUES)], "technique string, i int")
+    got = {r.technique: (r.technique_key, r.explanation) for r in prompts.techniques_of(labels).collect()}
+    assert got == {label: (key, dict(prompts.EXPLANATIONS)[label]) for label, key in prompts.TECHNIQUES}
+    for label in ("Ten-Shot", None):
+        bad = labels.unionByName(spark.createDataFrame([(label, 9)], labels.schema))
         with pytest.raises(Exception, match="unknown technique"):
-            one(spark, "Ten-Shot", lookup)
+            prompts.techniques_of(bad).select("i").collect()  # also where nothing that was looked up is read
+    own = spark.createDataFrame([("a", 1, True)], "technique string, technique_key int, __found boolean")
+    assert prompts.techniques_of(spark.createDataFrame([("a",)], "technique string"), own).first().asDict() == {"technique": "a", "technique_key": 1, "__found": True}
+
+
+def test_templates_without_a_fallback(spark):
+    """Only rows that need the missing template fail, and only when they are read; no job runs while the plan is made."""
+    columns = "technique_key string, role string, interview_type string, difficulty string, persona_key string, jd_summary string, cv_summary string, gap_analysis string, is_last boolean"
+    own = spark.createDataFrame([("mine", "Ask {feedback_format}")], "key string, template string")
+    rows = lambda key: spark.createDataFrame([(key, "x", "T", "Easy", None, "", "", "", False)], columns)
+    assert prompts.system_prompt(rows("mine"), own, feedback_rules="kindly").first().system_prompt.endswith("Ask kindly")
+    other = prompts.system_prompt(rows("other"), own)
+    with pytest.raises(Exception, match="no zero-shot template"):
+        other.collect()
 
 
 def test_settings_are_filled_and_checked(spark):
@@ -238,8 +256,7 @@ def test_replies(spark):
     before = len(replies._TEXTS["cv"])
     assert {r.key: len(r.prompt) - before for r in asked.collect()} == {1: 6000, 3: 5}
     assert {(r.model, r.system, r.temperature, r.max_tokens) for r in asked.collect()} == {("gpt-4.1-mini", replies.INSTRUCTIONS["cv"], 0.2, 600)}
-    told = replies.record(asked, lambda batch: [p[before : before + 2].upper() for p in batch["prompt"]])
-    assert {r.key: r.reply for r in replies.recorded(asked, told).collect()} == {1: "XX", 3: "SH"}
+    told = spark.createDataFrame([(1, "XX"), (3, "SH")], "key long, reply string")
     jds = spark.createDataFrame([(1, "jd"), (3, ""), (5, "jd")], "key long, reply string")
     gap = replies.gap_requests(told, jds).collect()
     assert [(r.key, r.stage, r.temperature, r.max_tokens) for r in gap] == [(1, "gap", 0.3, 500)] and "XX" in gap[0].prompt and "jd" in gap[0].prompt
