@@ -32,16 +32,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Words of names, classes, ids and roles that speak for an article, and against one.
 SPEAKS_FOR = frozenset("article articlebody body bodytext blog content entry hentry main maincontent post prose story text".split())
 SPEAKS_AGAINST = frozenset(
-    "ad ads advert advertisement advertorial adsense aside author banner bar breadcrumb breadcrumbs button comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus feedback foot footer form gdpr login menu menubar meta modal nav navbar navigation newsletter notice pager pagination popup privacy promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar trackbacks widget widgets"
+    "ad ads adsense alert aside author banner bar button complementary consent contentinfo copyright dialog disclaimer discussion disqus feedback foot footer form gdpr login menu menubar meta modal nav notice pager pagination popup privacy promo related replies reply respond search share sharing sidebar signup skip social tagline tags toolbar topbar trackbacks widget widgets"
     .split()
 )
+#: Beginnings of further ones.
+BEGIN_AGAINST = ("advert", "breadcrumb", "comment", "cookie", "navbar", "navig", "newsletter", "promot", "sponsor", "subscri")
 HEADS = frozenset("banner head header hgroup masthead".split())
-APART = frozenset("aside comment comments dialog discussion disqus footer nav replies reply respond trackbacks".split())
+#: Those that may as well name a layout with an article in it; others stand apart from one wherever they are.
+LAYOUT = frozenset("author bar button form login menu menubar search sidebar skip tags toolbar topbar".split())
 ITEMS = frozenset("dd dt li td th".split())
+PARAGRAPHS = frozenset("blockquote figcaption p pre".split())
 #: Elements that end one of their kind which is open.
 ENDLESS = (("li",), ("dd", "dt"), ("td", "th"), ("tr",))
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "hint", "against", "within", "apart", "heading", "item")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "hint", "against", "within", "apart", "heading", "item", "paragraph")
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -73,6 +77,7 @@ class Block(NamedTuple):
     around: Element
     heading: bool
     item: bool
+    paragraph: bool
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -109,10 +114,11 @@ def hints(name: str, attributes: str) -> tuple[int, bool, bool]:
             return -1, False, True
     if name in ("html", "body"):
         return 0, False, False
-    heads, apart = bool(parts & HEADS), bool(parts & APART)
-    if (parts - HEADS) & SPEAKS_AGAINST:
-        return -1, False, apart
-    return (1 if parts & SPEAKS_FOR else 0), heads, apart
+    heads = bool(parts & HEADS)
+    against = {p for p in parts - HEADS if p in SPEAKS_AGAINST or p.startswith(BEGIN_AGAINST)}
+    if against:
+        return -1, False, bool(against - LAYOUT)
+    return (1 if parts & SPEAKS_FOR else 0), heads, False
 
 
 class _Reader:
@@ -137,7 +143,7 @@ class _Reader:
         words = "".join(self.text).split()
         if words:
             near = [e.name for e in self.open[-4:]]
-            self.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), self.open[-1], any(_HEADING.fullmatch(n) for n in near), any(n in ITEMS for n in near)))
+            self.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), self.open[-1], any(_HEADING.fullmatch(n) for n in near), any(n in ITEMS for n in near), any(n in PARAGRAPHS for n in near)))
         self.text, self.linked = [], 0
 
     def pop(self, depth: int) -> None:
@@ -219,7 +225,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row for each block, columns by FEATURES; beyond both ends of a page stand empty blocks."""
-    own = np.array([(b.words, b.linked / b.words, *b.around[1:5], b.heading, b.item) for b in blocks], np.float64).reshape(-1, 8)
+    own = np.array([(b.words, b.linked / b.words, *b.around[1:5], b.heading, b.item, b.paragraph) for b in blocks], np.float64).reshape(-1, 9)
     beside = np.pad(own[:, :2], ((1, 1), (0, 0)))
     return np.hstack([own[:, :2], beside[:-2], beside[2:], own[:, 2:]])
 

@@ -35,7 +35,8 @@ OTHERS = (
     ('<section id="comments">', "</section>", "p", 2, 90, 1, 8, 0.02, True), ('<div class="comment-list"><div class="post-comment">', "</div></div>", "p", 2, 90, 1, 6, 0.02, True), ('<ol class="replies">', "</ol>", "li", 2, 80, 1, 6, 0.05, False), ('<div class="comments-body">', "</div>", "p", 3, 90, 1, 5, 0.0, True),
     ('<div class="related">', "</div>", "p", 3, 14, 2, 6, 1.0, True), ('<div class="related-posts"><ul>', "</ul></div>", "li", 3, 14, 2, 6, 1.0, True), ('<div class="share">', "</div>", "div", 1, 3, 1, 4, 0.9, True), ('<div class="tags">', "</div>", "div", 1, 2, 1, 5, 1.0, True),
     ('<div class="author-bio">', "</div>", "p", 5, 50, 1, 2, 0.1, True), ('<div class="pagination">', "</div>", "div", 1, 2, 2, 5, 1.0, False), ('<div style="display:none">', "</div>", "p", 2, 60, 1, 2, 0.0, True), ("<div>", "</div>", "p", 2, 9, 1, 1, 0.9, False),
-    ("<div>", "</div>", "p", 1, 9, 1, 2, 0.0, False), ("<div>", "</div>", "div", 2, 12, 1, 3, 0.3, False), ("<td>", "</td>", "div", 1, 6, 2, 6, 1.0, False), ("<p>", "</p>", "span", 2, 10, 1, 1, 0.4, False),
+    ("<div>", "</div>", "div", 1, 9, 1, 2, 0.0, False), ("<div>", "</div>", "span", 1, 12, 1, 1, 0.0, False), ("<td>", "</td>", "span", 1, 6, 1, 1, 0.0, False), ("<div>", "</div>", "div", 2, 12, 1, 3, 0.3, False), ("<td>", "</td>", "div", 1, 6, 2, 6, 1.0, False), ("<p>", "</p>", "span", 2, 10, 1, 1, 0.4, False),
+    ('<div class="ad"><div class="content">', "</div></div>", "p", 2, 60, 1, 2, 0.05, True), ('<div id="cookie-banner"><div class="text">', "</div></div>", "p", 8, 60, 1, 2, 0.05, False), ('<ol class="commentlist"><li class="entry">', "</li></ol>", "p", 2, 80, 1, 3, 0.02, False),
     ('<section id="comments"><article>', "</article></section>", "p", 2, 90, 1, 4, 0.02, False), ('<div class="discussion"><div class="text">', "</div></div>", "p", 2, 70, 1, 4, 0.02, False),
 )
 
@@ -63,8 +64,8 @@ def _other(rng: random.Random, inside: bool) -> tuple[str, list[bool]]:
 def _article(rng: random.Random) -> tuple[str, list[bool]]:
     begin, end = rng.choice(WRAPPERS)
     told = any(w in begin for w in ("article", "main", "content", "story"))
-    # Where nothing tells that an article begins, a very short block may as well be a label.
-    kinds = [k for k in ARTICLE if told or k[1] >= 4 and k[3] < 0.5 or k[0][0] == "h"]
+    # Where nothing tells that an article begins, a linked block or a cell may as well be a menu's.
+    kinds = [k for k in ARTICLE if told or k[3] < 0.5 and k[0] not in ("td", "dd", "li")]
     out, marks = [begin], []
     if rng.random() < 0.85:
         title = _block(rng, *ARTICLE[0])
