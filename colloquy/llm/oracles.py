@@ -51,13 +51,23 @@ words AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d), places AS ({places}
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM d LEFT JOIN places USING (rid) GROUP BY rid"""
 
 
+#: crc32 by its table, byte after byte; xor(list_reduce(bytes, crc32 step, start), start) is the sum.
+_CRC_TABLE = "crcs AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM (SELECT byte, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, byte) AS c FROM (SELECT unnest(range(256)) AS byte)))"
+
+
+def _held_out(n: int, rest: int, more: str) -> str:
+    """Folds by the crc32 of the id's digits."""
+    digits = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1)))"
+    return f"WITH {_CRC_TABLE} SELECT doc_id, xor(list_reduce({digits}, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295) % {n} = {rest} AS held_out, {more} FROM documents, crcs"
+
+
 def _resampling(percent: int = 25, least: int = 20, buckets: int = 10_000, seed: int = 7) -> str:
-    """Features are hashed once each: crc32 by its table, byte after byte."""
+    """Features are hashed once each."""
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
 b AS (SELECT -row_number() OVER () AS rid, {words} AS w FROM benchmark),
 f AS MATERIALIZED (SELECT rid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM (SELECT rid, w FROM d UNION ALL SELECT rid, w FROM b)),
-crcs AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM (SELECT byte, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, byte) AS c FROM (SELECT unnest(range(256)) AS byte))),
+{_CRC_TABLE},
 octets AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)),
 hashed AS MATERIALIZED (SELECT feature, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1),
   lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295) % {buckets} AS bucket FROM octets, crcs),
@@ -72,4 +82,7 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"base_licenses": _base_licenses(), "op7_substring_dedup": _dedup(), "op9_secrets": _secrets(), "op13_importance_resampling": _resampling()}
+    return {
+        "base_licenses": _base_licenses(), "op7_substring_dedup": _dedup(), "op9_secrets": _secrets(), "op13_importance_resampling": _resampling(),
+        "quality_held_out": _held_out(4, 2, "true AS consistent"), "language_held_out": _held_out(5, 0, r"NOT regexp_matches(coalesce(text, ''), '\p{L}') AS unknown, true AS consistent"),
+    }

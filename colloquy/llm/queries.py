@@ -39,12 +39,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).withColumn("held_out", fold_of("doc_id", 4) == 2)
 
 
+def quality_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: rows, folds, and that the decision follows the score."""
+    return op4_quality(spark, sf_dir).select("doc_id", "held_out", (F.col("score").between(0, 1) & ((F.col("score") >= 0.7) == (F.col("predicted") == 1))).alias("consistent"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.filter(fold_of("doc_id", 5) != 0))
     return language_id.predict(docs.select("doc_id", "text"), model).withColumn("held_out", fold_of("doc_id", 5) == 0)
 
 
+def language_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express: rows, folds, and which texts have no letter."""
+    return op5_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("unknown"), F.col("score").between(0, 1).alias("consistent"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -85,7 +95,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, base_licenses, op2_decontamination, op3_simhash, op4_quality, op5_language_id, op6_ann, op7_substring_dedup, op8_sentencepiece, op9_secrets, op10_toxicity, op11_periodic_runs, op12_html_extraction, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_license_scan, base_licenses, op2_decontamination, op3_simhash, op4_quality, quality_held_out, op5_language_id, language_held_out, op6_ann, op7_substring_dedup, op8_sentencepiece, op9_secrets, op10_toxicity, op11_periodic_runs, op12_html_extraction, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
