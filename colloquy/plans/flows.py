@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ordered_text
 from ..operators import cost, events, guards, patterns, prompts, report, scores, transcript
-from ..sources import ledger, replies, sessions, transcripts
-from .registry import _BAR, _BLOCKS, _INJECTED, _LENGTH, _NQ, _POOR, _SCORE, _S, _SESSIONS, _TECHNIQUES, _ANSWERS, _answers, _marked, _pick, _q, _query, _table, _without
+from ..sources import ledger, replies, sessions, transcripts, uploads
+from .registry import _BAR, _BLOCKS, _INJECTED, _LENGTH, _NQ, _POOR, _SCORE, _S, _SESSIONS, _TECHNIQUES, _ANSWERS, _answers, _marked, _pick, _q, _query, _strip, _table, _without
 
 #: Literal logs, a letter an event: T start, digits and x submissions by their score (x: none, a: 10), n next, s skip, i improve, r reset, b an answer that is refused.
 _LOGS = ["T5n", "T3i8n7i9n", "Tx4nni2", "TaiTn", "b5", "T5s6s7s8s", "sss", "Tsssss", "T5n6n7n8n", "T5n6n7n8in", "T5rT6", "T2n3rrn", "Tb5bni", "T8i3i9ix", "T4s", "TsiT7n"]
@@ -174,3 +174,42 @@ def listed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _marked(spark, sf_dir)
     asked = transcript.report_blocks(messages).select("session_id", "number", F.concat(F.col("number").cast("string"), F.lit(". "), F.col("question")).alias("line")).distinct()
     return report.listed_bars(scores.breakdown(messages)).join(ordered_text(asked, ["session_id"], "line", "number", "questions", "\n"), "session_id", "full")
+
+
+# ---- uploads, requests, dates
+
+
+_BARE = _strip("coalesce(text, '')")
+
+
+@_query(f"""SELECT doc_id, doc_id % 3 <> 2 AND {_BARE} <> '' AS ok, md5(CASE WHEN doc_id % 3 = 2 THEN {_q(uploads.UNSUPPORTED)} WHEN {_BARE} = '' THEN {_q(uploads.NO_TEXT['.docx'])} ELSE {_BARE} END) AS value_md5 FROM documents""")
+def upload_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of several names: the ending, in any case of letters, says how one is read, whatever is in it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    @F.pandas_udf("binary")
+    def made(column):
+        return column.map(lambda t: uploads.make_docx((t or "").split("\n")))
+
+    name = F.concat(F.lit("cv.v1"), F.get(F.array(*map(F.lit, (".docx", ".DocX", ".docx.txt"))), (F.col("doc_id") % 3).cast("int")))
+    got = docs.withColumn("got", uploads.extract_text(name, made("text")))
+    return got.select("doc_id", "got.ok", F.md5(F.col("got.value").cast("binary")).alias("value_md5"))
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT doc_id AS key, '{stage}' AS stage, '{replies.ANALYSIS_MODEL}' AS model, {replies.STAGES[stage][0]}::DOUBLE AS temperature, {replies.STAGES[stage][1]} AS max_tokens, md5({_q(replies._TEXTS[stage])} || substring(text, 1, {replies.CLIPS[stage]})) AS prompt_md5 FROM documents WHERE {_BARE} <> ''"
+        for stage in ("cv", "jd")
+    )
+)
+def analysis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analyses of each document as a CV and as a posting ask."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    asked = replies.requests(docs, "cv").unionByName(replies.requests(docs, "jd"))
+    return asked.select("key", "stage", "model", "temperature", "max_tokens", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@_query("SELECT event_id, strftime(ts, '%B %d, %Y — %H:%M') AS printed, 'interview_report_' || strftime(ts, '%Y%m%d_%H%M') || '.html' AS file_name FROM events")
+def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return _table(spark, sf_dir, "events").select("event_id", report.printed_date(ts).alias("printed"), report.file_name(ts).alias("file_name"))
