@@ -357,13 +357,17 @@ _MD_EDGES = ["- a\n- **b**\n\ntext\n# H\n## I\n### J\n#### K\n* z", "- ", "", "*
 _BOLD = r"regexp_replace(s, '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g')"
 
 
-@_query(rf"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT id, text FROM (VALUES {_values(_MD_EDGES)}) e(id, text)),
-l0 AS (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d WHERE text <> ''),
+#: From texts d (id, text) the parts of their HTML: p (id, i, part, html).
+_MD_PARTS = rf"""l0 AS (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d WHERE text <> ''),
 l1 AS (SELECT id, i, {_strip('line')} AS s FROM l0),
 l2 AS (SELECT *, starts_with(s, '- ') OR starts_with(s, '* ') AS bullet, coalesce(lag(starts_with(s, '- ') OR starts_with(s, '* ')) OVER (PARTITION BY id ORDER BY i), false) AS listed, lead(i) OVER (PARTITION BY id ORDER BY i) IS NULL AS last, {_BOLD} AS b FROM l1),
 p AS (SELECT id, i, 0 AS part, CASE WHEN bullet AND NOT listed THEN '<ul>' WHEN NOT bullet AND listed THEN '</ul>' END AS html FROM l2
 UNION ALL SELECT id, i, 1, CASE WHEN bullet THEN '<li>' || regexp_replace(substring(s, 3), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g') || '</li>' WHEN s = '' THEN NULL WHEN starts_with(b, '### ') THEN '<h4>' || substring(b, 5) || '</h4>' WHEN starts_with(b, '## ') THEN '<h3>' || substring(b, 4) || '</h3>' WHEN starts_with(b, '# ') THEN '<h3>' || substring(b, 3) || '</h3>' ELSE '<p>' || b || '</p>' END FROM l2
-UNION ALL SELECT id, i, 2, CASE WHEN bullet THEN '</ul>' END FROM l2 WHERE last)
+UNION ALL SELECT id, i, 2, CASE WHEN bullet THEN '</ul>' END FROM l2 WHERE last)"""
+
+
+@_query(rf"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT id, text FROM (VALUES {_values(_MD_EDGES)}) e(id, text)),
+{_MD_PARTS}
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, part) - 1 AS pos, html FROM p WHERE html IS NOT NULL""")
 def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -435,16 +439,36 @@ def system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.system_prompt(given.unionByName(edges)).select("session_id", "system_prompt")
 
 
-@_query()
+_BAR = f"'<tr><th>Q' || ordinal || '</th><td><hr style=\"width:' || score * 10 || '%;border-color:' || {_COLOUR} || '\"></td><td>' || score || '</td></tr>'"
+_REPORT_TIER = "CASE " + " ".join(f"WHEN a >= {t[0]} THEN {_q(t[3])}" for t in scores.TIERS[:-1]) + f" ELSE {_q(scores.TIERS[-1][3])} END"
+_REPORT_GAP = "# Role\n- **SQL**"
+
+
+def _report_sql() -> str:
+    """The whole report: every text turned into HTML once, then joined back where it stands."""
+    facts = {"Role": "'Data &lt;Engineer&gt;'", "Interview": "'Technical'", "Difficulty": "'Medium'", "Technique": "'Zero-Shot'", "Questions scored": "n", "Average": "printf('%.1f', a) || ' of 10'", "Best": "best", "Lowest": "worst"}
+    listed = " || ".join(f"'<dt>{k}</dt><dd>' || {v} || '</dd>'" for k, v in facts.items())
+    return f"""WITH {_BLOCKS},
+d0 AS (SELECT question AS raw FROM blocks UNION SELECT answer FROM blocks UNION SELECT feedback FROM blocks UNION SELECT {_q(_REPORT_GAP)}),
+d AS (SELECT row_number() OVER () AS id, raw, {_ESCAPED.replace("text", "raw", 1)} AS text FROM d0 WHERE raw <> ''), {_MD_PARTS},
+md AS (SELECT raw, coalesce(string_agg(html, chr(10) ORDER BY i, part) FILTER (WHERE html IS NOT NULL), '') AS html FROM d LEFT JOIN p USING (id) GROUP BY 1),
+shown AS (SELECT b.*, q.html AS q_html, CASE WHEN coalesce(answer, '') <> '' THEN '<li><strong>' || CASE WHEN attempt > 1 THEN 'Your Improved Answer (Attempt ' || attempt || ')' ELSE 'Your Answer' END || '</strong><blockquote>' || w.html || '</blockquote>'
+  || CASE WHEN feedback <> '' THEN '<aside><em>Feedback</em>' || f.html || '</aside>' ELSE '' END || '</li>' ELSE '' END AS li FROM blocks b LEFT JOIN md q ON q.raw = question LEFT JOIN md w ON w.raw = answer LEFT JOIN md f ON f.raw = feedback),
+articles AS (SELECT session_id, number, '<article><h3>' || number || '.' || CASE WHEN score IS NOT NULL THEN ' <mark style="background:' || {_COLOUR} || '">' || score || ' of 10</mark>' ELSE '' END || '</h3>' || coalesce(any_value(q_html), '') || '<ol>' || string_agg(li, '' ORDER BY attempt) || '</ol></article>' AS html FROM shown GROUP BY session_id, number, score),
+asked AS (SELECT session_id, string_agg(html, chr(10) ORDER BY number) AS questions FROM articles GROUP BY 1),
+rows AS (SELECT s.session_id, coalesce(avg(score), 0) AS a, coalesce(max(score), 0) AS best, coalesce(min(score), 0) AS worst, count(score) AS n, coalesce(string_agg({_BAR}, chr(10) ORDER BY ordinal) FILTER (WHERE score IS NOT NULL), '') AS bars FROM (SELECT DISTINCT session_id FROM messages) s LEFT JOIN scores USING (session_id) GROUP BY 1)
+SELECT session_id, 'interview_report_20260105_1000.html' AS file_name, '<!DOCTYPE html>' || chr(10) || '<html lang="en"><head><meta charset="utf-8"><title>Session report: Data &lt;Engineer&gt;</title></head><body><header><h1>Session report</h1><p>January 05, 2026 — 10:00</p></header><dl>'
+|| {listed} || '</dl><p style="color:' || {_TIER[4]} || '">' || {_REPORT_TIER} || '</p><table>' || bars || '</table><section><h2>' || {_q(report.JD_TITLE)} || '</h2>' || (SELECT html FROM md WHERE raw = {_q(_REPORT_GAP)}) || '</section><main>' || coalesce(questions, '<p>{report.NO_QUESTIONS}</p>') || '</main></body></html>' AS html FROM rows LEFT JOIN asked USING (session_id)"""
+
+
+@_query(_report_sql())
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _marked(spark, sf_dir)
-    settings = {"role": "Data <Engineer>", "interview_type": "Technical", "difficulty": "Medium", "technique": "Zero-Shot", "jd_summary": "# Role\n- **SQL**", "gap_analysis": ""}
+    settings = {"role": "Data <Engineer>", "interview_type": "Technical", "difficulty": "Medium", "technique": "Zero-Shot", "jd_summary": _REPORT_GAP, "gap_analysis": ""}
     sessions = messages.select("session_id").distinct().withColumns({k: F.lit(v) for k, v in settings.items()})
     return report.build(messages, sessions, F.lit("2026-01-05 10:00:00").cast("timestamp"))
 
 
-_BAR = f"'<tr><th>Q' || ordinal || '</th><td><hr style=\"width:' || score * 10 || '%;border-color:' || {_COLOUR} || '\"></td><td>' || score || '</td></tr>'"
-
 
 @_query(f"""WITH {_BLOCKS}, b AS (SELECT session_id, string_agg({_BAR}, chr(10) ORDER BY ordinal) AS bars FROM scores GROUP BY 1),
 q AS (SELECT session_id, count(DISTINCT number) AS n_questions, count(*) FILTER (WHERE coalesce(answer, '') <> '') AS n_answers FROM blocks GROUP BY 1)
