@@ -598,3 +598,39 @@ def test_parts_asked_are_counted_in_slices(monkeypatch):
     assert share(want) >= 0.9 > share(want - 1)
     monkeypatch.setattr(ann, "_TABLE", 1000)
     assert ann.probes_for(index, filed, asked, 20, 0.9) == want
+
+
+# ---- very long texts, vectors of two lengths
+
+
+def test_fingerprint_of_a_very_long_text():
+    import xxhash
+
+    words = prose(random.Random(31), 150_000, 50_000)  # over several chunks
+    text = " ".join(words)
+    ones = np.zeros(64, np.int64)
+    for i in range(len(words) - 2):
+        ones += np.unpackbits(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42)], "<u8").view(np.uint8), bitorder="little")
+    assert simhash.fingerprint(text.upper().replace("W", "w").encode()) == sum(1 << b for b in range(64) if 2 * ones[b] > len(words) - 2)
+
+
+def test_pipeline_of_a_very_long_text(spark, tmp_path):
+    rng = random.Random(32)
+    items, _, _ = leak_case(spark)
+    long = " ".join(prose(rng, 60_000, 5_000))
+    texts = [long, long + " one word more", " ".join([*prose(rng, 30_000, 5_000), *items[2], *prose(rng, 30_000, 5_000)]), "w" * 300_000, " ".join(prose(rng, 40))]
+    rows = [(i, t, "en", "s", len(t), 7, "y") for i, t in enumerate(texts)]
+    out = [ids for ids, _ in stages_on(spark, tmp_path, rows)]
+    assert out[0] == [0, 1, 2, 3, 4] and out[1] == [0, 2, 3, 4] and out[2] == out[3] == out[4] == [0, 3, 4]
+    last = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/s4.parquet").collect()}
+    assert all(r.round_trip for r in last.values()) and last[0].n_pieces > 60_000
+
+
+def test_vectors_of_two_lengths(spark):
+    """Of two lengths the commoner takes part, of equally common ones the shorter."""
+    rows = [(i, [1.0, float(i)]) for i in range(6)] + [(10 + i, [1.0, 2.0, float(i)]) for i in range(6)]
+    both = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r.query_id for r in ann.search(both, F.col("vec_id") >= 0, k=2).collect()} == set(range(6))
+    more = both.unionByName(spark.createDataFrame([(99, [0.0, 1.0, 0.0])], both.schema))
+    got = ann.search(more, F.col("vec_id") == 99, k=3).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 10, 2.0), (2, 11, 2.0), (3, 12, 2.0)]
