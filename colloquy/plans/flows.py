@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ordered_text
 from ..operators import cost, events, guards, patterns, prompts, report, scores, transcript
 from ..sources import ledger, replies, sessions, transcripts, uploads
-from .registry import _BAR, _BLOCKS, _INJECTED, _LENGTH, _NQ, _POOR, _SCORE, _S, _SESSIONS, _TECHNIQUES, _ANSWERS, _answers, _marked, _pick, _q, _query, _strip, _table, _without
+from .registry import _ATTEMPTS, _BAR, _BLOCKS, _INJECTED, _LENGTH, _NQ, _POOR, _SCORE, _S, _SESSIONS, _TECHNIQUES, _ANSWERS, _answers, _marked, _pick, _q, _query, _strip, _table, _without
 
 #: Literal logs, a letter an event: T start, digits and x submissions by their score (x: none, a: 10), n next, s skip, i improve, r reset, b an answer that is refused.
 _LOGS = ["T5n", "T3i8n7i9n", "Tx4nni2", "TaiTn", "b5", "T5s6s7s8s", "sss", "Tsssss", "T5n6n7n8n", "T5n6n7n8in", "T5rT6", "T2n3rrn", "Tb5bni", "T8i3i9ix", "T4s", "TsiT7n"]
@@ -213,3 +213,10 @@ def analysis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     return _table(spark, sf_dir, "events").select("event_id", report.printed_date(ts).alias("printed"), report.file_name(ts).alias("file_name"))
+
+
+@_query(f"""WITH {_ATTEMPTS} SELECT session_id, seq, role, visit, attempt, score, CASE WHEN submits THEN CASE WHEN attempt > 0 THEN {_q(report.IMPROVED_ANSWER[0])} || (attempt + 1) || {_q(report.IMPROVED_ANSWER[1])} ELSE {_q(report.FIRST_ANSWER)} END END AS label FROM tries""")
+def attempt_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions counted within each visit to a question, the score of their replies, and what an attempt is called."""
+    label = F.when(F.col("submits"), report.attempt_label(F.col("attempt") + 1))
+    return scores.attempts(_marked(spark, sf_dir)).select("session_id", "seq", "role", "visit", "attempt", "score", label.alias("label"))
