@@ -41,6 +41,7 @@ BLOCK = 1_000_000
 _GAP = 0.5
 #: Words of a text that are looked up at a time, at least, and places of the items that are held at a time.
 _STRETCH, _HELD = 4096, 1 << 20
+#: Of the table of bits: log2 of its places, at most.
 _BITS = 24
 
 
@@ -119,12 +120,13 @@ class Known:
     """Numbers of known n-grams of one length; a table of bits passes over most others."""
 
     def __init__(self, grams: np.ndarray):
-        self.grams, self.bits = grams, np.zeros(1 << _BITS, bool)
-        self.bits[grams >> np.uint64(64 - _BITS)] = True
+        size = min(_BITS, max(10, (16 * len(grams)).bit_length()))  # sixteen places a gram or more
+        self.grams, self.bits, self.shift = grams, np.zeros(1 << size, bool), np.uint64(64 - size)
+        self.bits[grams >> self.shift] = True
 
     def numbers(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the known ones among ``grams``, and their numbers."""
-        maybe = np.flatnonzero(self.bits[grams >> np.uint64(64 - _BITS)])
+        maybe = np.flatnonzero(self.bits[grams >> self.shift])
         at = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
         same = self.grams[at] == grams[maybe]
         return maybe[same], at[same]

@@ -43,7 +43,7 @@ LONGEST = 64
 #: Different units that a lattice partition is meant to hold.
 _UNITS = 25_000
 #: Different words that a worker holds at most, about, and characters of the texts that it takes at a time.
-_REMEMBERED, _CHARS = 600_000, 1 << 23
+_REMEMBERED, _CHARS = 600_000, 1 << 22
 _SLICE = 256
 #: Above all ranks: a part that no merge uses up.
 _NEVER = 1 << 24
