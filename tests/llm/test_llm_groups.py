@@ -77,9 +77,53 @@ def test_near_duplicates_against_all_pairs(spark):
     want = Counter((ids[i], f"{prints[i]:016x}", least[roots[i]]) for i in range(len(texts)))
     got = Counter(map(tuple, simhash.near_duplicates(docs(spark, texts, ids)).collect()))
     assert got == want
-    kept = simhash.one_of_each(docs(spark, texts, ids))
+    assert kept_of(spark, texts, ids, 3, 1) == sorted(least.values())
+    assert kept_of(spark, texts, ids, 5, 6) == naive_kept(texts, ids, 5, 6)
+
+
+def kept_of(spark, texts, ids, size, n):
+    kept = simhash.one_of_each(docs(spark, texts, ids), size=size, n=n)
     assert kept.columns == docs(spark, []).columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+    return sorted(r.doc_id for r in kept.collect())
+
+
+def naive_kept(texts, ids, size, n):
+    """The smallest id of each group; two texts are linked if any of their fingerprints are two bits apart at most."""
+    prints = [simhash.fingerprints_of((t or "").encode(), size, n) for t in texts]
+    near = lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(a, b))
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near(prints[i], prints[j])]
+    roots = union_find([*links, *((i, i) for i in range(len(texts)))])
+    return sorted(min(ids[i] for i in roots if roots[i] == r) for r in set(roots.values()))
+
+
+def test_several_fingerprints_against_all_pairs(spark):
+    """Near copies of several grades; more fingerprints link more, and never less, than one."""
+    rng = random.Random(33)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, 300, 5000)
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 8, 30):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    texts += [None, "", "a", "A", "b c", *[" ".join(prose(rng, 50, 5000)) for _ in range(20)]]
+    ids = [(i * 37 + 5) % 997 for i in range(len(texts))]
+    counts = []
+    for n in (1, 2, 6):
+        got = kept_of(spark, texts, ids, 5, n)
+        assert got == naive_kept(texts, ids, 5, n)
+        counts.append(len(got))
+    assert counts[0] > counts[1] > counts[2] >= 25 + 24
+
+
+def test_each_fingerprint_is_of_a_hash_of_its_own():
+    words = prose(random.Random(34), 40)
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(36)], np.uint64)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in simhash._mixed(hashes, j)) > 36) for j in range(4)]
+    assert simhash.fingerprints_of(" ".join(words).encode(), 5, 4) == want and len(set(want)) == 4
+    assert simhash.fingerprints_of(b"", 5, 3) == [0, 0, 0]
 
 
 def test_simhash_of_null_ids_and_empty_tables(spark):
@@ -453,7 +497,7 @@ def test_rows_that_share_a_key_are_told_apart(spark, monkeypatch):
     rows = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, texts)).collect()}
     monkeypatch.undo()
     assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(len(texts))] == naive_dedup(texts, 35)
-    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    monkeypatch.setattr(simhash, "_hashes", lambda i, t, key="key", salt="salt": [F.lit(5).cast("long").alias(key), F.hash(t, i).alias(salt)])
     kept = simhash.one_of_each(docs(spark, ["a b c d", "a b c d", "q r s t u", None], [3, 3, 9, 1]))
     got = sorted(r.doc_id for r in kept.collect())
     monkeypatch.undo()
