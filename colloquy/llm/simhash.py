@@ -9,6 +9,10 @@ even products only, so that a pair within radius r always collides in a table.
 Buckets are not expanded into pairs. Fingerprints of a shared bucket meet at hubs:
 values at most r/2 bits from each. Two fingerprints are within r bits exactly if
 they share such a value, so a star around each hub links what all pairs would.
+
+One fingerprint meets few of the pairs that are alike but not nearly the same. Several, by
+hashes of their own, meet more: a pair is linked where any of them are within the
+radius, and every pair that is so is linked.
 """
 
 from __future__ import annotations
@@ -145,8 +149,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of ``df``, all columns, less all but one row of each group of near-duplicates.
 
     Texts have ``n`` fingerprints of shingles of ``size`` words, each by a hash of its
-    own, and are linked where any of them are two bits apart at most. The row of the smallest id stays; among rows of one id that of the smallest
-    hash of id and text, and one of those that agree in both. Null ids come last.
+    own, and are linked where any of them are two bits apart at most. The row of the
+    smallest id stays; among rows of one id that of the smallest hash of id and text,
+    and one of those that agree in both. Null ids come last.
     Null texts and those without words are one group. An empty table gives none.
     Rows are told apart by two hashes, of 96 bits together; rows that agree in them
     are combined where they lie before the texts are shuffled, once, for the join.
