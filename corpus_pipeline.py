@@ -24,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays, one row of it; null ids come last."""
+    """Of each group of near-duplicates, by eight fingerprints of five-word shingles, the document of the smallest id stays, one row of it; null ids come last."""
     return simhash.one_of_each(docs)
 
 
