@@ -578,12 +578,12 @@ def test_pipeline_of_repeated_rows_nulls_and_clashing_columns(spark, tmp_path):
     rng = random.Random(13)
     texts = [" ".join(prose(rng, 80)) for _ in range(12)]
     row = lambda i, t, n="en": (i, t, n, None, None, 7, "y", 1, 2, "l", 0.5, "t", True, 3, 4, [{"a": 1}])
-    rows = [*(row(i, t) for i, t in enumerate(texts)), row(0, texts[0]), row(0, texts[0]), row(None, texts[1]), row(None, texts[11] + " one more"), row(50, None, None), row(51, ""), row(52, "  \n"), row(3, "other words here now", None)]
+    rows = [*(row(i, t) for i, t in enumerate(texts)), row(0, texts[0]), row(0, texts[0]), row(None, texts[1]), row(None, texts[11] + " one more"), row(None, " ".join(prose(rng, 80))), row(50, None, None), row(51, ""), row(52, "  \n"), row(3, "other words here now", None)]
     stages = stages_on(spark, tmp_path, rows, schema)
     assert all(columns == [f.split()[0] for f in schema.split(", ")] for _, columns in stages[:-1])
     ids = [i for i, _ in stages]
-    assert [i for i in ids[0] if i in (50, 51, 52)] == [] and len(ids[0]) == 17  # repeated rows and null ids stay
-    assert ids[1].count(0) == 1 and ids[1].count(None) == 1 and ids[1].count(1) == 1  # the copy of text 1 under a null id goes
+    assert [i for i in ids[0] if i in (50, 51, 52)] == [] and len(ids[0]) == 18  # repeated rows and null ids stay
+    assert ids[1].count(0) == 1 and ids[1].count(None) == 1 and ids[1].count(1) == 1  # the copies of texts 1 and 11 under null ids go, the near one too
     assert ids[2] == ids[3] == ids[4] == ids[1]
 
 
