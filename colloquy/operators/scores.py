@@ -112,13 +112,25 @@ def latest(messages: DataFrame) -> DataFrame:
 def progress(messages: DataFrame, total: int = 4) -> DataFrame:
     """Question number, bar, whether it is the last question, and whether the session is over.
 
-    A request for the next question and a skip both count up to the total; at the last
-    question either ends the session, and what comes after counts no more.
+    A fold over each session's moves and answers in order: a request for the next
+    question and a skip both count up to the total. At the last question a skip ends the
+    session, and so does a request once the question is answered; a request before that
+    changes nothing. What comes after the end counts no more. One shuffle, by session.
     """
-    moves = F.count_if((F.col("role") == "user") & F.col("content").isin(parsing.SATISFIED, parsing.SKIPPED))
-    counted = messages.groupBy("session_id").agg(moves.cast("int").alias("moves"))
-    number = F.least(F.col("moves") + 1, F.lit(total))
-    return counted.select("session_id", number.alias("q_num"), progress_bar(number, F.lit(total)).alias("progress"), (number == total).alias("is_last"), (F.col("moves") >= total).alias("done"))
+    content = F.col("content")
+    moves = content.isin(parsing.SATISFIED, parsing.SKIPPED)
+    said = F.when((F.col("role") == "user") & (content != parsing.READY), F.struct("seq", moves.alias("moves"), (content == parsing.SKIPPED).alias("skip")))
+    begin = F.struct(F.lit(1).alias("number"), F.lit(False).alias("answered"), F.lit(False).alias("done"))
+
+    def step(s: Column, m: Column) -> Column:
+        over = s["done"] | ((s["number"] >= total) & m["moves"] & (m["skip"] | s["answered"]))
+        number = F.when(m["moves"] & ~over, F.least(s["number"] + 1, F.lit(total))).otherwise(s["number"])
+        return F.struct(number.alias("number"), (~m["moves"]).alias("answered"), over.alias("done"))
+
+    steps = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(said)).alias("steps"))
+    folded = steps.select("session_id", F.aggregate("steps", begin, step).alias("s"))
+    number = F.col("s.number")
+    return folded.select("session_id", number.alias("q_num"), progress_bar(number, F.lit(total)).alias("progress"), (number == total).alias("is_last"), F.col("s.done").alias("done"))
 
 
 def progress_bar(number: Column, total: Column) -> Column:

@@ -339,14 +339,16 @@ def report_qa_blocks_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.repaired_blocks(_marked(spark, sf_dir))
 
 
-#: Sessions of moves alone: n asks for the next question, s skips.
-_MOVE_EDGES = ["", "s", "nnn", "nnnn", "ssnnn", "nnns", "nnnsn", "sss", "ssss", "nsnsns", "nnnnnnnns"]
-_MOVES = [(-1 - i, j, "user", parsing.SATISFIED if m == "n" else parsing.SKIPPED) for i, e in enumerate(_MOVE_EDGES) for j, m in enumerate(e)] + [(-1 - i, -1, "assistant", "") for i in range(len(_MOVE_EDGES))]
+#: Sessions by their moves: n asks for the next question, s skips, a answers.
+_MOVE_EDGES = ["", "s", "nnn", "nnnn", "ssnnn", "nnns", "nnnsn", "sss", "ssss", "nsnsns", "nnnnnnnns", "nnna", "nnnan", "annnn", "nnnnan", "ananana", "anananas", "nnnanaan"]
+_MOVES = [(-1 - i, j, "user", {"n": parsing.SATISFIED, "s": parsing.SKIPPED, "a": "an answer"}[m]) for i, e in enumerate(_MOVE_EDGES) for j, m in enumerate(e)] + [(-1 - i, -1, "assistant", "") for i in range(len(_MOVE_EDGES))]
 
 
 @_query(f"""WITH {_MARKED}, e AS (SELECT session_id, seq, role, content FROM messages UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {j}, {_q(k)}, {_q(c)})" for i, j, k, c in _MOVES)}) v(session_id, seq, role, content)),
-m AS (SELECT session_id, seq AS i FROM e WHERE role = 'user' AND content IN ({_q(parsing.SATISFIED)}, {_q(parsing.SKIPPED)})),
-n AS (SELECT s.session_id, least(1 + count(i), 4) AS q_num, count(i) >= 4 AS done FROM (SELECT DISTINCT session_id FROM e) s LEFT JOIN m USING (session_id) GROUP BY 1)
+u AS (SELECT session_id, seq, content = {_q(parsing.SKIPPED)} AS skip, content IN ({_q(parsing.SATISFIED)}, {_q(parsing.SKIPPED)}) AS moves FROM e WHERE role = 'user' AND content <> {_q(parsing.READY)}),
+a AS (SELECT *, coalesce(NOT lag(moves) OVER (PARTITION BY session_id ORDER BY seq), false) AS answered FROM u),
+m AS (SELECT session_id, skip OR answered AS may_end, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM a WHERE moves),
+n AS (SELECT s.session_id, least(1 + count(i), 4) AS q_num, coalesce(bool_or(may_end AND i >= 4), false) AS done FROM (SELECT DISTINCT session_id FROM e) s LEFT JOIN m USING (session_id) GROUP BY 1)
 SELECT session_id, q_num, (q_num - 1) / 4.0::DOUBLE AS progress, q_num = 4 AS is_last, done FROM n""")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.createDataFrame(_MOVES, "session_id long, seq long, role string, content string")

@@ -150,6 +150,15 @@ def test_small_projections(spark):
     assert many(spark, [1, 2], report.attempt_label, "int") == ["Your Answer", "Your Improved Answer (Attempt 2)"]
 
 
+def test_progress_follows_the_session_in_order(spark):
+    said = {"n": parsing.SATISFIED, "s": parsing.SKIPPED, "a": "an answer", "r": parsing.READY, "0": None}
+    want = {"": (1, False), "nnn": (4, False), "nnnn": (4, False), "nnnns": (4, True), "nnnan": (4, True), "annnn": (4, False), "nnna": (4, False), "rnana": (3, False), "nnnrn": (4, False), "nnn0n": (4, False), "nnnarn": (4, True), "nnnnnan": (4, True), "nnnss": (4, True)}
+    rows = [(i, -1, "assistant", parsing.SKIPPED) for i in range(len(want))] + [(i, j, "user", said[m]) for i, moves in enumerate(want) for j, m in enumerate(moves)]
+    messages = spark.createDataFrame(rows[::-1], "session_id long, seq long, role string, content string")
+    assert {list(want)[r.session_id]: (r.q_num, r.done) for r in scores.progress(messages).collect()} == want
+    assert [tuple(r)[1:] for r in scores.progress(messages.filter("session_id = 4"), total=1).collect()] == [(1, 0.0, True, True)]
+
+
 def test_prompts(spark):
     columns = "technique_key string, role string, interview_type string, difficulty string, persona_key string, jd_summary string, cv_summary string, gap_analysis string, is_last boolean"
     rows = [("none", "", "T", "Easy", "Neutral 😐", "", "", "", False), ("persona", "Cook", "T", "Easy", "Strict 😤", "J", None, "G", True)]
