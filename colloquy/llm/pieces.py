@@ -4,16 +4,17 @@ Texts fall into units over whose ends no piece reaches: at spaces, and between a
 characters that stand side by side in no piece. Every different unit of the corpus is
 encoded once: units are exploded into substrings of bounded length, those that are
 pieces (an equi-join with the piece table) become edges from position to position,
-edges are grouped by unit, and a fold (Viterbi, ``aggregate``) finds each unit's best
-path.
+edges are grouped by unit, and a fold (``aggregate``) finds each unit's path.
 
 The model at hand is of the merging kind (BPE): its scores order merges and are no
-path costs, so a path's largest sum of scores is not its encoding. What holds is
-that a path is the encoding exactly if no merge reaches over the border of two
-neighbouring pieces before both are whole. A step of the fold is therefore free or
-barred. It is barred if the unit's lattice has an edge over the border, from the
-beginning of some last part of the left piece to the end of some first part of the
-right one, that ranks before the merges which use these parts up. One path is left.
+path costs, so a path's largest sum of scores is not its encoding. The fold therefore
+takes a unit's edges by rank, the leftmost first among equals, and holds the borders
+that stand. An edge whose two ends stand is merged: the borders within it fall. One
+look at each edge is enough, since the encoder's merges come in order of rank wherever
+every piece's own merging does and ranks differ (see :func:`in_order`): what lies between two borders that
+stand is merged as if it stood alone, so a piece there is whole at its rank, and no
+merge makes room for one that ranks before it. The edges between neighbouring borders
+are the path.
 
 The units' encodings are a table. Of the most frequent units they are broadcast, up
 to a bound; those of a document's other units are joined to it.
@@ -38,14 +39,14 @@ SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose encodings are broadcast at most, of at most LONGEST characters each.
 FREQUENT = 800_000
-#: Characters of a unit in the relational lattice; longer ones, which no fold over arrays carries well, are encoded by :meth:`Model.encode_unit`.
+#: Characters of a unit in the relational lattice; longer ones, which no bits of one number hold, are encoded by :meth:`Model.encode_unit`, those of a model that isn't :func:`in_order` by its merges.
 LONGEST = 64
 #: Different units that a lattice partition is meant to hold.
 _UNITS = 25_000
 #: Different words that a worker holds at most, about, and characters of the texts that it takes at a time.
 _REMEMBERED, _CHARS = 600_000, 1 << 22
 _SLICE = 256
-#: Above all ranks: a part that no merge uses up.
+#: Above all ranks: a character that is no piece.
 _NEVER = 1 << 24
 
 
@@ -118,7 +119,7 @@ class Model:
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown_id]
 
     def encode_unit(self, unit: str) -> list[int]:
-        """The same lattice and fold in one process, linear in the unit's length."""
+        """The encoding from left to right, by pairs of pieces that stay as they are; linear in the unit's length."""
         last = [""]  # the last piece of each beginning's encoding
         for stop in range(1, len(unit) + 1):
             for start in range(stop - 1, -1, -1):
@@ -212,44 +213,104 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     return Model(pieces, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [], sp.unk_id(), texts, max(map(len, pieces)), frozenset(p[i:] for p in pieces for i in range(len(p))), words, symbols, bridged, pa.array(texts, pa.binary()))
 
 
-def piece_rows(model: Model) -> list[tuple[str, int, int, list[int], list[int]]]:
-    """The piece table: piece, id, rank, and its first and last parts.
+def piece_rows(model: Model) -> list[tuple[str, int, int]]:
+    """The piece table: piece, id and rank.
 
-    Ranks count the scores from the best. A part is a stage of the piece's own
-    merging that touches its left (first) or right (last) end; each is the rank of
-    the merge that uses it up, times 64, plus its length. Ranks along the stages must
-    not fall, which holds for trained models, and is checked.
+    Ranks count the scores from the best. They must not fall along a piece's own
+    merging, which holds for trained models, and is checked.
     """
     order = {s: i for i, s in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
     rank = {p: order[s] for p, (_, s) in model.pieces.items()}
     if len(order) >= _NEVER or model.longest >= 64:
         raise ValueError("the model's table is too large")
-    rows = []
-    for piece, (i, _) in model.pieces.items():
+    for piece in model.pieces:
         done = model.merges(piece)
         ranks = [rank[x] for x, _ in done]
         if len(piece) > 1 and (not done or done[-1][0] != piece) or ranks != sorted(ranks):
             raise ValueError(f"the model does not merge {piece!r} in order of its scores")
+    return [(piece, i, rank[piece]) for piece, (i, _) in model.pieces.items()]
 
-        def ends(stages: list[tuple[int, int]]) -> list[int]:
-            sizes = [1, *(size for size, _ in stages)]
-            return [r * 64 + size for size, r in zip(sizes, [*(r for _, r in stages), _NEVER])]
 
-        first = ends([(len(x), rank[x]) for x, at in done if at == 0])
-        last = ends([(len(x), rank[x]) for x, at in done if at + len(x) == len(piece)])
-        rows.append((piece, i, rank[piece], first, last))
-    return rows
+def in_order(model: Model) -> bool:
+    """Whether one look at each edge by rank, start and id merges as the encoder does, which merges the leftmost of equals and looks again.
+
+    It does where pieces of two or more characters differ in score, and also where all
+    runs of one character share one and, by trial of each length, come out alike.
+    """
+    tied = {}
+    for piece, (i, score) in sorted(model.pieces.items(), key=lambda x: x[1][0]):
+        if len(piece) > 1:
+            tied.setdefault(score, []).append(piece)
+    for group in tied.values():
+        c = group[0][0]
+        if len(group) == 1:
+            continue
+        if any(p.strip(c) for p in group) or any(len(p) > 1 and not p.strip(c) and p not in group for p in model.pieces):
+            return False
+        for n in range(2, LONGEST + 1):
+            borders = set(range(n + 1))
+            for start in range(n):
+                for p in group:
+                    if {start, start + len(p)} <= borders:
+                        borders -= set(range(start + 1, start + len(p)))
+            if sorted(borders - {n}) != [begin for _, begin, _ in model.merged(c * n)]:
+                return False
+    return True
 
 
 @dataclass
 class Table:
-    """Units and their ids."""
+    """Units and their ids. The first ones may stand in order of their :func:`hashes`, which then serve all look-ups; the others are hashed anew for each."""
 
     units: pa.StringArray
     ids: pa.ListArray
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def __add__(self, other: Table) -> Table:
-        return Table(pa.concat_arrays([self.units, other.units]), pa.concat_arrays([self.ids, other.ids])) if len(other.units) else self
+        return Table(pa.concat_arrays([self.units, other.units]), pa.concat_arrays([self.ids, other.ids]), self.hashes) if len(other.units) else self
+
+    def hashed(self) -> Table:
+        """The same rows in order of their hashes."""
+        found = hashes(self.units)
+        order = np.argsort(found, kind="stable")
+        return Table(self.units.take(pa.array(order)), self.ids.take(pa.array(order)), found[order])
+
+    def find(self, units: pa.StringArray) -> np.ndarray:
+        """Where each of ``units`` stands; -1 if nowhere."""
+        at = np.full(len(units), -1)
+        if len(self.hashes):
+            wanted = hashes(units)
+            order = np.argsort(wanted)  # near ones one after the other are found sooner
+            place = np.zeros(len(units), np.int64)
+            place[order] = np.minimum(np.searchsorted(self.hashes, wanted[order]), len(self.hashes) - 1)
+            held = np.flatnonzero(self.hashes[place] == wanted)
+            same = pc.equal(self.units.take(pa.array(place[held])), units.take(pa.array(held))).to_numpy(zero_copy_only=False)
+            at[held[same]] = place[held[same]]
+            if not same.all():  # two texts of one hash
+                at[held[~same]] = _index(units.take(pa.array(held[~same])), self.units)
+        others = np.flatnonzero(at < 0)
+        if len(others) and len(self.hashes) < len(self.units):
+            rest = _index(units.take(pa.array(others)), self.units.slice(len(self.hashes)))
+            at[others] = np.where(rest < 0, -1, rest + len(self.hashes))
+        return at
+
+
+def _index(units: pa.StringArray, among: pa.StringArray) -> np.ndarray:
+    return pc.fill_null(pc.index_in(units, value_set=among), -1).to_numpy()
+
+
+#: Numbers that octets and their places are hashed by.
+_BY_OCTET, _BY_PLACE = np.random.default_rng(8).integers(0, 1 << 64, (2, 256), np.uint64)
+
+
+def hashes(texts: pa.StringArray) -> np.ndarray:
+    """A number of each text, the same for the same text; two texts seldom share one."""
+    ends = np.frombuffer(texts.buffers()[1] or bytes(4), np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    octets = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    place = np.arange(len(octets), dtype=np.int32) - np.repeat(ends[:-1], np.diff(ends))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BY_OCTET[octets] * _BY_PLACE[place & 255], dtype=np.uint64)))[ends]
+    return sums[1:] - sums[:-1]
 
 
 def table_of(units: pa.Array, ids: pa.Array) -> Table:
@@ -281,10 +342,10 @@ def encode_texts(texts: list[str | None], model: Model, table: Table) -> tuple[n
     Different words are cut into units, looked up and spelled out once.
     """
     words = model.words_in(texts)
-    at = pc.index_in(words.units, value_set=table.units)
-    if at.null_count:
-        raise KeyError(words.units.filter(pc.is_null(at))[0].as_py())
-    by_unit = table.ids.take(at)
+    at = table.find(words.units)
+    if len(at) and at.min() < 0:
+        raise KeyError(words.units[int(at.argmin())].as_py())
+    by_unit = table.ids.take(pa.array(at))
     edges = by_unit.offsets.to_numpy()[np.concatenate(([0], np.cumsum(words.sizes)))]
     ids, numbers = by_unit.flatten(), pa.array(words.numbers)
     spelled = model.bytes_of.take(ids)
@@ -344,12 +405,12 @@ def count_units(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """``units`` (unit, others) by substring: start, stop and the piece's id, rank, first and last parts; single characters that are no piece have null ones.
+    """``units`` (unit, others) by substring: start, stop and the piece's id and rank; single characters that are no piece have null ones.
 
     The piece table is the model's vocabulary, of fixed size, and is broadcast. It is
     joined by a hash of the text, which is quicker to look up, and then compared.
     """
-    table = units.sparkSession.createDataFrame(piece_rows(model), "piece string, id int, rank int, first array<int>, last array<int>").withColumn("hash", F.xxhash64("piece"))
+    table = units.sparkSession.createDataFrame(piece_rows(model), "piece string, id int, rank int").withColumn("hash", F.xxhash64("piece"))
     starts = units.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)))
     spans = starts.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("unit"), F.col("start") + model.longest))))
     parts = spans.withColumn("part", F.expr("substring(unit, start + 1, stop - start)")).withColumn("hash", F.xxhash64("part"))
@@ -359,60 +420,53 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
 
 
 def viterbi(edges: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids): the encoding of each unit, by a fold over its edges (unit, n and those of :func:`lattice`).
+    """(unit, n, ids): the encoding of each unit, of at most 64 characters, by a fold over its edges (unit, n and those of :func:`lattice`) in order of rank.
 
-    The state holds, for each position from 0 on, the ids up to there and the last
-    parts of the last piece. Edges come in order of their ends, so a position is
-    settled before an edge begins there.
+    The state holds the borders that stand as bits, that behind the first character
+    lowest; the one at the unit's beginning always stands and has none. An edge has
+    the bits of its ends, and all but those within it.
     """
-    alone = F.array(F.lit(_NEVER * 64 + 1))
-    edge = F.struct("stop", "start", "id", "rank", F.coalesce("first", alone).alias("first"), F.coalesce("last", alone).alias("last"))
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-    def place(start: Column, stop: Column) -> Column:
-        return start * 128 + stop
+    at = (F.coalesce("rank", F.lit(_NEVER)) * 64 + F.col("start")).alias("at")
+    ends = F.expr("CASE WHEN start = 0 THEN 0L ELSE shiftleft(1L, start - 1) END | shiftleft(1L, stop - 1)").alias("ends")
+    beside = F.expr("~(shiftleft(-1L, start) & ~shiftleft(-1L, stop - 1))").alias("beside")
+    grouped = edges.select("unit", "n", F.struct(at, "id", ends, beside).alias("edge")).groupBy(F.xxhash64("unit"), "unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
-    wide = F.filter("edges", lambda e: e["stop"] > e["start"] + 1)
-    ranks = F.map_from_entries(F.transform(wide, lambda e: F.struct(place(e["start"], e["stop"]).alias("place"), e["rank"].alias("rank"))))
-    nothing = F.array().cast("array<int>")
-    begin = F.struct(ranks.alias("ranks"), F.array(F.struct(nothing.alias("ids"), nothing.alias("last"))).alias("best"))
+    def stands(borders: Column, e: Column) -> Column:
+        return borders.bitwiseAND(e["ends"]) == e["ends"]
 
     def spelled(e: Column) -> Column:
-        character = F.substr(F.col("unit"), e["start"] + 1, F.lit(1))
+        character = F.substr(F.col("unit"), e["at"].bitwiseAND(63) + 1, F.lit(1))
         if not model.byte_ids:
             return F.array(F.lit(model.unknown_id))
         table = F.array(*[F.lit(i) for i in model.byte_ids])
         return F.transform(F.sequence(F.lit(1), F.octet_length(character)), lambda i: F.get(table, F.conv(F.substr(F.hex(character), 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
 
-    def step(state: Column, e: Column) -> Column:
-        before = F.get(state["best"], e["start"])
+    def path(borders: Column) -> Column:
+        kept = F.filter("edges", lambda e: stands(borders, e) & (borders.bitwiseAND(e["beside"]) == borders))
+        ids = F.transform(kept, lambda e: F.struct(e["at"].bitwiseAND(63).alias("start"), F.when(e["id"].isNull(), spelled(e)).otherwise(F.array(e["id"])).alias("ids")))
+        return F.flatten(F.sort_array(ids)["ids"])
 
-        def merges_first(left: Column, right: Column) -> Column:
-            over = F.element_at(state["ranks"], place(e["start"] - left % 64, e["start"] + right % 64))
-            return F.coalesce((over < F.shiftright(left, 6)) & (over <= F.shiftright(right, 6)), F.lit(False))
-
-        barred = F.exists(before["last"], lambda left: F.exists(e["first"], lambda right: merges_first(left, right)))
-        ids = F.concat(before["ids"], F.when(e["id"].isNull(), spelled(e)).otherwise(F.array(e["id"])))
-        longer = F.concat(state["best"], F.array(F.struct(ids.alias("ids"), e["last"].alias("last"))))
-        return F.when((F.size(state["best"]) == e["stop"]) & ~barred, F.struct(state["ranks"].alias("ranks"), longer.alias("best"))).otherwise(state)
-
-    return grouped.select("unit", "n", F.aggregate("edges", begin, step, lambda s: F.element_at(s["best"], -1)["ids"]).alias("ids"))
+    folded = F.aggregate("edges", F.lit(-1).cast("long"), lambda b, e: F.when(stands(b, e), b.bitwiseAND(e["beside"])).otherwise(b), path)
+    return grouped.select("unit", "n", folded.alias("ids"))
 
 
 def encodings(docs: DataFrame, model: Model) -> DataFrame:
     """(unit, n, ids) of every different unit of ``docs`` (text), written to the shared folder."""
     counted = materialize(count_units(docs, model), "units")
-    size = F.length("unit")
+    size, most = F.length("unit"), LONGEST if in_order(model) else 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, counted.count() // _UNITS + 1)
-    short = viterbi(lattice(counted.filter(size <= LONGEST).repartition(parts, "unit"), model), model)  # a unit's rows stay where it lies
+    short = viterbi(lattice(counted.filter(size <= most).repartition(parts, "unit"), model), model)  # a unit's rows stay where it lies
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def encoded(m: Model, unit: str) -> list[int]:
+        return m.encode_unit(unit) if len(unit) > LONGEST else [i for part, _, _ in m.merged(unit) for i in m.ids(part)]
+
     def run(batches):
         for batch in batches:
-            ids = [shared.value.encode_unit(u) for u in batch.column("unit").to_pylist()]
+            ids = [encoded(shared.value, u) for u in batch.column("unit").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    done = materialize(short.unionByName(counted.filter(size > LONGEST).mapInArrow(run, "unit string, n long, ids array<int>")), "encodings")
+    done = materialize(short.unionByName(counted.filter(size > most).mapInArrow(run, "unit string, n long, ids array<int>")), "encodings")
     discard(counted)
     return done
 
@@ -452,14 +506,14 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, most: int = FREQUEN
     table = encodings(picked, model)
     common = frequent(table, most)
     known = table.filter(common).select("unit", "ids").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((model, table_of(known["unit"].combine_chunks(), known["ids"].combine_chunks())))
+    shared = docs.sparkSession.sparkContext.broadcast((model, table_of(known["unit"].combine_chunks(), known["ids"].combine_chunks()).hashed()))
 
     def rare(batches):
         m, table = shared.value
         for batch in batches:
             for part in _slices(batch, "text"):
                 words = m.words_in(part.column("text").to_pylist())
-                other = pc.invert(pc.is_in(words.units, value_set=table.units)).to_numpy(zero_copy_only=False)
+                other = table.find(words.units) < 0
                 held = np.add.reduceat(np.append(other, 0), np.append(0, np.cumsum(words.sizes))[:-1]) if len(words.sizes) else words.sizes  # of each word
                 text = np.repeat(np.arange(part.num_rows), np.diff(words.begins))
                 odd = held[words.numbers] > 0

@@ -1,5 +1,6 @@
 """License scans, quality, language ID, toxicity, secrets and pieces against brute force."""
 
+import dataclasses
 import functools
 import hashlib
 import re
@@ -478,6 +479,38 @@ def test_lattice_is_grouped_where_it_lies_and_stays_in_the_jvm(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and not re.search("Python|Pandas|InArrow", plan)
 
 
+def test_edges_fold_in_order_of_rank_only_where_that_is_the_encoding(spark, library):
+    model = loaded()[0]
+    assert pieces.in_order(model)
+    marks = spark.createDataFrame([("▁" * n + end, 1) for n in range(1, 60) for end in ("", "house")], "unit string, n long").repartition(4, "unit")
+    edges = pieces.lattice(marks, model)
+    assert not {"first", "last"} & set(edges.columns)  # no parts are carried along
+    assert {r.unit: r.ids for r in pieces.viterbi(edges, model).collect()} == {r.unit: model.encode_unit(r.unit) for r in marks.collect()}
+    tied = dataclasses.replace(model, stable={}, pieces={p: (i, s) for i, (p, s) in enumerate([("▁", -9.0), ("a", -9.0), ("b", -9.0), ("c", -9.0), ("ab", -1.0), ("bc", -1.0), ("abc", -1.0), ("abcab", -1.0)])})
+    assert not pieces.in_order(tied)
+    assert not pieces.in_order(dataclasses.replace(tied, pieces={"a": (0, -9.0), "aa": (1, -2.0), "aaa": (2, -1.0), "aaaa": (3, -1.0)}))
+    got = pieces.encodings(docs(spark, ["abcabcab bcbcab cabab", "aabcabc"]), tied).collect()
+    assert len(got) == 4 and all(r.ids == [i for p in tied.merged(r.unit) for i in tied.ids(p[0])] for r in got)
+
+
+def test_units_are_found_without_hashing_the_table_anew(monkeypatch):
+    model = loaded()[0]
+    words = model.words_in(["the house of the  \n漢字 house ▁ zzzyx", None, "é"])
+    known = pieces.table_of(words.units, pa.array([[i] for i in range(len(words.units))], pa.list_(pa.int32()))).hashed()
+    asked = []
+    index = pieces._index
+    monkeypatch.setattr(pieces, "_index", lambda units, among: asked.append(len(among)) or index(units, among))
+    assert known.units.take(pa.array(known.find(words.units))).equals(words.units) and not asked
+    wanted = pa.array(["nowhere", *known.units.to_pylist()[::-1], "", "more"])
+    both = known + pieces.Table(pa.array(["more", "some"]), pa.array([[7], [8]], pa.list_(pa.int32())))
+    want = [-1, *range(len(known.units))[::-1], -1, len(known.units)]
+    assert both.find(wanted).tolist() == want and asked == [2]
+    assert known.find(wanted.slice(1, 3)).tolist() == want[1:4] and known.find(wanted.slice(0, 0)).tolist() == []
+    monkeypatch.setattr(pieces, "hashes", lambda texts: np.zeros(len(texts), np.uint64))
+    same = pieces.Table(known.units, known.ids).hashed() + pieces.Table(both.units.slice(len(known.units)), both.ids.slice(len(known.units)))
+    assert same.find(wanted).tolist() == want  # all share a hash
+
+
 @functools.cache
 def loaded():
     return pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
